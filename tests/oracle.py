@@ -6,6 +6,7 @@ import math
 import os
 import sys
 import time
+from collections import Counter
 
 import duckdb
 
@@ -58,9 +59,10 @@ def compare(name: str, df, sql: str, con) -> str | None:
         if a != b:
             return f"{name}: column {c} has {a} against {b}"
     a, b = _rows(df.columns, spark_rows), _rows(cols, duck_rows)
-    diff = [(x, y) for x, y in zip(a, b) if x != y]
-    if diff:
-        return f"{name}: {len(diff)} of {len(a)} rows differ, first {diff[0]}"
+    only_a, only_b = Counter(a) - Counter(b), Counter(b) - Counter(a)
+    if only_a:
+        return (f"{name}: {sum(only_a.values())} of {len(a)} rows differ in {sorted(cols)}, "
+                f"as {sorted(only_a)[:2]} against {sorted(only_b)[:2]}")
     return None
 
 
@@ -73,6 +75,7 @@ def main() -> None:
     sf = os.environ.get("SF", "/root/testdata/sf0.01")
     wanted = sys.argv[1:]
     spark = local_session(8)
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf)
     queries, oracle = entry.queries(), entry.oracle_sql()
     bad = 0

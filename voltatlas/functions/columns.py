@@ -65,6 +65,15 @@ def sum0(c: Column | str) -> Column:
     return F.coalesce(F.sum(col(c)), F.lit(0.0))
 
 
+def published(c: Column | str, digits: int) -> Column:
+    """Half-even rounding as in the published files.
+
+    Four digits below are rounded first, so a sum next to a tie does not depend on the order
+    in which its parts were added.
+    """
+    return F.bround(F.round(col(c), digits + 4), digits)
+
+
 def contains_any(text: Column | str, words: Iterable[str], whole_words: bool = False) -> Column:
     """True if the lower-cased text has any keyword; a missing text has none."""
     t = F.lower(F.coalesce(col(text), F.lit("")))

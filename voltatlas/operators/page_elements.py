@@ -7,6 +7,7 @@ nesting-aware reader, so they run in Arrow batches with the standard library's H
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from html.entities import name2codepoint
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -15,19 +16,31 @@ from pyspark.sql import functions as F
 
 from voltatlas.functions.columns import blank_to_null, col, strip
 
-# Named and numeric character references decoded in text and links
-_ENTITIES = [
-    ("&nbsp;", "\xa0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&#39;", "'"), ("&#x27;", "'"), ("&amp;", "&"),
-]
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+# Named characters come from the standard library's table of HTML names.
+_NAMED = {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'"}
 _HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>"
 _TAG = r"(?s)</?[a-zA-Z][^>]*>"
 
 
+def _character(ref: Column) -> Column:
+    """The character a reference stands for; unknown names stay as they are."""
+    digits = F.substring(ref, 3, F.length(ref) - 3)
+    code = F.when(F.rlike(ref, F.lit("^&#[xX]")), F.substring(digits, 2, F.length(digits)))\
+        .when(F.startswith(ref, F.lit("&#")), F.hex(digits.try_cast("int")))
+    char = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+    names = F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, ref), char, ref)
+
+
 def _decode(c: Column) -> Column:
-    for name, char in _ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+    """Character references, each once: those of '&' go last, so none is decoded twice."""
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)))
+    amp = ["&amp;", "&#38;", "&#x26;", "&#X26;"]
+    last = F.filter(found, lambda r: r.isin(*amp))
+    first = F.filter(found, lambda r: ~r.isin(*amp))
+    decoded = F.reduce(F.concat(first, last), c, lambda t, r: F.replace(t, r, _character(r)))
+    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
 
 
 def _joined_text(html: Column, separator: str) -> Column:

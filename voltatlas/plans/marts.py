@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltatlas import params as p
-from voltatlas.functions.columns import not_null, or_zero, ratio
+from voltatlas.functions.columns import not_null, or_zero, published, ratio
 from voltatlas.operators import aggregates as agg
 from voltatlas.operators import classify, cleaning, energy, extraction, joins, panel
 from voltatlas.sources import readers
@@ -54,9 +54,9 @@ def state_mart(by_state: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     keyed = cleaning.state_abbrev(by_state, out="abbrev", dim=dim, keep_unmapped=True)
     return keyed.select(
         "abbrev", F.col("state").alias("name"), "dc_count",
-        F.bround("total_capacity_mw", 1).alias("capacity_mw"),
-        F.bround("total_energy_mwh", 0).alias("energy_mwh"),
-        F.bround(F.col("total_energy_mwh") / 1e6, 2).alias("energy_twh"),
+        published("total_capacity_mw", 1).alias("capacity_mw"),
+        published("total_energy_mwh", 0).alias("energy_mwh"),
+        published(F.col("total_energy_mwh") / 1e6, 2).alias("energy_twh"),
     )
 
 
@@ -68,13 +68,13 @@ def state_category_mart(categorized: DataFrame, electricity: DataFrame,
     keyed = cleaning.state_abbrev(wide, out="abbrev", dim=dim)
     return keyed.where(F.col("abbrev").isNotNull()).select(
         "abbrev", F.col("state").alias("name"), "dc_count",
-        F.bround("capacity_mw", 1).alias("capacity_mw"),
-        F.bround("energy_mwh", 0).alias("energy_mwh"),
-        F.bround(F.col("energy_mwh") / 1e6, 2).alias("energy_twh"),
+        published("capacity_mw", 1).alias("capacity_mw"),
+        published("energy_mwh", 0).alias("energy_mwh"),
+        published(F.col("energy_mwh") / 1e6, 2).alias("energy_twh"),
         "small_count", "decent_count", "crypto_count", F.col("big_ai_count").alias("ai_count"),
-        F.bround("crypto_energy_mwh", 0).alias("crypto_energy_mwh"),
-        F.bround("big_ai_energy_mwh", 0).alias("ai_energy_mwh"),
-        F.bround("total_consumption_mwh", 0).alias("state_total_mwh"),
+        published("crypto_energy_mwh", 0).alias("crypto_energy_mwh"),
+        published("big_ai_energy_mwh", 0).alias("ai_energy_mwh"),
+        published("total_consumption_mwh", 0).alias("state_total_mwh"),
     )
 
 
@@ -84,8 +84,8 @@ def facility_map(listings: DataFrame, categorized: DataFrame, order: Sequence[Co
     facts = categorized.select(
         "data_center_name", *extra_keys,
         F.col("year_operational").cast("int").alias("year"),
-        F.bround("capacity_mw_est", 1).alias("capacity_mw"),
-        F.bround("estimated_energy_mwh", 0).alias("energy_mwh"),
+        published("capacity_mw_est", 1).alias("capacity_mw"),
+        published("estimated_energy_mwh", 0).alias("energy_mwh"),
         F.col("dc_category").alias("category"),
         F.struct(*[o if isinstance(o, Column) else F.col(o) for o in order]).alias("_order"),
     )

@@ -2,7 +2,10 @@
 
 import importlib
 
-_MODULES = ["cleaning", "classify", "energy", "aggregates", "panel"]
+_MODULES = [
+    "marts", "sources", "pages", "cleaning", "classify", "energy", "joins", "aggregates", "panel",
+    "models",
+]
 
 
 def load():

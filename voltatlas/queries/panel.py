@@ -105,7 +105,7 @@ def m05(spark, sf):
     {_OPENINGS}, {_SOME},
     c AS (SELECT *, {_CUM.format(n="new_dc_count", m="new_dc_capacity_mw", e="new_dc_energy_mwh")}
           FROM openings WINDOW w AS (PARTITION BY state ORDER BY year)),
-    at AS (SELECT s.state, s.year, max(c.year) AS at FROM some_years s LEFT JOIN c
+    pos AS (SELECT s.state, s.year, max(c.year) AS last_year FROM some_years s LEFT JOIN c
            ON c.state = s.state AND c.year <= s.year AND c.year IN (1997, 1998, 1999, 2001)
            GROUP BY 1, 2)""") + """
     SELECT a.state, a.year, coalesce(o.new_dc_count, 0) AS new_dc_count,
@@ -114,7 +114,7 @@ def m05(spark, sf):
            coalesce(c.cumulative_dc_count, 0) AS cumulative_dc_count,
            coalesce(c.cumulative_dc_capacity, 0) AS cumulative_dc_capacity,
            coalesce(c.cumulative_dc_energy, 0) AS cumulative_dc_energy
-    FROM at a LEFT JOIN c ON c.state = a.state AND c.year = a.at
+    FROM pos a LEFT JOIN c ON c.state = a.state AND c.year = a.last_year
     LEFT JOIN openings o ON o.state = a.state AND o.year = a.year""", OPEN_DIGITS)
 def m04_openings(spark, sf):
     return panel.attach_openings(
