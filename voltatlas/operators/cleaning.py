@@ -97,11 +97,12 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
     that holds a large part of all rows costs no more than any other. NULL keys are one key.
     """
     pick = F.max_by if last else F.min_by
-    row = F.struct(*[F.col(c) for c in df.columns])
+    others = [c for c in df.columns if c not in keys]
     rank = F.struct(*[col(c).alias(f"o{i}") for i, c in enumerate(order)])
-    best = df.groupBy(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]).agg(
-        pick(row, rank).alias("_row"))
-    return best.select("_row.*")
+    if not others:
+        return df.distinct()
+    best = df.groupBy(*keys).agg(pick(F.struct(*others), rank).alias("_row"))
+    return best.select(*[F.col(c) if c in keys else F.col(f"_row.{c}") for c in df.columns])
 
 
 def dedupe_by_id(df: DataFrame, key: str, order: Sequence[Column | str]) -> DataFrame:

@@ -4,67 +4,94 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from voltatlas.functions.columns import finite, not_null
 
 _ACCURACY = 10_000
 _MARGIN = 0.002
+# Summary rows (a few for each group) that may be held as a local relation.
+MAX_HELD_ROWS = 100_000
+# Rows of the largest group up to which Spark's buffering percentile is used; with keys a task
+# buffers many groups at once, so a tenth of it.
+MAX_BUFFERED_ROWS = 1_000_000
+
+
+def _held(summary: DataFrame) -> DataFrame:
+    """A small summary as a local relation of known size, a larger one as the lazy frame.
+
+    With a known size the optimizer broadcasts the summary exactly when it is below its own
+    threshold, so the raw rows next to it need no shuffle.
+    """
+    rows = summary.limit(MAX_HELD_ROWS + 1).toArrow()
+    if rows.num_rows > MAX_HELD_ROWS:
+        return summary
+    return summary.sparkSession.createDataFrame(rows, schema=summary.schema)
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()
+    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
+    max_buffered: int = MAX_BUFFERED_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles (the pandas definition) of ``value`` for each group.
 
-    Built-in exact percentiles hold every distinct value of a group in one buffer. Here a
-    sketch per group only proposes cut points around each wanted rank. The rows of every
-    interval between cuts are counted, the interval that holds the rank follows from the
-    counts, and only that interval (about 0.4 % of a group) is sorted. The sketch decides how
-    balanced the work is, never the answer: whatever the cuts are, the counts are exact.
+    The built-in exact percentile holds every distinct value of a group in one buffer, so it
+    is used only after the largest group was counted and found small. Larger groups go through
+    ``_by_intervals``, which spreads each group over the cluster. Both are exact.
 
-    Rows with a missing value or key are left out. Without ``by`` the result has one row.
+    The counts run when the function is called; the rest is lazy. Rows with a missing value
+    or key are left out. Without ``by`` the result has one row.
     """
-    keys = list(by) or ["_all"]
-    base = df if by else df.withColumn("_all", F.lit(0))
-    base = base.select(*keys, finite(value).alias("_v")).where(not_null("_v", *keys))
+    keys = list(by)
+    base = df.select(*keys, finite(value).alias("_v")).where(not_null("_v", *keys))
+    largest = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    if (largest or 0) > (max_buffered // 10 if keys else max_buffered):
+        return _by_intervals(base, probs, keys)
+    found = base.groupBy(*keys).agg(
+        F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
+    return found.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
 
+
+def _by_intervals(base: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
+    """Quantiles of ``_v`` by locating each rank first and sorting only around it.
+
+    A sketch per group proposes cut points around each wanted rank. The rows of every interval
+    between cuts are counted, the interval that holds the rank follows from the counts, and
+    only that interval (about 0.4 % of a group) is sorted. The sketch decides how balanced the
+    work is, never the answer: whatever the cuts are, the counts are exact.
+    """
     near = [min(max(p + d, 0.0), 1.0) for p in probs.values() for d in (-_MARGIN, _MARGIN)]
-    cuts = base.groupBy(*keys).agg(
-        F.percentile_approx("_v", near, _ACCURACY).alias("_cuts"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    interval = sum(
-        (F.when(F.col("_v") > F.col("_cuts")[i], 1).otherwise(0) for i in range(len(near))),
-        F.lit(0),
-    )
-    placed = base.join(cuts.select(*keys, "_cuts"), keys).select(
-        *keys, interval.alias("_i"), "_v"
-    )
-    by_key = W.partitionBy(*keys).orderBy("_i")
-    sizes = (
-        placed.groupBy(*keys, "_i")
-        .agg(F.count(F.lit(1)).alias("_m"))
-        .withColumn("_upto", F.sum("_m").over(by_key))
-        .withColumn("_n", F.sum("_m").over(W.partitionBy(*keys)))
-    )
-    pos = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probs.items()}
-    wanted = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"),
-                     (edge(pos[name]).cast("long") + 1).alias("rank"))
-            for name in probs
-            for side, edge in (("lo", F.floor), ("hi", F.ceil))
-        ]
-    )
-    # At most 2 ranks per quantile and 2 cuts per quantile: a handful of rows for each group.
+    sketch = base.groupBy(*keys).agg(F.percentile_approx("_v", near, _ACCURACY).alias("_cuts"))
+    if keys:
+        rows = base.join(_held(sketch), keys)
+        cuts = [F.col("_cuts")[i] for i in range(len(near))]
+    else:
+        rows = base
+        cuts = [F.lit(c) for c in sketch.first()["_cuts"] or []]
+    interval = sum((F.when(F.col("_v") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    placed = rows.select(*keys, interval.alias("_i"), "_v")
+
+    sizes = _held(placed.groupBy(*keys, "_i").agg(F.count(F.lit(1)).alias("_m")))
+    sizes = sizes.withColumns({
+        "_upto": F.sum("_m").over(W.partitionBy(*keys).orderBy("_i")),
+        "_n": F.sum("_m").over(W.partitionBy(*keys)),
+    })
+    place = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    wanted = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"),
+                 (edge(place[name]).cast("long") + 1).alias("rank"))
+        for name in probs
+        for side, edge in (("lo", F.floor), ("hi", F.ceil))
+    ])
+    # A handful of rows for each group: two ranks per quantile.
+    rank = F.col("_w.rank")
     targets = (
-        sizes.select(*keys, "_i", "_m", "_upto", "_n", F.explode(wanted).alias("_w"))
-        .where((F.col("_w.rank") <= F.col("_upto"))
-               & (F.col("_w.rank") > F.col("_upto") - F.col("_m")))
+        sizes.withColumn("_w", F.explode(wanted))
+        .where((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_m")))
         .select(*keys, "_i", F.col("_w.name").alias("_name"), F.col("_w.side").alias("_side"),
-                (F.col("_w.rank") - (F.col("_upto") - F.col("_m"))).alias("_rank"), "_n")
+                (rank - (F.col("_upto") - F.col("_m"))).alias("_rank"), "_n")
     )
     inside = (
         placed.join(targets.select(*keys, "_i").distinct(), [*keys, "_i"], "left_semi")
@@ -75,8 +102,7 @@ def exact_quantiles(
             .rowsBetween(W.unboundedPreceding, W.currentRow)))
     )
     hits = inside.join(targets, [*keys, "_i"]).where(
-        (F.col("_rank") <= F.col("_to")) & (F.col("_rank") > F.col("_to") - F.col("_c"))
-    )
+        (F.col("_rank") <= F.col("_to")) & (F.col("_rank") > F.col("_to") - F.col("_c")))
 
     def picked(name: str, side: str):
         return F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col("_v")))
@@ -88,9 +114,9 @@ def exact_quantiles(
     out = []
     for i, name in enumerate(probs):
         lo, hi = F.col(f"_lo_{i}"), F.col(f"_hi_{i}")
-        part = pos[name] - F.floor(pos[name])
+        part = place[name] - F.floor(place[name])
         out.append((lo + (hi - lo) * part).alias(name))
-    return wide.select(*by, *out)
+    return wide.select(*keys, *out)
 
 
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median"):
