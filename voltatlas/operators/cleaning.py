@@ -95,6 +95,7 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column | s
 
     An aggregate, not a window: copies of one key are combined before the shuffle, so a key
     that holds a large part of all rows costs no more than any other. NULL keys are one key.
+    Every column of ``df`` travels with its row, so select the needed ones first.
     """
     pick = F.max_by if last else F.min_by
     others = [c for c in df.columns if c not in keys]

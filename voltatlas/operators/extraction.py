@@ -105,21 +105,17 @@ def extract_capacity_and_year(df: DataFrame, content: str = "content") -> DataFr
     no_data = F.contains(c, F.lit(p.NO_DATA_MARKER))
     blocked = F.contains(c, F.lit(p.RATE_LIMIT_MARKER)) | F.contains(
         c, F.lit(p.CHECKPOINT_MARKER))
-    doc = F.try_parse_json(embedded_text(c))
-    rows = df.where(no_data | ~blocked).withColumn("_doc", doc)
+    rows = df.where(no_data | ~blocked).withColumn("_json", embedded_text(c)).withColumn(
+        "_doc", F.try_parse_json("_json"))
 
     def given(path: str) -> Column:
-        text = F.try_variant_get(F.col("_doc"), "$.props.pageProps.dc." + path, "string")
-        # A numeric zero is no value, however it is written.
-        number = F.try_variant_get(F.col("_doc"), "$.props.pageProps.dc." + path, "double")
-        zero = (number == 0) & text.rlike(r"^-?0+(\.0+)?$") & ~_is_text(path)
+        """The value as written; a numeric zero is no value, a text is left to the sentinels."""
+        path = "$.props.pageProps.dc." + path
+        text = F.get_json_object("_json", path)
+        kind = F.schema_of_variant(F.try_variant_get("_doc", path, "variant"))
+        zero = (kind != "STRING") & text.rlike(r"^-?0(\.0+)?$")
         return F.when(~F.coalesce(zero, F.lit(False)), blank_to_null(text, p.JSON_SENTINELS))
 
-    def _is_text(path: str) -> Column:
-        kind = F.schema_of_variant(
-            F.try_variant_get(F.col("_doc"), "$.props.pageProps.dc." + path, "variant"))
-        return kind == "STRING"
-
     power_key = blank_to_null(
         strip(F.regexp_extract(c, p.CAPACITY_KEY_PATTERN, 1)), p.POWER_KEY_SENTINELS)
     year_key = blank_to_null(F.regexp_extract(c, p.YEAR_KEY_PATTERN, 1))
@@ -131,7 +127,7 @@ def extract_capacity_and_year(df: DataFrame, content: str = "content") -> DataFr
         "operational_date": F.when(no_data, F.lit(None))
         .when(readable, given("meta_building.year_operational"))
         .otherwise(F.coalesce(_first_cell(c, p.YEAR_PATTERNS), year_key)),
-    }).drop("_doc")
+    }).drop("_doc", "_json")
 
 
 def extract_state_links(df: DataFrame, base_url: str, root: str = "/usa/",

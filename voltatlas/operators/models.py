@@ -97,7 +97,7 @@ def ridge(train: DataFrame, label: str, alpha: float = 1.0) -> LinearRegression:
     Spark divides the squared error by the number of rows and the penalty by the deviation
     of the label, so alpha is rescaled by both.
     """
-    n, s = train.agg(F.count(label), F.stddev_samp(label)).first()
+    n, s = train.agg(F.count(label), F.stddev_pop(label)).first()
     return LinearRegression(regParam=alpha * float(s or 1.0) / max(n, 1), elasticNetParam=0.0,
                             standardization=False, solver="normal")
 

@@ -118,8 +118,10 @@ _ORDER = ["data_center_id"]
           AND year_operational IS NOT NULL)
     WHERE r = 1 AND year_operational <= 1999""")
 def p07(spark, sf):
+    df = base.facilities(spark, sf).select(
+        "owner_id", "data_center_id", "data_center_name", "year_operational")
     return cleaning.filter_operational(
-        base.facilities(spark, sf), base.planned_of(), "owner_id", "year_operational", _ORDER, 1999
+        df, base.planned_of(), "owner_id", "year_operational", _ORDER, 1999
     ).select("owner_id", "data_center_id", "year_operational")
 
 

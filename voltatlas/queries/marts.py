@@ -56,8 +56,10 @@ _OPERATIONAL = f"""once AS (SELECT * FROM (
 
 def _kept(spark, sf):
     """Facilities of which an owner counts as the id, so ids repeat."""
-    raw = base.facilities(spark, sf).withColumn("seq", F.col("data_center_id")).withColumn(
-        "data_center_id", F.col("owner_id"))
+    raw = base.facilities(spark, sf).select(
+        F.col("owner_id").alias("data_center_id"), "owner_id",
+        F.col("data_center_id").alias("seq"), "data_center_name", "year_operational",
+        "capacity_mw")
     return marts.facility_categorized(
         raw, ["seq"], base.category_of(), base.planned_of(), cutoff=1999)
 

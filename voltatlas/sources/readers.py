@@ -50,7 +50,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str,
              multi_line: bool = False) -> DataFrame:
-    """Header row, explicit schema; a cell that does not fit its type is missing.
+    """Header row, explicit schema; an empty cell or one of another type is missing.
 
     Quotes are doubled inside quoted cells. Files stay splittable unless cells hold line breaks.
     """
