@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +23,22 @@ def strip(c: Column | str) -> Column:
     return F.trim(col(c), F.lit(WHITESPACE))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def exploded(df: DataFrame, keep: Iterable[str], items: Column) -> DataFrame:
+    """One row for each element of an array of structs, with the struct's fields as columns.
+
+    The inner generator would have the array computed twice, once more in a filter on its
+    size. The outer one computes it once; the row it adds for an empty array is dropped after.
+    """
+    numbered = F.transform(items, lambda x, i: F.struct(i.alias("position"), x.alias("item")))
+    rows = df.select(*keep, F.explode_outer(numbered).alias("_e")).where(F.col("_e").isNotNull())
+    return rows.select(*keep, "_e.position", "_e.item.*")
+
+
 def blank_to_null(c: Column | str, blanks: Iterable[str] = ("",)) -> Column:
     c = col(c)
     return F.when(~c.isin(*blanks), c)

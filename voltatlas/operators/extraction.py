@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltatlas import params as p
-from voltatlas.functions.columns import blank_to_null, col, strip
+from voltatlas.functions.columns import blank_to_null, col, exploded, strip
 from voltatlas.operators.cleaning import first_per_key
 
 # (?d): only \n ends a line; (?iU): case and Unicode classes, as in the page patterns' origin.
@@ -48,16 +48,11 @@ def explode_listings(df: DataFrame, content: str = "content",
 
     A page without data, or with broken JSON, has no rows.
     """
-    parsed = F.from_json(embedded_text(content), F.lit(_LISTING_SCHEMA))
-    dcs = F.col("_doc.props.pageProps.mapdata.dcs")
-    return (
-        df.select(*keep, parsed.alias("_doc"))
-        .select(*keep, F.posexplode(dcs).alias("position", "_dc"))
-        .select(*keep, "position", *[
-            F.coalesce(F.col(f"_dc.properties.{f}"), F.lit("")).alias(f)
-            for f in _LISTING_FIELDS])
-        .withColumnRenamed("companyname", "company")
-    )
+    dcs = F.from_json(embedded_text(content), F.lit(_LISTING_SCHEMA))[
+        "props"]["pageProps"]["mapdata"]["dcs"]
+    listed = F.transform(dcs, lambda dc: F.struct(*[
+        F.coalesce(dc["properties"][f], F.lit("")).alias(f) for f in _LISTING_FIELDS]))
+    return exploded(df, keep, listed).withColumnRenamed("companyname", "company")
 
 
 def listing_urls(listings: DataFrame, base_url: str) -> DataFrame:

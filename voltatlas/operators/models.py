@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -160,31 +160,46 @@ def score(model: PipelineModel, df: DataFrame) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith("_x")])
 
 
+def _fold_scores(parts: Iterable[tuple[object, DataFrame, DataFrame]], name: str, ddl: str,
+                 features: Sequence[str], label: str, estimator: Estimator,
+                 scaler: str | None, degree: int = 1) -> DataFrame:
+    """One row of scores for each (fold, train, test); the folds are few, the rows are not."""
+    out, spark = [], None
+    for fold, train, test in parts:
+        spark = train.sparkSession
+        model = fit(train, features, label, estimator, scaler, degree)
+        m = regression_metrics(score(model, test), label).first()
+        out.append((fold, m.n, m.r2, m.mae, m.rmse))
+    return inline_table(spark, f"{name} {ddl}, n bigint, r2 double, mae double, rmse double", out)
+
+
 def k_fold(df: DataFrame, features: Sequence[str], label: str, estimator: Estimator,
            keys: Sequence[str], folds: int = 5, scaler: str | None = "standard",
            degree: int = 1) -> DataFrame:
-    """R2 of each fold; folds are hash buckets of the key."""
-    marked = df.withColumn("fold", key_bucket(keys, folds, SEED + 1).cast("int"))
-    scored = [
-        score(fit(marked.where(F.col("fold") != i), features, label, estimator, scaler, degree),
-              marked.where(F.col("fold") == i))
-        for i in range(folds)
-    ]
-    return regression_metrics(reduce(DataFrame.unionByName, scored), label, by=["fold"])
+    """Scores of each fold; folds are hash buckets of the key.
+
+    The rows are read once and kept for the passes of all folds.
+    """
+    marked = df.select(*dict.fromkeys([*features, label]),
+                       key_bucket(keys, folds, SEED + 1).cast("int").alias("fold")).persist()
+    parts = ((i, marked.where(F.col("fold") != i), marked.where(F.col("fold") == i))
+             for i in range(folds))
+    out = _fold_scores(parts, "fold", "int", features, label, estimator, scaler, degree)
+    marked.unpersist()
+    return out
 
 
 def expanding_window(df: DataFrame, features: Sequence[str], label: str, estimator: Estimator,
                      splits: int = 3, year: str = "year",
                      scaler: str | None = "standard") -> DataFrame:
     """Each of the last years is predicted from all years before it."""
-    years = [r[0] for r in df.select(year).distinct().orderBy(F.col(year).desc())
+    kept = df.select(*dict.fromkeys([*features, label, year])).persist()
+    years = [int(r[0]) for r in kept.select(year).distinct().orderBy(F.col(year).desc())
              .limit(splits).collect()]
-    scored = [
-        score(fit(df.where(F.col(year) < y), features, label, estimator, scaler),
-              df.where(F.col(year) == y))
-        for y in sorted(years)
-    ]
-    return regression_metrics(reduce(DataFrame.unionByName, scored), label, by=[year])
+    parts = ((y, kept.where(F.col(year) < y), kept.where(F.col(year) == y)) for y in sorted(years))
+    out = _fold_scores(parts, year, "int", features, label, estimator, scaler)
+    kept.unpersist()
+    return out
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltatlas.functions.columns import blank_to_null, col, strip
+from voltatlas.functions.columns import blank_to_null, col, exploded, let, strip
 
 _REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 # Named characters come from the standard library's table of HTML names.
@@ -33,23 +33,29 @@ def _character(ref: Column) -> Column:
     return F.coalesce(F.try_element_at(names, ref), char, ref)
 
 
+_AMP = ["&amp;", "&#38;", "&#x26;", "&#X26;"]
+
+
+def _decoded(text: Column) -> Column:
+    def replaced(found: Column) -> Column:
+        order = F.concat(F.filter(found, lambda r: ~r.isin(*_AMP)),
+                         F.filter(found, lambda r: r.isin(*_AMP)))
+        return F.reduce(order, text, lambda t, r: F.replace(t, r, _character(r)))
+
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)))
+    return F.when(F.contains(text, F.lit("&")), let(refs, replaced)).otherwise(text)
+
+
 def _decode(c: Column) -> Column:
     """Character references, each once: those of '&' go last, so none is decoded twice."""
-    found = F.array_distinct(F.regexp_extract_all(c, F.lit(_REFERENCE), F.lit(0)))
-    amp = ["&amp;", "&#38;", "&#x26;", "&#X26;"]
-    last = F.filter(found, lambda r: r.isin(*amp))
-    first = F.filter(found, lambda r: ~r.isin(*amp))
-    decoded = F.reduce(F.concat(first, last), c, lambda t, r: F.replace(t, r, _character(r)))
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+    return let(c, _decoded)
 
 
 def _joined_text(html: Column, separator: str) -> Column:
     """Stripped text nodes joined by a separator, without hidden elements."""
-    cut = F.regexp_replace(html, _HIDDEN, "\x01")
-    cut = F.regexp_replace(cut, _TAG, "\x01")
-    cut = F.regexp_replace(cut, r"(?U)\s*\x01[\s\x01]*", "\x01")
-    cut = F.trim(strip(cut), F.lit("\x01"))
-    return strip(_decode(F.replace(cut, F.lit("\x01"), F.lit(separator))))
+    cut = F.regexp_replace(F.regexp_replace(html, _HIDDEN, "\x01"), _TAG, "\x01")
+    nodes = F.filter(F.transform(F.split(cut, "\x01"), strip), lambda x: x != "")
+    return strip(_decode(F.array_join(nodes, separator)))
 
 
 def page_title(html: Column | str) -> Column:
@@ -66,19 +72,17 @@ def _href(tag: Column) -> Column:
     quoted = F.regexp_extract(tag, r"""(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)\"""", 1)
     single = F.regexp_extract(tag, r"(?is)<a\b[^>]*?\shref\s*=\s*'([^']*)'", 1)
     bare = F.regexp_extract(tag, r"""(?is)<a\b[^>]*?\shref\s*=\s*([^\s"'>]+)""", 1)
-    return _decode(F.coalesce(blank_to_null(quoted), blank_to_null(single), blank_to_null(bare)))
+    return _decode(F.coalesce(
+        F.nullif(quoted, F.lit("")), F.nullif(single, F.lit("")), F.nullif(bare, F.lit(""))))
 
 
 def page_links(df: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """Text and target of every link that has a target."""
     anchors = F.regexp_extract_all(
         _visible(F.col(html)), F.lit(r"(?is)<a\s[^>]*?href\s*=[^>]*>.*?</a\s*>"), F.lit(0))
-    return (
-        df.select(key, F.posexplode(anchors).alias("position", "a"))
-        .select(key, "position", _joined_text(F.col("a"), "").alias("text"),
-                F.coalesce(_href(F.col("a")), F.lit("")).alias("url"))
-        .where((F.col("text") != "") | (F.col("url") != ""))
-    )
+    links = F.transform(anchors, lambda a: F.struct(
+        _joined_text(a, "").alias("text"), F.coalesce(_href(a), F.lit("")).alias("url")))
+    return exploded(df, [key], links).where((F.col("text") != "") | (F.col("url") != ""))
 
 
 def _visible(html: Column) -> Column:
@@ -88,14 +92,11 @@ def _visible(html: Column) -> Column:
 def page_list_items(df: DataFrame, html: str = "html", key: str = "page_id", longer_than: int = 5,
                     path: str | None = None) -> DataFrame:
     """List items with enough text and their first link; ``path`` filters on that link."""
-    items = F.regexp_extract_all(
+    tags = F.regexp_extract_all(
         _visible(F.col(html)), F.lit(r"(?is)<li\b[^>]*>.*?</li\s*>"), F.lit(0))
-    out = (
-        df.select(key, F.posexplode(items).alias("position", "li"))
-        .select(key, "position", _joined_text(F.col("li"), "").alias("list_item"),
-                _href(F.col("li")).alias("url"))
-        .where(F.length("list_item") > longer_than)
-    )
+    items = F.transform(tags, lambda li: F.struct(
+        _joined_text(li, "").alias("list_item"), _href(li).alias("url")))
+    out = exploded(df, [key], items).where(F.length("list_item") > longer_than)
     return out.where(F.contains(F.col("url"), F.lit(path))) if path else out
 
 
