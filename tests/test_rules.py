@@ -240,9 +240,9 @@ def test_quantiles_agree_on_both_paths(spark, by):
 
 
 def test_large_summary_stays_lazy(spark, monkeypatch):
-    from voltatlas.operators import quantiles
+    from voltatlas.functions import small
 
-    monkeypatch.setattr(quantiles, "MAX_HELD_ROWS", 3)
+    monkeypatch.setattr(small, "MAX_HELD_ROWS", 3)
     df = spark.range(1000).selectExpr("id % 10 AS g", "CAST(id AS DOUBLE) AS _v")
     got = {r.g: r.m for r in _by_intervals(df, {"m": 0.5}, ["g"]).collect()}
     assert got == {g: 495.0 + g for g in range(10)}

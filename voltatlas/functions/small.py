@@ -1,0 +1,21 @@
+"""Small summaries next to raw rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# Rows of a summary (a few for each group) that may be held as a local relation.
+MAX_HELD_ROWS = 100_000
+
+
+def held_if_small(summary: DataFrame) -> DataFrame:
+    """A small summary as a local relation of known size, a larger one as the lazy frame.
+
+    The optimizer cannot foresee how small an aggregate of many rows is, so a join with it
+    would shuffle the raw rows. With a known size it broadcasts the summary exactly when that
+    is below its own threshold. The summary is computed here, up to one row above the bound.
+    """
+    rows = summary.limit(MAX_HELD_ROWS + 1).toArrow()
+    if rows.num_rows > MAX_HELD_ROWS:
+        return summary
+    return summary.sparkSession.createDataFrame(rows, schema=summary.schema)

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from voltatlas import params as p
 from voltatlas.functions.columns import col, inline_table, ratio
+from voltatlas.functions.small import held_if_small
 from voltatlas.operators.cleaning import latest_period
 from voltatlas.operators.quantiles import exact_median
 
 
 def _with_group_median(df: DataFrame, value: str, group: str, out: str) -> DataFrame:
-    m = exact_median(df, value, [group], out).withColumnRenamed(group, "_g")
+    m = held_if_small(exact_median(df, value, [group], out)).withColumnRenamed(group, "_g")
     return df.join(m, F.col(group) == F.col("_g"), "left").drop("_g")
 
 
@@ -35,12 +36,11 @@ def impute_cascade(df: DataFrame, value: str, state: str = "state",
     """Value, state median, year median, overall median, constant."""
     overall = exact_median(df, value).scalar()
     both = _with_group_median(df, value, state, "_by_state")
-    by_year = exact_median(df, value, [year], "_by_year").withColumnRenamed(year, "_y")
     return (
-        both.join(by_year, F.col(year) == F.col("_y"), "left")
+        _with_group_median(both, value, year, "_by_year")
         .withColumn(out, F.coalesce(F.col(value), F.col("_by_state"), F.col("_by_year"),
                                     overall, F.lit(default)))
-        .drop("_by_state", "_by_year", "_y")
+        .drop("_by_state", "_by_year")
     )
 
 
@@ -129,8 +129,8 @@ def estimate_new_facility(requests: DataFrame, facilities: DataFrame,
     A state counts only with more than ``min_facilities`` facilities.
     """
     # Every facility counts towards the minimum, also one without an intensity.
-    by_state = facilities.groupBy("state").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("energy_per_mw").alias("_state_mean"))
+    by_state = held_if_small(facilities.groupBy("state").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("energy_per_mw").alias("_state_mean")))
     overall = facilities.agg(F.avg("energy_per_mw")).scalar()
     base = energy_by_type_and_vintage("capacity_mw", "dc_type", "year")
     factor = F.when(F.col("_n") > min_facilities,

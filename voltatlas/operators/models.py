@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltatlas.functions.columns import clip, col, inline_table, or_zero, ratio
+from voltatlas.functions.small import held_if_small
 from voltatlas.operators.classify import interpret_causal, interpret_fit
 from voltatlas.operators.panel import first_difference
 from voltatlas.operators.quantiles import exact_quantiles
@@ -342,5 +343,5 @@ def design_summary(scores: DataFrame) -> DataFrame:
 
 def mean_by(df: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
     """Baseline prediction: the mean of a group."""
-    m = df.groupBy(*by).agg(F.avg(col(label)).alias("prediction"))
+    m = held_if_small(df.groupBy(*by).agg(F.avg(col(label)).alias("prediction")))
     return df.join(m, list(by))

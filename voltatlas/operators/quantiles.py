@@ -9,28 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voltatlas.functions.columns import finite, not_null
+from voltatlas.functions.small import held_if_small
 
 _ACCURACY = 10_000
 _MARGIN = 0.002
-# Summary rows (a few for each group) that may be held as a local relation.
-MAX_HELD_ROWS = 100_000
 # Rows of the largest group up to which Spark's buffering percentile is used; with keys a task
 # buffers many groups at once, so a tenth of it.
 MAX_BUFFERED_ROWS = 1_000_000
 
 
-def _held(summary: DataFrame) -> DataFrame:
-    """A small summary as a local relation of known size, a larger one as the lazy frame.
-
-    With a known size the optimizer broadcasts the summary exactly when it is below its own
-    threshold, so the raw rows next to it need no shuffle.
-    """
-    rows = summary.limit(MAX_HELD_ROWS + 1).toArrow()
-    if rows.num_rows > MAX_HELD_ROWS:
-        return summary
-    return summary.sparkSession.createDataFrame(rows, schema=summary.schema)
-
-
 def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
     max_buffered: int = MAX_BUFFERED_ROWS,
@@ -65,7 +52,7 @@ def _by_intervals(base: DataFrame, probs: dict[str, float], keys: list[str]) ->
     near = [min(max(p + d, 0.0), 1.0) for p in probs.values() for d in (-_MARGIN, _MARGIN)]
     sketch = base.groupBy(*keys).agg(F.percentile_approx("_v", near, _ACCURACY).alias("_cuts"))
     if keys:
-        rows = base.join(_held(sketch), keys)
+        rows = base.join(held_if_small(sketch), keys)
         cuts = [F.col("_cuts")[i] for i in range(len(near))]
     else:
         rows = base
@@ -73,7 +60,7 @@ def _by_intervals(base: DataFrame, probs: dict[str, float], keys: list[str]) ->
     interval = sum((F.when(F.col("_v") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     placed = rows.select(*keys, interval.alias("_i"), "_v")
 
-    sizes = _held(placed.groupBy(*keys, "_i").agg(F.count(F.lit(1)).alias("_m")))
+    sizes = held_if_small(placed.groupBy(*keys, "_i").agg(F.count(F.lit(1)).alias("_m")))
     sizes = sizes.withColumns({
         "_upto": F.sum("_m").over(W.partitionBy(*keys).orderBy("_i")),
         "_n": F.sum("_m").over(W.partitionBy(*keys)),

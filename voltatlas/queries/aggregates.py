@@ -14,7 +14,7 @@ from voltatlas.queries.registry import query
 @query("a01_state_rollup", sql("categorized") + """
     SELECT state, count(*) AS dc_count, sum(capacity_mw_est) AS total_capacity_mw,
            sum(estimated_energy_mwh) AS total_energy_mwh FROM categorized GROUP BY 1""",
-       {"total_capacity_mw": 6, "total_energy_mwh": 3})
+       {"total_capacity_mw": 6, "total_energy_mwh": 1})
 def a01(spark, sf):
     return agg.state_rollup(base.categorized(spark, sf))
 
@@ -88,7 +88,7 @@ def a05(spark, sf):
            count(*) FILTER (WHERE category = 'crypto') / count(*) AS crypto_ratio,
            count(*) FILTER (WHERE has_energy_data) / count(*) AS avg_with_data
     FROM mapped GROUP BY 1""",
-       {"total_capacity_mw": 6, "avg_capacity_mw": 8, "total_energy_mwh": 3})
+       {"total_capacity_mw": 6, "avg_capacity_mw": 8, "total_energy_mwh": 1})
 def a06(spark, sf):
     return agg.region_facilities(base.mapped(spark, sf))
 
@@ -99,7 +99,7 @@ def a06(spark, sf):
            count(*) / (SELECT count(*) FROM categorized) * 100 AS pct_of_rows,
            sum(estimated_energy_mwh) / 1e6 AS energy_twh
     FROM categorized GROUP BY 1""",
-       {"total_mw": 6, "total_energy_mwh": 3, "pct_of_rows": 8, "energy_twh": 9})
+       {"total_mw": 6, "total_energy_mwh": 1, "pct_of_rows": 8, "energy_twh": 9})
 def a07(spark, sf):
     return agg.category_summary(base.categorized(spark, sf))
 
@@ -115,7 +115,7 @@ _LATEST = """latest AS (SELECT state, total_consumption_mwh FROM electricity
            sum(estimated_energy_mwh) / any_value(total_consumption_mwh) * 100 AS pct_of_state
     FROM categorized c LEFT JOIN latest l ON c.state = l.state
     WHERE dc_category = 'big_ai' GROUP BY 1""",
-       {"total_capacity_mw": 6, "total_energy_mwh": 3, "total_consumption_mwh": 2,
+       {"total_capacity_mw": 6, "total_energy_mwh": 1, "total_consumption_mwh": 2,
         "pct_of_state": 5})
 def a08(spark, sf):
     latest = cleaning.latest_period(base.electricity(spark, sf))
@@ -182,8 +182,8 @@ _CATS = ["small", "decent", "crypto", "big_ai"]
     f"coalesce(sum(capacity_mw_est) FILTER (WHERE dc_category = '{c}'), 0) AS {c}_capacity_mw, "
     f"coalesce(sum(estimated_energy_mwh) FILTER (WHERE dc_category = '{c}'), 0) AS {c}_energy_mwh"
     for c in _CATS) + " FROM categorized GROUP BY 1",
-       {"capacity_mw": 6, "energy_mwh": 3,
-        **{f"{c}_capacity_mw": 6 for c in _CATS}, **{f"{c}_energy_mwh": 3 for c in _CATS}})
+       {"capacity_mw": 6, "energy_mwh": 1,
+        **{f"{c}_capacity_mw": 6 for c in _CATS}, **{f"{c}_energy_mwh": 1 for c in _CATS}})
 def a11(spark, sf):
     return agg.category_breakdown(base.categorized(spark, sf))
 

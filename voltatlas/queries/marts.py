@@ -273,7 +273,7 @@ _SHARES = f"""{_LATEST}, shares AS (
 
 @query("d09_state_share", sql("categorized", "electricity", more=_SHARES) + """
     SELECT *, total_energy_mwh / total_consumption_mwh * 100 AS dc_pct_of_state FROM shares""",
-       {"total_consumption_mwh": 2, "total_capacity_mw": 6, "total_energy_mwh": 3,
+       {"total_consumption_mwh": 2, "total_capacity_mw": 6, "total_energy_mwh": 1,
         "dc_pct_of_state": 5})
 def d09(spark, sf):
     return marts.state_share(base.categorized(spark, sf), base.electricity(spark, sf))
