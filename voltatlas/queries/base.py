@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltatlas.functions.columns import contains_any
 from voltatlas.operators import classify, energy
 
 # Keywords that occur in the names of the bound facilities.
@@ -142,19 +141,15 @@ def sales(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def nation_dim(spark: SparkSession, sf: str) -> DataFrame:
-    """States with an abbreviation, population and GDP; some have no abbreviation."""
+    """States with an abbreviation, population and GDP; those named ..5 are not listed."""
     k = F.col("n_nationkey")
-    return table(spark, sf, "nation").where(k % 6 != 5).select(
+    return table(spark, sf, "nation").where(~F.endswith("n_name", F.lit("5"))).select(
         F.col("n_name").alias("state"), F.concat(F.lit("N"), k.cast("string")).alias("abbrev"),
         F.concat(F.lit("N"), k.cast("string")).alias("state_abbr"),
         ((k + 1) * 0.5).cast("double").alias("population_millions"),
         ((k + 1) * 30).cast("double").alias("gdp_billions"))
 
 
-def has_word(name: str, words: list[str]):
-    return contains_any(name, words)
-
-
 CATEGORY_SQL = """CASE
     WHEN lower(data_center_name) LIKE '%machinery%' THEN 'crypto'
     WHEN capacity_mw >= 50 OR lower(data_center_name) LIKE '%automobile%' THEN 'big_ai'
@@ -217,7 +212,7 @@ _NATION_DIM = """nation_dim AS (
            'N' || CAST(n_nationkey AS VARCHAR) AS state_abbr,
            CAST((n_nationkey + 1) * 0.5 AS DOUBLE) AS population_millions,
            CAST((n_nationkey + 1) * 30 AS DOUBLE) AS gdp_billions
-    FROM nation WHERE n_nationkey % 6 <> 5)"""
+    FROM nation WHERE n_name NOT LIKE '%5')"""
 _PARTS = {
     "facility": [_FACILITY],
     "categorized": [_FACILITY, _CATEGORIZED],

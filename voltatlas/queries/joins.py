@@ -79,12 +79,12 @@ def j05(spark, sf):
 @query("j06_enrich_by_name", sql("facility", more="""
     facts AS (SELECT * FROM (SELECT city, data_center_id, capacity_mw, row_number() OVER (
         PARTITION BY owner_id ORDER BY data_center_id DESC) AS r, owner_id FROM facility
-        WHERE data_center_id % 3 = 0) WHERE r = 1)""") + """
+        WHERE capacity_mw IS NOT NULL) WHERE r = 1)""") + """
     SELECT c_custkey AS id, f.data_center_id AS fact_id, f.capacity_mw,
         coalesce(f.city, 'unknown') AS category, f.owner_id IS NOT NULL AS has_energy_data
     FROM customer LEFT JOIN facts f ON f.owner_id = c_custkey""")
 def j06(spark, sf):
-    facts = base.facilities(spark, sf).where(F.col("data_center_id") % 3 == 0).select(
+    facts = base.facilities(spark, sf).where(F.col("capacity_mw").isNotNull()).select(
         "owner_id", F.col("data_center_id").alias("fact_id"), "capacity_mw",
         F.col("city").alias("category"))
     df = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"))

@@ -121,7 +121,7 @@ def d03_category(spark, sf):
 _FACTS = """facts AS (SELECT * FROM (SELECT CAST(owner_id AS VARCHAR) AS fact_name,
         year_operational, capacity_mw_est, estimated_energy_mwh, dc_category,
         row_number() OVER (PARTITION BY owner_id ORDER BY data_center_id DESC) AS r
-      FROM categorized WHERE data_center_id % 2 = 0) WHERE r = 1),
+      FROM categorized WHERE year_operational IS NOT NULL) WHERE r = 1),
   map AS (SELECT coalesce(CASE WHEN c_custkey % 50 <> 0 THEN CAST(c_custkey AS VARCHAR) END,
         'Unknown') AS name, n_name AS state, c_mktsegment AS city
     FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
@@ -136,7 +136,7 @@ def _listed(spark, sf):
 
 
 def _map(spark, sf):
-    facts = base.categorized(spark, sf).where(F.col("data_center_id") % 2 == 0).withColumn(
+    facts = base.categorized(spark, sf).where(F.col("year_operational").isNotNull()).withColumn(
         "data_center_name", F.col("owner_id").cast("string"))
     return marts.facility_map(_listed(spark, sf), facts, ["data_center_id"])
 

@@ -97,7 +97,7 @@ def spec_pages(spark, sf):
         k.alias("page_key"), F.concat(L("dc-"), ks).alias("dc"),
         F.concat(L("/html/state/"), F.lower("n_name"), L("/city/x/dc/dc-"), ks, L("/specs.txt"))
         .alias("path"),
-        content.alias("content"))
+        F.col("c_acctbal").alias("balance"), content.alias("content"))
 
 
 @query("x01_valid_pages", """
@@ -323,9 +323,10 @@ def x15(spark, sf):
 
 @query("x16_pending_urls", """
     SELECT DISTINCT 'dc-' || CAST(c_custkey AS VARCHAR) AS url FROM customer
-    WHERE c_custkey % 4 = 0 OR c_custkey % 9 = 1 OR c_custkey % 9 = 0""")
+    WHERE c_acctbal < 0 OR c_custkey % 9 = 1 OR c_custkey % 9 = 0""")
 def x16(spark, sf):
-    stored = spec_pages(spark, sf).where(F.col("page_key") % 4 != 0).select(
+    # Pages of customers in debt are not stored yet; two of the page shapes are cut off.
+    stored = spec_pages(spark, sf).where(F.col("balance") >= 0).select(
         F.col("dc").alias("url"), "content")
     urls = table(spark, sf, "customer").select(
         F.concat(F.lit("dc-"), F.col("c_custkey").cast("string")).alias("url"))
