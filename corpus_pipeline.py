@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from voltatlas.llm import exact_dedup, mixing, quality
+from voltatlas.llm import exact_dedup, minhash, mixing, quality, sentencepieces
 from voltatlas.llm.tables import documents, stored
 
 
@@ -18,15 +19,32 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group that shares 80 of 100 five-word shingles, or more."""
+    return minhash.drop_near_duplicates(docs, words=5, percent=80)
+
+
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
 
 
+def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document, and whether they decode to its text."""
+    carry = ["doc_id", "lang", "source", "text"]
+    encoded = sentencepieces.encode(docs, carry=carry)
+    return encoded.select(
+        *[F.col("row")[c].alias(c) for c in carry[:-1]],
+        F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids",
+        (F.col("decoded") == F.coalesce("row.text", F.lit(""))).alias("round_trip"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("exact_dedup", exact_duplicates),
+    ("near_dedup", near_duplicates),
     ("mixing", mixing_to_targets),
+    ("sentence_pieces", sentence_pieces),
 ]
 
 ORACLE_SQL = None  # near duplicates and pieces cannot be stated in SQL

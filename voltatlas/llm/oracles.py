@@ -86,6 +86,32 @@ FROM edges
 """
 
 
+URLS = r"""
+WITH parts AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+ruled AS (
+  SELECT *, CASE
+    WHEN host = 'www.example.com' AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN ends_with(host, '.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/')
+      THEN 'example.com/en/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/'
+  END AS rule FROM parts)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
+  WHEN rule IS NOT NULL THEN 'block'
+  WHEN host <> '' AND host IN (
+    SELECT host FROM ruled WHERE rule IN ('example.com/en/', 'net/es/', 'net/fr/')) THEN 'block'
+  ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
 def _listed(words) -> str:
     return "[" + ", ".join("'" + w + "'" for w in words) + "]"
 

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltatlas.llm import exact_dedup, minhash, mixing, oracles, quality
+from voltatlas.llm import (
+    exact_dedup, langid, minhash, mixing, oracles, quality, secret_scan, sentencepieces, token_counts,
+    url_cascade,
+)
 from voltatlas.llm.tables import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +40,21 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+@query("op3_token_counts")
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(documents(spark, sf_dir))
+    return counted.select(
+        F.col("row.doc_id").alias("doc_id"), "section", F.col("start").alias("section_start"),
+        F.col("end").alias("section_end"), "n_tokens", "n_crossing")
+
+
+@query("op4_url_filters", oracles.URLS)
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_cascade.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judged.select(
+        F.col("row.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
 @query("op5_quality_rules", oracles.QUALITY)
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(documents(spark, sf_dir), carry=["doc_id"])
@@ -45,6 +63,39 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_repeat_words", "base_failed", "kept")
 
 
+def joined_spans(spans: str = "spans") -> F.Column:
+    """``kind:start:end`` of every span, comma-joined."""
+    return F.array_join(F.transform(
+        spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(documents(spark, sf_dir))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256",
+        joined_spans().alias("spans"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    model = langid.train(docs, ~held_out)
+    return langid.predict(docs, model).select(
+        F.col("row.doc_id").alias("doc_id"),
+        (F.pmod(F.crc32(F.col("row.doc_id").cast("string").cast("binary")), F.lit(5)) == 0).alias("held_out"),
+        "lang_pred", "score", "ambiguous")
+
+
+@query("op8_sentencepieces")
+def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = sentencepieces.encode(documents(spark, sf_dir), carry=["doc_id", "text"])
+    return encoded.select(
+        F.col("row.doc_id").alias("doc_id"), F.size("piece_ids").cast("long").alias("n_pieces"),
+        "piece_ids", (F.col("decoded") == F.coalesce("row.text", F.lit(""))).alias("round_trip"))
+
+
 @query("op9_exact_dedup", oracles.EXACT_DEDUP)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
