@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltatlas.llm import (
-    exact_dedup, langid, minhash, mixing, oracles, quality, secret_scan, sentencepieces, token_counts,
+    exact_dedup, langid, minhash, mixing, oracles, pii, quality, secret_scan, sentencepieces, token_counts,
     url_cascade,
 )
 from voltatlas.llm.tables import documents
@@ -99,3 +99,12 @@ def op8_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_exact_dedup", oracles.EXACT_DEDUP)
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
+
+
+@query("op10_personal_data")
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = pii.find_personal_data(docs, pii.train(docs))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
+        joined_spans().alias("spans"))
