@@ -68,16 +68,14 @@ def _bit(bits: Column, pos: Column) -> Column:
 def maybe_repeated(df: DataFrame, bloom: DataFrame, blocks: int, col: str, into: str) -> DataFrame:
     """Pass 2: adds the boolean ``into``; false proves that no other row has the hash."""
     h = F.col(col)
-    marks = bloom.select(
-        F.col("block").alias("__block"), F.col("bits").alias("__bits"))
-    tested = df.withColumn("__at", _block(h, blocks)).join(
-        F.broadcast(marks), F.col("__at") == F.col("__block"), "left")
-    both = F.lit(True)
+    at, block, bits = (fresh(df, f"__{c}") for c in ("at", "block", "bits"))
+    marks = bloom.select(F.col("block").alias(block), F.col("bits").alias(bits))
+    tested = df.withColumn(at, _block(h, blocks)).join(
+        F.broadcast(marks), F.col(at) == F.col(block), "left")
+    both = F.col(bits).isNotNull()
     for pos in _positions(h):
-        both = both & _bit(F.col("__bits"), pos)
-    return (
-        tested.withColumn(into, F.coalesce(F.col("__bits").isNotNull() & both, F.lit(False)))
-        .drop("__at", "__block", "__bits"))
+        both = both & _bit(F.col(bits), pos)
+    return tested.withColumn(into, F.coalesce(both, F.lit(False))).drop(at, block, bits)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -125,7 +123,7 @@ def drop_exact_duplicates(
 
     Rows that the filter proves unique go straight from the scan to the result. Of the others,
     hash and id are grouped; rows that are not the first of their group are dropped, and one of
-    several rows with the same id and text stays (the one whose other columns sort first).
+    several rows with the same id and text stays.
     """
     h, maybe = fresh(docs, "__hash"), fresh(docs, "__maybe")
     hashed = docs.withColumn(h, text_hash(F.col(text_col)))
@@ -134,15 +132,15 @@ def drop_exact_duplicates(
     blocks = blocks_for(ids.count())
     bloom = stored(repeat_filter(ids, blocks), "exact-filter")
     tested = maybe_repeated(hashed, bloom, blocks, h, maybe)
+    group, keep = fresh(docs, "__group"), fresh(docs, "__keep")
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id"))
     groups = stored(
         maybe_repeated(ids, bloom, blocks, "h", "maybe").filter("maybe")
-        .groupBy("h").agg(first["id"].alias("keep_id"), F.count(F.lit(1)).alias("n"))
-        .filter("n >= 2").select(F.col("h").alias("gh"), "keep_id"),
+        .groupBy("h").agg(first["id"].alias(keep), F.count(F.lit(1)).alias("n"))
+        .filter("n >= 2").select(F.col("h").alias(group), keep),
         "exact-groups")
     alone = tested.filter(~F.col(maybe)).select(*docs.columns)
     firsts = (
-        tested.filter(F.col(maybe)).join(groups, F.col(h) == F.col("gh"), "left")
-        .filter(F.col("gh").isNull() | F.col(id_col).eqNullSafe(F.col("keep_id"))))
-    one = firsts.groupBy(h).agg(F.min(F.struct(*docs.columns)).alias("one")).select("one.*")
-    return alone.unionByName(one)
+        tested.filter(F.col(maybe)).join(groups, F.col(h) == F.col(group), "left")
+        .filter(F.col(group).isNull() | F.col(id_col).eqNullSafe(F.col(keep))))
+    return alone.unionByName(firsts.dropDuplicates([h]).select(*docs.columns))

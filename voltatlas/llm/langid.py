@@ -21,6 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from voltatlas.llm.tables import row_struct, with_row
 
 MAX_ROWS = 2_000  # labelled rows of a fit
 BUCKETS = 4_096  # of hashed n-grams
@@ -230,6 +233,5 @@ def predict(
                      pa.array(score), pa.array(ambiguous)],
                     names=["row", "lang_pred", "score", "ambiguous"])
 
-    carried = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(F.struct(*carry).alias("row"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"row struct<{carried}>, lang_pred string, score double, ambiguous boolean")
+    return docs.select(row_struct(docs, carry), docs[text_col].alias("text")).mapInArrow(
+        run, with_row(docs, carry, lang_pred=T.StringType(), score=T.DoubleType(), ambiguous=T.BooleanType()))

@@ -26,10 +26,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltatlas.llm.components import connected_components
 from voltatlas.llm.shingles import mix, shingle_sets, slices
-from voltatlas.llm.tables import stored
+from voltatlas.llm.tables import row_struct, stored, with_row
 
 BINS = 128
 ROWS = 4
@@ -154,13 +155,13 @@ def near_duplicates(
     carried are not read, and carried names stay inside the struct, so that none can clash.
     """
     kept = [id_col, *(c for c in carry if c != id_col)]
-    schema = "number long, row struct<{}>, id {}, text string, n long, f1 long, f2 long, bands array<long>"
-    inner = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in kept)
+    schema = with_row(
+        docs, kept, number=T.LongType(), id=docs.schema[id_col].dataType, text=T.StringType(), n=T.LongType(),
+        f1=T.LongType(), f2=T.LongType(), bands=T.ArrayType(T.LongType()))
     rows = stored(
         docs.select(
-            F.monotonically_increasing_id().alias("number"), F.struct(*kept).alias("row"),
-            F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(_sketched(words), schema.format(inner, docs.schema[id_col].dataType.simpleString())),
+            row_struct(docs, kept), F.monotonically_increasing_id().alias("number"),
+            docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(_sketched(words), schema),
         "near-rows")
     # One node for each distinct non-empty set, named by the number of one of its rows.
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "number"))

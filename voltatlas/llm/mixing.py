@@ -186,14 +186,14 @@ def mixed_documents(
     drawn from a hash of its id, so that a source's words stay near its target. Rows without
     words stay once: they weigh nothing. Rows with the same id are taken alike.
     """
+    key, times, copy = (fresh(docs, f"__{c}") for c in ("key", "times", "copy"))
     shares = mix(docs, id_col, text_col, source_col, seed=seed)
-    draw = F.pmod(hash_number(F.col("__id"), f"{seed}:copies"), F.lit(1_000_000)) / 1_000_000.0
-    times = stored(
-        shares.groupBy(F.col(id_col).alias("__id")).agg(
+    draw = F.pmod(hash_number(F.col(key), f"{seed}:copies"), F.lit(1_000_000)) / 1_000_000.0
+    counts = stored(
+        shares.groupBy(F.col(id_col).alias(key)).agg(
             F.sum("size").alias("s"), F.sum("taken").alias("t"))
-        .select("__id", F.when(F.col("s") == 0, F.lit(1)).otherwise(
-            F.floor(F.col("t") / F.col("s") + draw)).cast("int").alias("__times"))
-        .filter("__times > 0"), "mix-times")
-    n = fresh(docs, "__copy")
-    out = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")))
-    return out.withColumn(n, F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+        .select(key, F.when(F.col("s") == 0, F.lit(1)).otherwise(
+            F.floor(F.col("t") / F.col("s") + draw)).cast("int").alias(times))
+        .filter(F.col(times) > 0), "mix-times")
+    out = docs.join(counts, F.col(id_col).eqNullSafe(F.col(key)))
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)

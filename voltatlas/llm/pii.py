@@ -24,8 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltatlas.llm import tagger
+from voltatlas.llm.tables import row_struct, with_row
 from voltatlas.llm.tagger import PAD, Tagger, codes_of
 
 # The kinds in order, and their patterns.
@@ -351,7 +353,9 @@ def find_personal_data(
                      pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in s] for s in both], span)],
                     names=["row", *[f"n_{k}" for k in KINDS], "n_added", "base_sha256", "spans"])
 
-    carried = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(F.struct(*carry).alias("row"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"row struct<{carried}>, n_email long, n_ip long, n_card long, n_phone long, n_added long, "
-        "base_sha256 string, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select(row_struct(docs, carry), docs[text_col].alias("text")).mapInArrow(
+        run, with_row(
+            docs, carry, **{f"n_{k}": T.LongType() for k in (*KINDS, "added")},
+            base_sha256=T.StringType(), spans=T.ArrayType(T.StructType([
+                T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
+                T.StructField("end", T.LongType())]))))

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltatlas.llm.tables import fresh, stored
+from voltatlas.llm.tables import fresh, row_struct, stored
 
 # Frequent function words of each language.
 COMMON_WORDS: dict[str, tuple[str, ...]] = {
@@ -222,9 +222,8 @@ def measure(
     sums over it, and the verdict needs nothing else.
     """
     carried = docs.columns if carry is None else list(carry)
-    kept = F.struct(*[F.col(c) for c in carried]) if carried else F.struct(F.lit(1).alias("_"))
     df = docs.select(
-        kept.alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("raw"))
+        row_struct(docs, carried), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("raw"))
     df = with_histograms(df, "raw", "h_", common)
     df = repeated_words(df, "h_words", limits.window, "repeats")
     df = computed(df, lines=F.filter(
@@ -289,4 +288,5 @@ def judge(
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns as they are."""
-    return judge(docs, text_col, lang_col).filter("kept").select("row.*")
+    found = judge(docs, text_col, lang_col).filter("kept")
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns])

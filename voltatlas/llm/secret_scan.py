@@ -25,6 +25,9 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from voltatlas.llm.tables import row_struct, with_row
 
 # The base kinds in order, and their patterns.
 BASE_KINDS = ("assign", "access", "hex")
@@ -246,7 +249,9 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", carry: Sequence[str] =
                     [batch.column("row"), *counts, more, hashes, lists],
                     names=["row", "n_assign", "n_access", "n_hex", "n_confirmed", "base_sha256", "spans"])
 
-    carried = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(F.struct(*carry).alias("row"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"row struct<{carried}>, n_assign long, n_access long, n_hex long, n_confirmed long, "
-        "base_sha256 string, spans array<struct<kind:string,start:bigint,end:bigint>>")
+    return docs.select(row_struct(docs, carry), docs[text_col].alias("text")).mapInArrow(
+        run, with_row(
+            docs, carry, **{f"n_{k}": T.LongType() for k in (*BASE_KINDS, "confirmed")},
+            base_sha256=T.StringType(), spans=T.ArrayType(T.StructType([
+                T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
+                T.StructField("end", T.LongType())]))))

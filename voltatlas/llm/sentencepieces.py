@@ -26,6 +26,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from voltatlas.llm.tables import row_struct, with_row
 
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # a parameter; never copied
@@ -187,6 +190,5 @@ def encode(
                      own.decode(ids, bounds).cast(pa.large_string()).cast(pa.string())],
                     names=["row", "piece_ids", "decoded"])
 
-    carried = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
-    return docs.select(F.struct(*carry).alias("row"), F.col(text_col).alias("text")).mapInArrow(
-        run, f"row struct<{carried}>, piece_ids array<int>, decoded string")
+    return docs.select(row_struct(docs, carry), docs[text_col].alias("text")).mapInArrow(
+        run, with_row(docs, carry, piece_ids=T.ArrayType(T.IntegerType()), decoded=T.StringType()))

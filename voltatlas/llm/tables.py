@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltatlas.session import shared_folder
 
-# Between words: U+0020 and U+0009 to U+000D. The same five-plus-one characters everywhere.
+# Between words: U+0020 and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
@@ -30,3 +34,17 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def row_struct(docs: DataFrame, carry: Sequence[str]) -> Column:
+    """The carried columns as the struct ``row``: inside it, no name can clash with another."""
+    return F.struct(*[docs[c].alias(c) for c in carry] or [F.lit(1).alias("_")]).alias("row")
+
+
+def with_row(docs: DataFrame, carry: Sequence[str], **columns: T.DataType) -> T.StructType:
+    """Schema of ``row`` as in ``row_struct``, followed by the given columns."""
+    fields = [docs.schema[c] for c in carry] or [T.StructField("_", T.IntegerType())]
+    fields = [T.StructField(f.name, f.dataType) for f in fields]
+    return T.StructType([
+        T.StructField("row", T.StructType(fields)),
+        *[T.StructField(name, kind) for name, kind in columns.items()]])

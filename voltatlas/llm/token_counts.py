@@ -17,6 +17,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from voltatlas.llm.tables import row_struct, with_row
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # a parameter; never copied
 # Fixed value: how the vocabulary's texts are cut before merging.
@@ -149,9 +152,9 @@ def count_tokens(
                     [batch.column("row").take(pa.array(np.concatenate(take))), *merged],
                     names=["row", "section", "start", "end", "n_tokens", "n_crossing"])
 
-    carried = ", ".join(f"`{c}`: {docs.schema[c].dataType.simpleString()}" for c in carry)
-    columns = [F.struct(*carry).alias("row"), F.col(text_col).alias("text")]
+    columns = [row_struct(docs, carry), docs[text_col].alias("text")]
     if sections_col:
         columns.append(F.col(sections_col).alias("sections"))
     return docs.select(*columns).mapInArrow(
-        run, f"row struct<{carried}>, section long, start long, end long, n_tokens long, n_crossing long")
+        run, with_row(docs, carry, **{c: T.LongType() for c in (
+            "section", "start", "end", "n_tokens", "n_crossing")}))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltatlas.llm.shingles import mix
-from voltatlas.llm.tables import fresh, stored
+from voltatlas.llm.tables import row_struct, stored
 
 HASHES = 6  # bits of a key in a level; at 9 bits a key, one key in 64 passes by mistake
 BITS_PER_KEY = 9
@@ -184,7 +184,7 @@ def judge_urls(
         rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
         return found.withColumns({"rule": rule, "verdict": verdict})
 
-    named = pages.select(F.struct(*carry).alias("row"), F.col(url_col).alias("url"))
+    named = pages.select(row_struct(pages, carry), pages[url_col].alias("url"))
     hosts = stored(
         judged(named.select("url"), "url").filter("host <> ''").groupBy("host")
         .agg(F.max(F.coalesce(F.col("verdict") == "block", F.lit(False))).alias("listed")), "cascade-hosts")
@@ -209,4 +209,4 @@ def judge_urls(
 def allowed(pages: DataFrame, url_col: str = "url", rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``pages`` that are allowed, with their columns as they are."""
     kept = judge_urls(pages, url_col, rules, carry=pages.columns).filter("verdict = 'allow'")
-    return kept.select("row.*")
+    return kept.select(*[F.col("row")[c].alias(c) for c in pages.columns])
