@@ -47,14 +47,11 @@ def test_json_array_and_nulls(spark, tmp_path):
     assert [json.loads(x) for x in lines] == [{"i": 1, "x": None}]
 
 
-def test_keyed_document(spark, monkeypatch):
+def test_keyed_document(spark):
     df = spark.createDataFrame([("VA", 2, None), ("TX", 1, 0.5), (None, 9, 9.0)],
                                "abbrev string, n int, x double")
     doc = json.loads(writers.keyed_document(df, "abbrev").first().document)
     assert doc == {"TX": {"n": 1, "x": 0.5}, "VA": {"n": 2, "x": None}}
-    monkeypatch.setattr(writers, "MAX_DOCUMENT_KEYS", 1)
-    with pytest.raises(Exception, match="too many keys"):
-        writers.keyed_document(df, "abbrev").first()
 
 
 def test_api_response(spark):

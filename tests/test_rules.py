@@ -1,13 +1,14 @@
 """Edge rows of classification, cleaning, imputation and energy rules."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from voltatlas import params as p
 from voltatlas.operators import classify, cleaning, energy
-from voltatlas.operators.quantiles import _by_intervals, exact_median, exact_quantiles
+from voltatlas.operators.quantiles import exact_median, exact_quantiles, ordered_bits
 from voltatlas.functions.columns import clip, contains_any, finite, ratio, text_to_number, url_slug
 
 
@@ -214,46 +215,60 @@ def test_new_facility_uses_state_only_with_enough_rows(spark):
 
 
 @pytest.mark.parametrize("by", [[], ["g"]])
-def test_quantiles_agree_on_both_paths(spark, by):
+def test_quantiles_are_exact(spark, by):
+    """Values whose ranks take every refinement: neighbours that differ in the last bit."""
     import numpy as np
 
     rng = np.random.default_rng(7)
+    close = [1.0]
+    for _ in range(400):
+        close.append(float(np.nextafter(close[-1], 2)))
     data = [("hot", float(v)) for v in np.round(rng.lognormal(2, 1.5, 4000), 1)]
+    data += [("hot", -float(v)) for v in rng.lognormal(-300, 150, 900)]
+    data += [("close", v) for v in close]
     data += [("one", 4.0), ("two", 1.0), ("two", 2.0), ("gone", None), (None, 9.0)]
-    data += [("same", 3.0)] * 50
-    df = spark.createDataFrame(data, "g string, x double")
+    data += [("same", 3.0)] * 50 + [("wide", v) for v in (5e-324, -1e308, 0.0, -0.0, 1e308, -5e-324, 2.2e-308)]
+    df = spark.createDataFrame(data, "g string, x double").repartition(5)
     probs = {"lo": 0.0, "q1": 0.25, "med": 0.5, "q9": 0.9, "hi": 1.0}
-    small = exact_quantiles(df, "x", probs, by)
-    large = exact_quantiles(df, "x", probs, by, max_buffered=0)
-    key = by or ["med"]
-    a = [tuple(r) for r in small.orderBy(*key).collect()]
-    b = [tuple(r) for r in large.orderBy(*key).collect()]
-    assert len(a) == len(b) == (4 if by else 1)
-    for x, y in zip(a, b):
-        assert x == pytest.approx(y)
-    groups = {"hot", "one", "two", "same"} if by else {None}
+    got = exact_quantiles(df, "x", probs, by).collect()
+    groups = {"hot", "close", "one", "two", "same", "wide"} if by else {None}
+    assert len(got) == len(groups)
     for g in groups:
-        xs = [v for k, v in data if v is not None and (not by or k == g)]
-        want = [np.percentile(xs, 100 * q) for q in probs.values()]
-        got = [r for r in b if not by or r[0] == g][0][len(by):]
-        assert got == pytest.approx(want)
+        xs = sorted(v for k, v in data if v is not None and k is not None or not by and v is not None
+                    if not by or k == g)
+        own = [r for r in got if not by or r[0] == g][0][len(by):]
+        for q, value in zip(probs.values(), own):
+            at = (len(xs) - 1) * q
+            lo, hi = xs[int(at)], xs[-int(-at // 1)] if at % 1 else xs[int(at)]
+            assert value == lo + (hi - lo) * (at - int(at)), (g, q)
 
 
-def test_large_summary_stays_lazy(spark, monkeypatch):
-    from voltatlas.functions import small
+def test_ordered_bits_keep_the_order(spark):
+    import struct
 
-    monkeypatch.setattr(small, "MAX_HELD_ROWS", 3)
-    df = spark.range(1000).selectExpr("id % 10 AS g", "CAST(id AS DOUBLE) AS _v")
-    got = {r.g: r.m for r in _by_intervals(df, {"m": 0.5}, ["g"]).collect()}
-    assert got == {g: 495.0 + g for g in range(10)}
+    rng = random.Random(3)
+    values = {struct.unpack("d", rng.randbytes(8))[0] for _ in range(5000)}
+    values = sorted(v for v in values if v == v and abs(v) != float("inf"))
+    values = sorted({*values, 0.0, 1.0, 2.0, 4.0, 2.0**52, 2.0**-1022, 5e-324, -5e-324, 1.7976931348623157e308,
+                     *[2.0**e for e in range(-1074, 1024)]})
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = {r.v: r.b for r in df.select("v", ordered_bits(F.col("v")).alias("b")).collect()}
+    bits = [got[v] for v in values]
+    assert all(a < b for a, b in zip(bits, bits[1:]))
+
+
+def test_quantiles_run_no_job_while_built(spark):
+    df = spark.range(100).selectExpr("id % 3 AS g", "CAST(id AS DOUBLE) AS x")
+    spark.sparkContext.setJobGroup("built", "")
+    exact_quantiles(df, "x", {"m": 0.5}, ["g"])
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("built")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_median_of_nothing_is_null(spark):
     df = spark.createDataFrame([("a", None)], "g string, x double")
     assert [r.median for r in exact_median(df, "x").collect()] == [None]
     assert exact_median(df, "x", ["g"]).collect() == []
-    got = exact_quantiles(df, "x", {"m": 0.5}, max_buffered=-1).collect()
-    assert [r.m for r in got] == [None]
 
 
 def test_column_helpers(spark):

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from voltatlas import params as p
 from voltatlas.functions.columns import col, contains_any
-from voltatlas.functions.small import held_if_small
 
 
 def classify_category(name: Column | str, mw: Column | str,
@@ -123,7 +122,6 @@ def estimate_year_from_peak_growth(df: DataFrame, electricity: DataFrame, state:
         F.col("year").between(data_low, data_high) & F.col("yoy_change_pct").isNotNull())
     peak = growth.groupBy(F.col("state").alias(state)).agg(
         F.max_by("year", F.struct("yoy_change_pct", -F.col("year"))).alias("estimated_year"))
-    peak = held_if_small(peak)
     bad = df.where(F.col(year).isNull() | ~F.col(year).between(low, high))
     return bad.join(peak, state).withColumn("confidence", F.lit("low"))
 

@@ -15,7 +15,6 @@ from pyspark.sql import Window as W
 from voltatlas import params as p
 from voltatlas.functions.columns import clip, col, not_null, or_zero, ratio, sum0
 from voltatlas.functions.dimensions import state_dim
-from voltatlas.functions.small import held_if_small
 from voltatlas.operators.classify import is_hyperscale
 
 
@@ -382,8 +381,8 @@ def previous_year_consumption(requests: DataFrame, electricity: DataFrame,
                               fallback: Column, value: str = "total_consumption_mwh",
                               out: str = "prev_consumption") -> DataFrame:
     """Consumption of the state in the year before, else ``fallback`` (a scalar)."""
-    prev = held_if_small(electricity.select(
-        "state", (F.col("year") + 1).alias("year"), F.col(value).alias("_prev")))
+    prev = electricity.select(
+        "state", (F.col("year") + 1).alias("year"), F.col(value).alias("_prev"))
     return (
         requests.join(prev, ["state", "year"], "left")
         .withColumn(out, F.coalesce(F.col("_prev"), fallback))

@@ -4,105 +4,89 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voltatlas.functions.columns import finite, not_null
-from voltatlas.functions.small import held_if_small
 
-_ACCURACY = 10_000
-_MARGIN = 0.002
-# Rows of the largest group up to which Spark's buffering percentile is used; with keys a task
-# buffers many groups at once, so a tenth of it.
-MAX_BUFFERED_ROWS = 1_000_000
+# Bits of a rank's place that each step finds: a window has at most 2**16 rows.
+_STEPS = (48, 32, 16, 0)
+
+
+def ordered_bits(v: Column) -> Column:
+    """A bigint in the order of finite doubles: exponent and mantissa, negative below zero.
+
+    Scaling by a power of two is exact, so different doubles have different numbers.
+    """
+    a = F.abs(v)
+    guess = F.floor(F.log2(a))
+    # The logarithm may be off by one next to a power of two.
+    e = F.when(F.pow(F.lit(2.0), guess) > a, guess - 1).when(
+        F.pow(F.lit(2.0), guess + 1) <= a, guess + 1).otherwise(guess)
+    e = F.least(F.greatest(e, F.lit(-1022)), F.lit(1023)).cast("long")
+    # Two factors, as 2**1074 is no double.
+    scaled = a * F.pow(F.lit(2.0), -e) * F.lit(2.0**52)
+    normal = (e + 1022) * F.lit(1 << 52) + scaled.cast("long")
+    return F.when(v == 0, F.lit(0).cast("long")).when(v < 0, -normal).otherwise(normal)
 
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
-    max_buffered: int = MAX_BUFFERED_ROWS,
 ) -> DataFrame:
     """Linearly interpolated quantiles (the pandas definition) of ``value`` for each group.
 
-    The built-in exact percentile holds every distinct value of a group in one buffer, so it
-    is used only after the largest group was counted and found small. Larger groups go through
-    ``_by_intervals``, which spreads each group over the cluster. Both are exact.
+    Values are counted by group and value, then each wanted rank is found by its place in an
+    order-preserving number, 16 bits at a time: counts by the leading bits tell which of at most
+    65,536 parts of the group holds the rank, and only that part is counted by the next bits. So
+    no task sees more of a group than its share, whatever the values are, and there is one way
+    for every size. All is lazy; the counts of values are one shuffle that every step reads.
 
-    The counts run when the function is called; the rest is lazy. Rows with a missing value
-    or key are left out. Without ``by`` the result has one row.
+    Rows with a missing value or key are left out. Without ``by`` the result has one row.
     """
     keys = list(by)
-    base = df.select(*keys, finite(value).alias("_v")).where(not_null("_v", *keys))
-    largest = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    if (largest or 0) > (max_buffered // 10 if keys else max_buffered):
-        return _by_intervals(base, probs, keys)
-    found = base.groupBy(*keys).agg(
-        F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs.values()])).alias("_q"))
-    return found.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(probs)])
-
-
-def _by_intervals(base: DataFrame, probs: dict[str, float], keys: list[str]) -> DataFrame:
-    """Quantiles of ``_v`` by locating each rank first and sorting only around it.
-
-    A sketch per group proposes cut points around each wanted rank. The rows of every interval
-    between cuts are counted, the interval that holds the rank follows from the counts, and
-    only that interval (about 0.4 % of a group) is sorted. The sketch decides how balanced the
-    work is, never the answer: whatever the cuts are, the counts are exact.
-    """
-    near = [min(max(p + d, 0.0), 1.0) for p in probs.values() for d in (-_MARGIN, _MARGIN)]
-    sketch = base.groupBy(*keys).agg(F.percentile_approx("_v", near, _ACCURACY).alias("_cuts"))
-    if keys:
-        rows = base.join(held_if_small(sketch), keys)
-        cuts = [F.col("_cuts")[i] for i in range(len(near))]
-    else:
-        rows = base
-        cuts = [F.lit(c) for c in sketch.first()["_cuts"] or []]
-    interval = sum((F.when(F.col("_v") > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    placed = rows.select(*keys, interval.alias("_i"), "_v")
-
-    sizes = held_if_small(placed.groupBy(*keys, "_i").agg(F.count(F.lit(1)).alias("_m")))
-    sizes = sizes.withColumns({
-        "_upto": F.sum("_m").over(W.partitionBy(*keys).orderBy("_i")),
-        "_n": F.sum("_m").over(W.partitionBy(*keys)),
-    })
-    place = {name: (F.col("_n") - 1) * F.lit(float(p)) for name, p in probs.items()}
+    base = df.select(*keys, finite(value).cast("double").alias("_v")).where(not_null("_v", *keys))
+    counts = (
+        base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+        .withColumn("_bits", ordered_bits(F.col("_v"))))
+
+    def place(name: str) -> Column:
+        return (F.col("_n") - 1) * F.lit(float(probs[name]))
+
+    # Two ranks for each quantile.
     wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"),
-                 (edge(place[name]).cast("long") + 1).alias("rank"))
-        for name in probs
+        F.struct(F.lit(f"{side}{i}").alias("name"), (edge(place(name)).cast("long") + 1).alias("rank"))
+        for i, name in enumerate(probs)
         for side, edge in (("lo", F.floor), ("hi", F.ceil))
     ])
-    # A handful of rows for each group: two ranks per quantile.
-    rank = F.col("_w.rank")
-    targets = (
-        sizes.withColumn("_w", F.explode(wanted))
-        .where((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_m")))
-        .select(*keys, "_i", F.col("_w.name").alias("_name"), F.col("_w.side").alias("_side"),
-                (rank - (F.col("_upto") - F.col("_m"))).alias("_rank"), "_n")
-    )
-    inside = (
-        placed.join(targets.select(*keys, "_i").distinct(), [*keys, "_i"], "left_semi")
-        .groupBy(*keys, "_i", "_v")
-        .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_to", F.sum("_c").over(
-            W.partitionBy(*keys, "_i").orderBy("_v")
-            .rowsBetween(W.unboundedPreceding, W.currentRow)))
-    )
-    hits = inside.join(targets, [*keys, "_i"]).where(
-        (F.col("_rank") <= F.col("_to")) & (F.col("_rank") > F.col("_to") - F.col("_c")))
-
-    def picked(name: str, side: str):
-        return F.max(F.when((F.col("_name") == name) & (F.col("_side") == side), F.col("_v")))
-
-    wide = hits.groupBy(*keys).agg(
+    ranks = None  # _part is what is known of a rank's place so far
+    for shift in _STEPS:
+        placed = counts.withColumn("_next", F.shiftright("_bits", shift))
+        within = [*keys] if ranks is None else [*keys, "_part"]
+        if ranks is not None:
+            placed = placed.withColumn("_part", F.shiftright("_bits", shift + 16)).join(
+                ranks.select(*within).distinct(), within, "left_semi")
+        steps = placed.groupBy(*within, "_next").agg(F.sum("_c").alias("_m"), F.max("_v").alias("_v"))
+        steps = steps.withColumn("_upto", F.sum("_m").over(
+            W.partitionBy(*within).orderBy("_next").rowsBetween(W.unboundedPreceding, W.currentRow)))
+        if ranks is None:
+            both = steps.withColumn("_n", F.sum("_m").over(W.partitionBy(*keys))).withColumn(
+                "_w", F.explode(wanted)).select(
+                "*", F.col("_w.name").alias("_name"), F.col("_w.rank").alias("_rank"))
+        else:
+            both = steps.join(ranks, within)
+        hit = (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_m"))
+        ranks = both.where(hit).select(
+            *keys, "_n", "_name", (F.col("_rank") - F.col("_upto") + F.col("_m")).alias("_rank"),
+            F.col("_next").alias("_part"), *(["_v"] if shift == 0 else []))
+    wide = ranks.groupBy(*keys).agg(
         F.max("_n").alias("_n"),
-        *[picked(n, s).alias(f"_{s}_{i}") for i, n in enumerate(probs) for s in ("lo", "hi")],
-    )
+        *[F.max(F.when(F.col("_name") == f"{s}{i}", F.col("_v"))).alias(f"_{s}{i}")
+          for i in range(len(probs)) for s in ("lo", "hi")])
     out = []
     for i, name in enumerate(probs):
-        lo, hi = F.col(f"_lo_{i}"), F.col(f"_hi_{i}")
-        part = place[name] - F.floor(place[name])
-        out.append((lo + (hi - lo) * part).alias(name))
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        out.append((lo + (hi - lo) * (place(name) - F.floor(place(name)))).alias(name))
     return wide.select(*keys, *out)
 
 

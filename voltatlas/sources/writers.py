@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from voltatlas.functions.columns import finite
 
-MAX_DOCUMENT_KEYS = 10_000
-
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({
@@ -45,18 +43,14 @@ def write_json_records(df: DataFrame, path: str) -> None:
 def keyed_document(df: DataFrame, key: str, fields: dict[str, Column] | None = None) -> DataFrame:
     """One JSON object with a record for each key, keys in order.
 
-    The document is one value, so it is for marts keyed by a dimension of bounded size; more
-    keys than ``MAX_DOCUMENT_KEYS`` raise an error. ``write_json_by_key`` has no such limit.
+    The document is one value: an export of a mart keyed by a dimension. ``write_json_by_key``
+    writes any number of keys with all executors.
     """
     row = F.struct(*([c.alias(n) for n, c in fields.items()] if fields
                      else [c for c in df.columns if c != key]))
     entries = F.array_sort(F.collect_list(F.struct(F.col(key).alias("key"), row.alias("value"))))
-    few = df.where(F.col(key).isNotNull()).limit(MAX_DOCUMENT_KEYS + 1).agg(entries.alias("e"))
-    return few.select(
-        F.when(F.size("e") <= MAX_DOCUMENT_KEYS,
-               F.to_json(F.map_from_entries("e"), {"ignoreNullFields": "false"}))
-        .otherwise(F.raise_error(F.lit("too many keys for one document")))
-        .alias("document"))
+    return df.where(F.col(key).isNotNull()).agg(
+        F.to_json(F.map_from_entries(entries), {"ignoreNullFields": "false"}).alias("document"))
 
 
 def write_json_by_key(df: DataFrame, path: str, key: str) -> None:
