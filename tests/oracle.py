@@ -74,7 +74,7 @@ def main() -> None:
 
     sf = os.environ.get("SF", "/root/testdata/sf0.01")
     wanted = sys.argv[1:]
-    spark = local_session(8)
+    spark = local_session(os.environ.get("CORES", "8"))
     spark.sparkContext.setLogLevel("OFF")
     con = connect(sf)
     queries, oracle = entry.queries(), entry.oracle_sql()

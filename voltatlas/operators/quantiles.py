@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 
 from voltatlas.functions.columns import finite, not_null
 
-# Bits of a rank's place that each step finds: a window has at most 2**16 rows.
-_STEPS = (48, 32, 16, 0)
+# Lowest bit that each step finds of a rank's place: a window has at most 2**22 rows.
+_STEPS = (44, 22, 0)
 
 
 def ordered_bits(v: Column) -> Column:
@@ -37,10 +37,10 @@ def exact_quantiles(
     """Linearly interpolated quantiles (the pandas definition) of ``value`` for each group.
 
     Values are counted by group and value, then each wanted rank is found by its place in an
-    order-preserving number, 16 bits at a time: counts by the leading bits tell which of at most
-    65,536 parts of the group holds the rank, and only that part is counted by the next bits. So
-    no task sees more of a group than its share, whatever the values are, and there is one way
-    for every size. All is lazy; the counts of values are one shuffle that every step reads.
+    order-preserving number, some 20 bits at a time: counts by the leading bits tell which part of
+    the group holds the rank, and only that part is counted by the next bits. So no task sorts
+    more than 4 million counts of a group, whatever the values are, and there is one way for
+    every size. All is lazy; the counts of values are one shuffle that every step reads.
 
     Rows with a missing value or key are left out. Without ``by`` the result has one row.
     """
@@ -60,11 +60,11 @@ def exact_quantiles(
         for side, edge in (("lo", F.floor), ("hi", F.ceil))
     ])
     ranks = None  # _part is what is known of a rank's place so far
-    for shift in _STEPS:
+    for before, shift in zip((None, *_STEPS), _STEPS):
         placed = counts.withColumn("_next", F.shiftright("_bits", shift))
         within = [*keys] if ranks is None else [*keys, "_part"]
         if ranks is not None:
-            placed = placed.withColumn("_part", F.shiftright("_bits", shift + 16)).join(
+            placed = placed.withColumn("_part", F.shiftright("_bits", before)).join(
                 ranks.select(*within).distinct(), within, "left_semi")
         steps = placed.groupBy(*within, "_next").agg(F.sum("_c").alias("_m"), F.max("_v").alias("_v"))
         steps = steps.withColumn("_upto", F.sum("_m").over(
