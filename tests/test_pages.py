@@ -182,3 +182,60 @@ def test_tables_and_cards(spark):
     cards = [(r["name"], r.url, r.details)
              for r in page_elements.page_cards(df).orderBy("position").collect()]
     assert cards == [("Name", None, "Name | More"), ("Go", "/u", "Go"), (None, None, "")]
+
+
+def html_frame(spark, *pages):
+    return spark.createDataFrame(list(enumerate(pages)), "page_id int, html string")
+
+
+def test_list_items_nested_and_unclosed(spark):
+    df = html_frame(
+        spark, "<ul><li>Outer <a href='/o'>x</a><ul><li>Inner one</li><li>Inner two<a href=/i>y</a></ul>tail</li></ul>",
+        "<ul><li>Alpha item<li>Beta item</ul>", None, "")
+    got = [(r.page_id, r.position, r.list_item, r.url) for r in page_elements.page_list_items(df).collect()]
+    assert got == [
+        (0, 0, "OuterxInner oneInner twoytail", "/o"), (0, 1, "Inner one", None), (0, 2, "Inner twoy", "/i"),
+        (1, 0, "Alpha itemBeta item", None), (1, 1, "Beta item", None)]
+    one = page_elements.page_list_items(df, path="/i").collect()
+    assert [r.list_item for r in one] == ["Inner twoy"]
+
+
+def test_links_with_awkward_tags(spark):
+    df = html_frame(
+        spark, '<a data-href="/x">Text only</a><a title="a > b" href="/g">Good</a><a href>bare</a>'
+        "<a href='/s'> R&amp;D&nbsp;</a><A HREF=/u>U</A><a href='/late'>never closed", "<a href=''></a>")
+    got = [(r.page_id, r.text, r.url) for r in page_elements.page_links(df).collect()]
+    assert got == [(0, "Good", "/g"), (0, "bare", ""), (0, "R&D", "/s"), (0, "U", "/u"), (0, "never closed", "/late")]
+
+
+def test_page_text_decodes_before_stripping(spark):
+    df = html_frame(
+        spark, "<p>a</p><p>&nbsp;</p><p>b&nbsp;</p><p>c</p>", '<p title="x > y">t</p><i data-q=\'"\'>&#0000000065;&lt;b&gt;</i>',
+        "no tags &amp; &unknown; &#x1F389;", "")
+    got = [r.t for r in df.select(page_elements.page_text("html").alias("t")).collect()]
+    assert got == ["a\nb\nc", "t\nA<b>", "no tags & &unknown; 🎉", ""]
+
+
+def test_rows_and_cards_with_nesting(spark):
+    df = html_frame(
+        spark, "<tr><td>no table</td></tr><table><tr><td>A<td><a href=/1>one</a><a href=/2>two</a></tr><tr><th> </th></tr></table>"
+        "<div class='x card'><a href='/c'>Name</a><h3>later</h3><div class=card>in</div></div>")
+    rows = page_elements.page_table_rows(df).collect()
+    assert [(r.position, r.cells, [(x.text, x.url) for x in r.links]) for r in rows] == [
+        (0, ["Aonetwo", "onetwo"], [("one", "/1"), ("one", "/1")])]
+    cards = page_elements.page_cards(df).collect()
+    assert [(c.name, c.url, c.details) for c in cards] == [("Name", "/c", "Name | later | in"), (None, None, "in")]
+
+
+def test_long_tables_take_linear_time():
+    import time
+
+    def seconds(n):
+        html = "<table>" + "".join(f"<tr><td>{i}</td><td><a href='/{i}'>x</a></td></tr>" for i in range(n)) + "</table>"
+        start = time.process_time()
+        assert len(list(page_elements._rows_of(html))) == n
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(1_600) < 0.5
+    assert seconds(16_000) < 5

@@ -1,11 +1,13 @@
 """Elements of raw HTML pages.
 
-Titles, text, links and list items are JVM-side expressions. Table rows and cards need a
-nesting-aware reader, so they run in Arrow batches with the standard library's HTML parser.
+Titles and text are JVM-side expressions. Links, list items, table rows and cards need a reader
+that knows nesting, quoted attributes and missing end tags, so they run in Arrow batches with the
+standard library's HTML parser, in one pass over each page.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from html.entities import name2codepoint
 from html.parser import HTMLParser
@@ -14,13 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltatlas.functions.columns import blank_to_null, col, exploded, let, strip
+from voltatlas.functions.columns import blank_to_null, col, let, strip
 
-_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+_REFERENCE = r"&(?:#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
 # Named characters come from the standard library's table of HTML names.
 _NAMED = {f"&{name};": chr(code) for name, code in name2codepoint.items()} | {"&apos;": "'"}
 _HIDDEN = r"(?is)<(script|style|template)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>"
-_TAG = r"(?s)</?[a-zA-Z][^>]*>"
+# Quoted values may hold '>'; a quote without its pair stands for itself.
+_TAG = r"""(?s)</?[a-zA-Z](?>[^>"']+|"[^"]*"|'[^']*'|["'])*+>"""
 
 
 def _character(ref: Column) -> Column:
@@ -52,10 +55,10 @@ def _decode(c: Column) -> Column:
 
 
 def _joined_text(html: Column, separator: str) -> Column:
-    """Stripped text nodes joined by a separator, without hidden elements."""
+    """Text nodes, decoded, stripped and joined by a separator, without hidden elements."""
     cut = F.regexp_replace(F.regexp_replace(html, _HIDDEN, "\x01"), _TAG, "\x01")
-    nodes = F.filter(F.transform(F.split(cut, "\x01"), strip), lambda x: x != "")
-    return strip(_decode(F.array_join(nodes, separator)))
+    nodes = F.transform(F.split(cut, "\x01"), lambda n: strip(_decode(n)))
+    return F.array_join(F.filter(nodes, lambda x: x != ""), separator)
 
 
 def page_title(html: Column | str) -> Column:
@@ -68,38 +71,6 @@ def page_text(html: Column | str) -> Column:
     return _joined_text(col(html), "\n")
 
 
-def _href(tag: Column) -> Column:
-    quoted = F.regexp_extract(tag, r"""(?is)<a\b[^>]*?\shref\s*=\s*"([^"]*)\"""", 1)
-    single = F.regexp_extract(tag, r"(?is)<a\b[^>]*?\shref\s*=\s*'([^']*)'", 1)
-    bare = F.regexp_extract(tag, r"""(?is)<a\b[^>]*?\shref\s*=\s*([^\s"'>]+)""", 1)
-    return _decode(F.coalesce(
-        F.nullif(quoted, F.lit("")), F.nullif(single, F.lit("")), F.nullif(bare, F.lit(""))))
-
-
-def page_links(df: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
-    """Text and target of every link that has a target."""
-    anchors = F.regexp_extract_all(
-        _visible(F.col(html)), F.lit(r"(?is)<a\s[^>]*?href\s*=[^>]*>.*?</a\s*>"), F.lit(0))
-    links = F.transform(anchors, lambda a: F.struct(
-        _joined_text(a, "").alias("text"), F.coalesce(_href(a), F.lit("")).alias("url")))
-    return exploded(df, [key], links).where((F.col("text") != "") | (F.col("url") != ""))
-
-
-def _visible(html: Column) -> Column:
-    return F.regexp_replace(html, _HIDDEN, "")
-
-
-def page_list_items(df: DataFrame, html: str = "html", key: str = "page_id", longer_than: int = 5,
-                    path: str | None = None) -> DataFrame:
-    """List items with enough text and their first link; ``path`` filters on that link."""
-    tags = F.regexp_extract_all(
-        _visible(F.col(html)), F.lit(r"(?is)<li\b[^>]*>.*?</li\s*>"), F.lit(0))
-    items = F.transform(tags, lambda li: F.struct(
-        _joined_text(li, "").alias("list_item"), _href(li).alias("url")))
-    out = exploded(df, [key], items).where(F.length("list_item") > longer_than)
-    return out.where(F.contains(F.col("url"), F.lit(path))) if path else out
-
-
 def section_links(df: DataFrame, path: str, base_url: str, html: str = "html",
                   key: str = "page_id", site_name: str = "") -> DataFrame:
     """Links below a path with a text of over two characters, made absolute."""
@@ -114,78 +85,143 @@ def section_links(df: DataFrame, path: str, base_url: str, html: str = "html",
         .alias("url"))
 
 
-class _Elements(HTMLParser):
-    """Text and links of open elements; an end tag closes everything opened after its start."""
+class _Node:
+    """An element: its attributes, and which of the page's texts it holds."""
+
+    __slots__ = ("tag", "attrs", "first", "last", "link", "head", "cells")
+
+    def __init__(self, tag: str, attrs: dict, first: int) -> None:
+        self.tag, self.attrs, self.first = tag, attrs, first
+        self.last = None
+        self.link = self.head = None  # first link inside; first heading or link of a card
+        self.cells: list[_Node] = []  # of a table row
+
+
+class _Reader(HTMLParser):
+    """Links, items, rows and cards of a page in document order, in one pass.
+
+    An end tag closes everything opened after its start; elements that are never closed end with
+    the page. Text in scripts, styles and templates is left out.
+    """
 
     _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
              "source", "track", "wbr"}
+    _HIDDEN = {"script", "style", "template"}
+    _KEPT = {"a", "li", "tr", "td", "th", "h2", "h3", "h4"}
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[dict] = []
-        self.done: list[dict] = []
+        self.texts: list[str] = []
+        self.found: list[_Node] = []
+        self.open: list[tuple[str, _Node | None]] = []
+        self.counts: Counter[str] = Counter()  # open elements by tag
+        self.rows: list[_Node] = []  # open ones
+        self.no_link: list[_Node] = []  # open items and cells before their first link
+        self.no_head: list[_Node] = []  # open cards before their first heading or link
 
     def handle_starttag(self, tag, attrs):
-        node = {"tag": tag, "attrs": dict(attrs), "texts": [], "within": list(self.open)}
-        self.done.append(node)
+        values = dict(attrs)
+        card = tag == "div" and "card" in (values.get("class") or "").split()
+        node = None
+        if card or tag in self._KEPT:
+            node = _Node(tag, values, len(self.texts))
+            if tag != "tr" or self.counts["table"]:
+                self.found.append(node)
+            if tag == "a":
+                for n in self.no_link:
+                    n.link = node
+                self.no_link = []
+            if tag in ("a", "h2", "h3", "h4"):
+                for n in self.no_head:
+                    n.head = node
+                self.no_head = []
+            if tag in ("li", "td", "th"):
+                self.no_link.append(node)
+            if tag in ("td", "th"):
+                for row in self.rows:
+                    row.cells.append(node)
+            if tag == "tr":
+                self.rows.append(node)
+            if card:
+                self.no_head.append(node)
         if tag not in self._VOID:
-            self.open.append(node)
+            self.open.append((tag, node))
+            self.counts[tag] += 1
 
     def handle_endtag(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i]["tag"] == tag:
-                del self.open[i:]
+        if not self.counts[tag]:
+            return
+        while True:
+            name, node = self.open.pop()
+            self.counts[name] -= 1
+            if node is not None:
+                self._close(node)
+            if name == tag:
                 return
 
+    def _close(self, node: _Node) -> None:
+        node.last = len(self.texts)
+        # Only open elements are listed, the innermost last.
+        for waiting in (self.no_link, self.no_head, self.rows):
+            if waiting and waiting[-1] is node:
+                waiting.pop()
+
     def handle_data(self, data):
         text = data.strip()
-        if text and not any(n["tag"] in ("script", "style", "template") for n in self.open):
-            for n in self.open:
-                n["texts"].append(text)
+        if text and not any(self.counts[t] for t in self._HIDDEN):
+            self.texts.append(text)
 
+    def text_of(self, node: _Node, separator: str = "") -> str:
+        return separator.join(self.texts[node.first:node.last])
 
-def _elements(html: str | None) -> list[dict]:
-    reader = _Elements()
+
+def _read(html: str | None) -> _Reader:
+    reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    return reader.done
+    return reader
+
+
+def _target(node: _Node | None) -> str | None:
+    return (node.attrs.get("href") or None) if node is not None else None
+
+
+def _links_of(html: str | None) -> Iterator[tuple]:
+    page = _read(html)
+    anchors = [n for n in page.found if n.tag == "a" and "href" in n.attrs]
+    for pos, a in enumerate(anchors):
+        text, url = page.text_of(a), a.attrs["href"] or ""
+        if text or url:
+            yield pos, text, url
 
 
-def _inside(node: dict, outer: dict) -> bool:
-    return any(n is outer for n in node["within"])
+def _items_of(html: str | None) -> Iterator[tuple]:
+    page = _read(html)
+    for pos, li in enumerate(n for n in page.found if n.tag == "li"):
+        yield pos, page.text_of(li), _target(li.link)
 
 
 def _rows_of(html: str | None) -> Iterator[tuple]:
-    nodes = _elements(html)
+    page = _read(html)
     pos = 0
-    for row in nodes:
-        if row["tag"] != "tr" or not any(n["tag"] == "table" for n in row["within"]):
+    for row in page.found:
+        if row.tag != "tr":
             continue
-        cells = [n for n in nodes if n["tag"] in ("td", "th") and _inside(n, row)]
-        texts = ["".join(c["texts"]) for c in cells]
+        texts = [page.text_of(c) for c in row.cells]
         if not any(texts):
             continue
-        links = []
-        for c in cells:
-            a = next((n for n in nodes if n["tag"] == "a" and _inside(n, c)), None)
-            if a is not None and a["attrs"].get("href"):
-                links.append({"text": "".join(a["texts"]), "url": a["attrs"]["href"]})
+        links = [{"text": page.text_of(c.link), "url": _target(c.link)} for c in row.cells if _target(c.link)]
         yield pos, texts, links
         pos += 1
 
 
 def _cards_of(html: str | None) -> Iterator[tuple]:
-    nodes = _elements(html)
-    pos = 0
-    for card in nodes:
-        if card["tag"] != "div" or "card" not in (card["attrs"].get("class") or "").split():
-            continue
-        head = next(
-            (n for n in nodes if n["tag"] in ("h2", "h3", "h4", "a") and _inside(n, card)), None)
-        name = "".join(head["texts"]) if head else None
-        url = (head["attrs"].get("href") or None) if head and head["tag"] == "a" else None
-        yield pos, name, url, " | ".join(card["texts"])
-        pos += 1
+    page = _read(html)
+    for pos, card in enumerate(n for n in page.found if n.tag == "div"):
+        head = card.head
+        name = page.text_of(head) if head is not None else None
+        url = _target(head) if head is not None and head.tag == "a" else None
+        yield pos, name, url, page.text_of(card, " | ")
 
 
 def _per_page(df: DataFrame, key: str, html: str, read: Callable, columns: list[str],
@@ -198,6 +234,24 @@ def _per_page(df: DataFrame, key: str, html: str, read: Callable, columns: list[
     return df.select(key, html).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {ddl}")
 
 
+def page_links(df: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
+    """Text and target of every link that has a target attribute, and a text or a target."""
+    return _per_page(df, key, html, _links_of, ["position", "text", "url"],
+                     "position int, text string, url string")
+
+
+def page_list_items(df: DataFrame, html: str = "html", key: str = "page_id", longer_than: int = 5,
+                    path: str | None = None) -> DataFrame:
+    """List items with enough text and their first link; ``path`` filters on that link.
+
+    An item holds the text of the items inside it, which are items as well.
+    """
+    out = _per_page(df, key, html, _items_of, ["position", "list_item", "url"],
+                    "position int, list_item string, url string")
+    out = out.where(F.length("list_item") > longer_than)
+    return out.where(F.contains(F.col("url"), F.lit(path))) if path else out
+
+
 def page_table_rows(df: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
     """Cell texts and links of each table row with any text."""
     return _per_page(df, key, html, _rows_of, ["position", "cells", "links"],

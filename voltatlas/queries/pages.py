@@ -301,6 +301,33 @@ def x13(spark, sf):
     return page_elements.page_list_items(table(spark, sf, "pages"), path="/e")
 
 
+def _awkward_pages(spark, sf):
+    """Nested and unclosed items, quoted '>', other attributes, open links, rendered from parts."""
+    k = F.col("p_partkey").cast("string")
+    return table(spark, sf, "part").select("p_partkey", F.concat(
+        F.lit("<ul><li>Outer "), F.col("p_brand"), F.lit("<ul><li>Inner <a href='/e/"), k,
+        F.lit("'>one</a></li></ul>tail</li><li>Last item "), F.col("p_name"),
+        F.lit("</ul><a data-href='/x'>none</a><a title=\"a > b\" href='/q/"), k,
+        F.lit("'>&nbsp;Good </a><a href='/open'>never "), F.col("p_brand")).alias("html"))
+
+
+@query("x13_nested_list_items", """
+    SELECT p_partkey, CAST(0 AS INTEGER) AS position,
+        'Outer ' || p_brand || 'Inneronetail' AS list_item, '/e/' || p_partkey AS url FROM part
+    UNION ALL SELECT p_partkey, 1, 'Innerone', '/e/' || p_partkey FROM part
+    UNION ALL SELECT p_partkey, 2, 'Last item ' || trim(p_name), NULL FROM part""")
+def x13_nested(spark, sf):
+    return page_elements.page_list_items(_awkward_pages(spark, sf), key="p_partkey")
+
+
+@query("x10_awkward_links", """
+    SELECT p_partkey, CAST(0 AS INTEGER) AS position, 'one' AS text, '/e/' || p_partkey AS url FROM part
+    UNION ALL SELECT p_partkey, 1, 'Good', '/q/' || p_partkey FROM part
+    UNION ALL SELECT p_partkey, 2, 'never ' || p_brand, '/open' FROM part""")
+def x10_awkward(spark, sf):
+    return page_elements.page_links(_awkward_pages(spark, sf), key="p_partkey")
+
+
 @query("x14_page_cards", """
     SELECT p_partkey, CAST(0 AS INTEGER) AS position, p_name AS name, NULL AS url,
         p_name || ' | Size | ' || CAST(p_size AS VARCHAR) AS details FROM part UNION ALL
