@@ -185,6 +185,6 @@ def test_region_panel_over_drifting_sheets(spark):
     fac = spark.createDataFrame([("PJM", 2018, 60.0, 1e6, "big_ai")],
                                 "ba_code string, year_built int, capacity_mw double, "
                                 "energy_mwh double, category string")
-    grid = {r.year: r for r in marts.region_panel(sales, fac, 2019, 2021).collect()}
+    grid = {r.year: r for r in marts.region_panel(sales, fac).collect()}
     assert grid[2019].dc_energy_share == 0.5 and grid[2021].dc_energy_share == 0.25
     assert grid[2021].year_rel == 2 and grid[2019].hyperscale_ratio == 1.0

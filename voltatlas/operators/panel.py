@@ -49,42 +49,66 @@ def cumulative_panel(df: DataFrame, first: int, last: int, region: str = "ba_cod
     Cells without a facility are left out.
     """
     opening = F.greatest(F.coalesce(F.col(year), F.lit(first)), F.lit(first)).cast("int")
-    per = (
+    per = _openings_of_regions(df, opening, region, mw, energy, category).where(F.col("year") <= last)
+    spine = per.select("ba_code").distinct().select(
+        "ba_code", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year"))
+    out = _running_totals(spine.join(per, ["ba_code", "year"], "left"), ["ba_code", "year"])
+    return out.where(F.col("dc_count").isNotNull())
+
+
+def cumulative_at(grid: DataFrame, df: DataFrame, region: str = "ba_code", year: str = "year_built",
+                  mw: str = "capacity_mw", energy: str = "energy_mwh", category: str = "category") -> DataFrame:
+    """M2 at the rows of ``grid`` (ba_code, year): facilities opened by then or of unknown year.
+
+    Openings and grid meet in one table of (region, year) rows, so any years of the grid will do,
+    with gaps or beyond the openings; rows of the grid without a facility have zeros.
+    """
+    opening = F.coalesce(F.col(year), F.lit(-9999)).cast("int")
+    per = _openings_of_regions(df, opening, region, mw, energy, category)
+    both = grid.withColumn("_kept", F.lit(True)).join(per, ["ba_code", "year"], "full")
+    out = _running_totals(both, [*grid.columns, "_kept"]).where(F.col("_kept")).drop("_kept")
+    return out.withColumns({c: or_zero(c) for c in out.columns if c not in grid.columns})
+
+
+def _openings_of_regions(df: DataFrame, opening: Column, region: str, mw: str, energy: str,
+                         category: str) -> DataFrame:
+    """One row for each region and opening year."""
+    return (
         df.where(F.col(region).isNotNull())
-        .withColumn("year", opening)
-        .where(F.col("year") <= last)
-        .groupBy(F.col(region).alias("ba_code"), "year")
+        .withColumn("_opening", opening)
+        .groupBy(F.col(region).alias("ba_code"), F.col("_opening").alias("year"))
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.sum(mw).alias("mw"),
-            F.count(mw).alias("mw_n"),
-            F.max(mw).alias("mw_max"),
-            F.count_if(F.col(category) == "crypto").alias("crypto"),
-            F.count_if(F.col(category) == "big_ai").alias("big_ai"),
-            F.count_if(is_hyperscale(category, mw)).alias("hyper"),
-            F.sum(energy).alias("energy"),
+            F.count(F.lit(1)).alias("_n"),
+            F.sum(mw).alias("_mw"),
+            F.count(mw).alias("_mw_n"),
+            F.max(mw).alias("_mw_max"),
+            F.count_if(F.col(category) == "crypto").alias("_crypto"),
+            F.count_if(F.col(category) == "big_ai").alias("_big_ai"),
+            F.count_if(is_hyperscale(category, mw)).alias("_hyper"),
+            F.sum(energy).alias("_energy"),
         )
     )
-    spine = per.select("ba_code").distinct().select(
-        "ba_code", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("year"))
+
+
+def _running_totals(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Facility features up to each year of a region."""
     w = _upto(["ba_code"], "year")
 
     def running(c):
         return F.sum(c).over(w)
 
-    out = spine.join(per, ["ba_code", "year"], "left").select(
-        "ba_code", "year",
-        running("n").alias("dc_count"),
-        or_zero(running("mw")).alias("total_capacity_mw"),
-        or_zero(ratio(running("mw"), running("mw_n"))).alias("avg_capacity_mw"),
-        or_zero(F.max("mw_max").over(w)).alias("max_capacity_mw"),
-        running("crypto").alias("crypto_count"),
-        running("big_ai").alias("big_ai_count"),
-        running("hyper").alias("hyperscale_count"),
-        or_zero(running("energy")).alias("total_energy_mwh"),
-    )
     return (
-        out.where(F.col("dc_count").isNotNull())
+        df.select(
+            *keep,
+            running("_n").alias("dc_count"),
+            or_zero(running("_mw")).alias("total_capacity_mw"),
+            or_zero(ratio(running("_mw"), running("_mw_n"))).alias("avg_capacity_mw"),
+            or_zero(F.max("_mw_max").over(w)).alias("max_capacity_mw"),
+            running("_crypto").alias("crypto_count"),
+            running("_big_ai").alias("big_ai_count"),
+            running("_hyper").alias("hyperscale_count"),
+            or_zero(running("_energy")).alias("total_energy_mwh"),
+        )
         .withColumn("crypto_ratio", ratio("crypto_count", "dc_count"))
         .withColumn("hyperscale_ratio", ratio("hyperscale_count", "dc_count"))
     )

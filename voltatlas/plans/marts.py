@@ -149,15 +149,15 @@ def state_year_features(specs: DataFrame, electricity: DataFrame, first: int = 2
     return classify.flag_top_groups(grid, "state", "cumulative_dc_count", top_states)
 
 
-def region_panel(sales: DataFrame, facilities: DataFrame, first: int, last: int,
+def region_panel(sales: DataFrame, facilities: DataFrame,
                  minimum: float = p.MIN_REGION_MWH, base_year: int = 2019) -> DataFrame:
     """Region-year electricity with cumulative facility features and shares.
 
-    ``facilities`` has ba_code, year_built, capacity_mw, energy_mwh, category.
+    ``facilities`` has ba_code, year_built, capacity_mw, energy_mwh, category. Every year with
+    sales has its running totals.
     """
     grid = cleaning.min_volume_filter(agg.region_sales(sales), "ba_code", "total_mwh", minimum)
-    features = panel.cumulative_panel(facilities, first, last)
-    merged = joins.left_zero_filled(grid, features).withColumn(
+    merged = panel.cumulative_at(grid, facilities).withColumn(
         "dc_energy_share", panel.share_of_total("total_energy_mwh", "total_mwh"))
     return panel.time_and_log_features(
         merged, {"total_mwh": "log_total_mwh", "total_capacity_mw": "log_capacity"}, base_year)

@@ -206,7 +206,13 @@ _REGION_PANEL = """grid AS (SELECT ba_code, year, sum(total_sales_mwh) AS total_
         AND (m.year_built IS NULL OR m.year_built <= s.year) GROUP BY 1, 2)"""
 
 
-@query("a12_yearly_trends", sql("sales", "mapped", more=_REGION_PANEL) + """
+# The same cells at the years of the sales.
+_REGION_CELLS = _REGION_PANEL.replace(
+    """SELECT ba_code, CAST(y AS INTEGER) AS year FROM regions,
+              (SELECT unnest(range(1996, 2001)) AS y)""", "SELECT ba_code, year FROM grid")
+
+
+@query("a12_yearly_trends", sql("sales", "mapped", more=_REGION_CELLS) + """
     SELECT g.year, sum(total_mwh) AS total_mwh,
            CAST(sum(coalesce(dc_count, 0)) AS BIGINT) AS dc_count,
            sum(coalesce(total_capacity_mw, 0)) AS total_capacity_mw,
@@ -218,7 +224,7 @@ _REGION_PANEL = """grid AS (SELECT ba_code, year, sum(total_sales_mwh) AS total_
 def a12(spark, sf):
     from voltatlas.plans import marts
 
-    df = marts.region_panel(base.sales(spark, sf), base.mapped(spark, sf), 1996, 2000, minimum=0)
+    df = marts.region_panel(base.sales(spark, sf), base.mapped(spark, sf), minimum=0)
     return agg.yearly_trends(df)
 
 

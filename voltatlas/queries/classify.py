@@ -65,31 +65,16 @@ def c04(spark, sf):
         "data_center_id", base.planned_of().alias("is_planned"))
 
 
-_YEAR_GUESS_SQL = f"""coalesce(
-    CASE WHEN n LIKE '%automobile%' AND s = 'nation_1' AND (c LIKE '%2-high%' OR n LIKE '%2-high%')
-        THEN 1996
-      WHEN n LIKE '%automobile%' AND s = 'nation_1' THEN 1999
-      WHEN n LIKE '%automobile%' AND s = 'nation_2' THEN 1995 END,
-    CASE WHEN n LIKE '%household%' AND s = 'nation_1' AND n LIKE '%3-medium%' THEN 1996
-      WHEN n LIKE '%household%' AND s = 'nation_10' THEN 2000 END,
-    CASE WHEN {base.OPERATOR_SQL} = 'crypto' THEN
-      CASE WHEN s = 'nation_3' THEN 2001 WHEN s = 'nation_4' AND n LIKE '%5-low%' THEN 1999
-        ELSE 1998 END END,
-    CASE s WHEN 'nation_5' THEN 1996 WHEN 'nation_6' THEN 2000 END, 1997)"""
-_LOWERED = """lowered AS (SELECT *, lower(data_center_name) AS n, lower(city) AS c,
-    replace(lower(state), '-', ' ') AS s FROM facility)"""
-
-
-@query("c05_estimate_year", sql("facility", more=_LOWERED) + f"""
-    SELECT data_center_id, CAST({_YEAR_GUESS_SQL} AS INTEGER) AS estimated_year FROM lowered""")
+@query("c05_estimate_year", sql("facility", more=base.LOWERED) + f"""
+    SELECT data_center_id, CAST({base.YEAR_GUESS_SQL} AS INTEGER) AS estimated_year FROM lowered""")
 def c05(spark, sf):
     return base.facilities(spark, sf).select(
         "data_center_id", base.year_guess().alias("estimated_year"))
 
 
-@query("c06_fill_missing_year", sql("facility", more=_LOWERED) + f"""
+@query("c06_fill_missing_year", sql("facility", more=base.LOWERED) + f"""
     SELECT data_center_id, CAST(CASE WHEN year_operational IS NULL OR year_operational = 1995
-        THEN {_YEAR_GUESS_SQL} ELSE year_operational END AS INTEGER) AS year_operational
+        THEN {base.YEAR_GUESS_SQL} ELSE year_operational END AS INTEGER) AS year_operational
     FROM lowered""")
 def c06(spark, sf):
     zeroed = F.when(F.col("year_operational") == 1995, 0).otherwise(F.col("year_operational"))

@@ -10,11 +10,20 @@ from voltatlas.queries.panel import _OPENINGS, _openings
 from voltatlas.queries.registry import query
 
 JOINED = {"new_dc_capacity_mw": 6, "total_consumption_mwh": 2}
-_SOME = """few AS (SELECT * FROM electricity WHERE state <> 'NATION_4' AND year <= 1999)"""
+_SOME = """few AS (SELECT * REPLACE (
+    CASE WHEN state = 'NATION_4' THEN 'elsewhere' ELSE state END AS state,
+    CASE WHEN year > 1999 THEN year + 100 ELSE year END AS year) FROM electricity)"""
+
+
+def _renamed(column: str, value: str, new: str):
+    """One value gets a name that the other side does not have: a gap without dropping rows."""
+    return F.when(F.col(column) == value, new).otherwise(F.col(column))
 
 
 def _few(spark, sf):
-    return base.electricity(spark, sf).where((F.col("state") != "NATION_4") & (F.col("year") <= 1999))
+    return base.electricity(spark, sf).withColumns({
+        "state": _renamed("state", "NATION_4", "elsewhere"),
+        "year": F.when(F.col("year") > 1999, F.col("year") + 100).otherwise(F.col("year"))})
 
 
 @query("j01_inner_on_state_year", sql("categorized", "electricity", more=f"{_OPENINGS}, {_SOME}")
@@ -36,11 +45,13 @@ def j02(spark, sf):
 
 @query("j03_left_on_state", sql("categorized", "electricity") + """
     SELECT c.state, count(*) AS dc_count, coalesce(any_value(t), 0) AS total_consumption_mwh
-    FROM categorized c LEFT JOIN (SELECT state, sum(total_consumption_mwh) AS t FROM electricity
-        WHERE state <> 'NATION_4' GROUP BY 1) e ON c.state = e.state GROUP BY 1""",
+    FROM categorized c LEFT JOIN (SELECT CASE WHEN state = 'NATION_4'
+        THEN 'elsewhere' ELSE state END AS state, sum(total_consumption_mwh) AS t FROM electricity
+        GROUP BY 1) e ON c.state = e.state GROUP BY 1""",
        {"total_consumption_mwh": 2})
 def j03(spark, sf):
-    total = base.electricity(spark, sf).where(F.col("state") != "NATION_4").groupBy("state").agg(
+    total = base.electricity(spark, sf).groupBy(
+        _renamed("state", "NATION_4", "elsewhere").alias("state")).agg(
         F.sum("total_consumption_mwh").alias("total_consumption_mwh"))
     return joins.left_zero_filled(agg.state_rollup(base.categorized(spark, sf)), total,
                                   ["state"]).select("state", "dc_count", "total_consumption_mwh")
@@ -48,13 +59,17 @@ def j03(spark, sf):
 
 @query("j04_full_then_complete", sql("categorized", "electricity") + """
     SELECT state, dc_count, total_consumption_mwh FROM (
-        SELECT state, count(*) AS dc_count FROM categorized WHERE state <> 'NATION_2' GROUP BY 1)
-    JOIN (SELECT state, sum(total_consumption_mwh) AS total_consumption_mwh FROM electricity
-        WHERE state <> 'NATION_4' GROUP BY 1) USING (state)""", {"total_consumption_mwh": 2})
+        SELECT CASE WHEN state = 'NATION_2' THEN 'other' ELSE state END AS state,
+            count(*) AS dc_count FROM categorized GROUP BY 1)
+    JOIN (SELECT CASE WHEN state = 'NATION_4' THEN 'elsewhere' ELSE state END AS state,
+            sum(total_consumption_mwh) AS total_consumption_mwh FROM electricity GROUP BY 1)
+    USING (state)""", {"total_consumption_mwh": 2})
 def j04(spark, sf):
-    total = base.electricity(spark, sf).where(F.col("state") != "NATION_4").groupBy("state").agg(
+    total = base.electricity(spark, sf).groupBy(
+        _renamed("state", "NATION_4", "elsewhere").alias("state")).agg(
         F.sum("total_consumption_mwh").alias("total_consumption_mwh"))
-    counts = agg.state_rollup(base.categorized(spark, sf).where(F.col("state") != "NATION_2"))
+    counts = agg.state_rollup(base.categorized(spark, sf).withColumn(
+        "state", _renamed("state", "NATION_2", "other")))
     return joins.full_then_complete(counts.select("state", "dc_count"), total)
 
 
@@ -94,12 +109,12 @@ def j06(spark, sf):
 
 @query("j07_add_group_count", sql("categorized") + """
     SELECT r_name AS ba_code, coalesce(n, 0) AS big_ai_count FROM region LEFT JOIN (
-        SELECT ba_code, count(*) AS n FROM categorized
-        WHERE dc_category = 'big_ai' AND ba_code <> 'ASIA' GROUP BY 1) ON ba_code = r_name""")
+        SELECT CASE WHEN ba_code = 'ASIA' THEN 'FAR' ELSE ba_code END AS ba_code, count(*) AS n
+        FROM categorized WHERE dc_category = 'big_ai' GROUP BY 1) ON ba_code = r_name""")
 def j07(spark, sf):
     regions = table(spark, sf, "region").select(F.col("r_name").alias("ba_code"))
-    rows = base.categorized(spark, sf).where(
-        (F.col("dc_category") == "big_ai") & (F.col("ba_code") != "ASIA"))
+    rows = base.categorized(spark, sf).where(F.col("dc_category") == "big_ai").withColumn(
+        "ba_code", _renamed("ba_code", "ASIA", "FAR"))
     return joins.add_group_count(regions, rows, "ba_code", "big_ai_count")
 
 
@@ -114,11 +129,11 @@ def j08(spark, sf):
 
 
 @query("j09_upsert_totals", sql("mapped", "nation_dim", more="""
-    mart AS (SELECT abbrev, state AS name, CAST(7 AS BIGINT) AS dc_count, population_millions
-             FROM nation_dim WHERE abbrev <> 'N3'),
-    t AS (SELECT abbrev, state, count(*) AS total,
-          count(*) FILTER (WHERE has_energy_data) AS with_data
-          FROM mapped JOIN nation_dim USING (state) WHERE abbrev <> 'N4' GROUP BY 1, 2)""") + """
+    mart AS (SELECT CASE WHEN abbrev = 'N3' THEN 'X3' ELSE abbrev END AS abbrev, state AS name,
+             CAST(7 AS BIGINT) AS dc_count, population_millions FROM nation_dim),
+    t AS (SELECT CASE WHEN abbrev = 'N4' THEN 'X4' ELSE abbrev END AS abbrev, state,
+          count(*) AS total, count(*) FILTER (WHERE has_energy_data) AS with_data
+          FROM mapped JOIN nation_dim USING (state) GROUP BY 1, 2)""") + """
     SELECT coalesce(m.abbrev, t.abbrev) AS abbrev, coalesce(m.name, t.state) AS name,
         CASE WHEN m.abbrev IS NULL THEN with_data ELSE dc_count END AS dc_count,
         total AS total_dc_count, with_data AS dc_with_data,
@@ -126,12 +141,12 @@ def j08(spark, sf):
     FROM mart m FULL JOIN t ON m.abbrev = t.abbrev""")
 def j09(spark, sf):
     dim = base.nation_dim(spark, sf)
-    mart = dim.where(F.col("abbrev") != "N3").select(
-        "abbrev", F.col("state").alias("name"), F.lit(7).cast("long").alias("dc_count"),
+    mart = dim.select(
+        _renamed("abbrev", "N3", "X3").alias("abbrev"), F.col("state").alias("name"), F.lit(7).cast("long").alias("dc_count"),
         "population_millions")
     counts = agg.state_data_counts(base.mapped(spark, sf))
-    totals = cleaning.state_abbrev(counts, out="abbrev", dim=dim).where(
-        F.col("abbrev") != "N4").withColumnRenamed("state", "name")
+    totals = cleaning.state_abbrev(counts, out="abbrev", dim=dim).withColumn(
+        "abbrev", _renamed("abbrev", "N4", "X4")).withColumnRenamed("state", "name")
     return joins.upsert_totals(mart, totals)
 
 

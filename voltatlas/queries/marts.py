@@ -8,7 +8,7 @@ from voltatlas.operators import aggregates as agg
 from voltatlas.operators import joins
 from voltatlas.plans import marts
 from voltatlas.queries import base
-from voltatlas.queries.aggregates import _LATEST, _REGION_PANEL, _REGION_SALES, SALES_DIGITS
+from voltatlas.queries.aggregates import _LATEST, _REGION_CELLS, _REGION_SALES, SALES_DIGITS
 from voltatlas.queries.base import sql, table
 from voltatlas.queries.pages import _LISTED, _SPECS, city_pages, spec_pages
 from voltatlas.queries.panel import _PANEL_NUMBERS, _STATE_PANEL
@@ -152,9 +152,9 @@ def d04(spark, sf):
 
 
 @query("d04_state_totals_upsert", sql("categorized", "nation_dim", more=_FACTS + """,
-  mart AS (SELECT abbrev, d.state AS name, count(*) AS dc_count,
-      round_even(round(sum(capacity_mw_est), 5), 1) AS capacity_mw FROM categorized c JOIN nation_dim d
-      ON d.state = c.state WHERE abbrev <> 'N3' GROUP BY 1, 2),
+  mart AS (SELECT CASE WHEN abbrev = 'N3' THEN 'X3' ELSE abbrev END AS abbrev, d.state AS name,
+      count(*) AS dc_count, round_even(round(sum(capacity_mw_est), 5), 1) AS capacity_mw
+      FROM categorized c JOIN nation_dim d ON d.state = c.state GROUP BY 1, 2),
   totals AS (SELECT abbrev, m.state AS name, count(*) AS total, count(fact_name) AS with_data
       FROM map m JOIN nation_dim d ON d.state = m.state LEFT JOIN facts f ON f.fact_name = m.name
       GROUP BY 1, 2)""") + """
@@ -166,8 +166,9 @@ def d04(spark, sf):
 def d04_upsert(spark, sf):
     dim = base.nation_dim(spark, sf)
     rolled = marts.state_mart(agg.state_rollup(base.categorized(spark, sf)), dim)
-    mart = rolled.where(F.col("abbrev").rlike("^N[0-9]+$") & (F.col("abbrev") != "N3")).select(
-        "abbrev", "name", "dc_count", "capacity_mw")
+    mart = rolled.where(F.col("abbrev").rlike("^N[0-9]+$")).select(
+        F.when(F.col("abbrev") == "N3", "X3").otherwise(F.col("abbrev")).alias("abbrev"),
+        "name", "dc_count", "capacity_mw")
     return marts.state_totals_upsert(mart, _map(spark, sf), dim)
 
 
@@ -205,13 +206,13 @@ def d05(spark, sf):
 def d06(spark, sf):
     return marts.state_year_features(
         base.facilities(spark, sf), base.electricity(spark, sf), 1997, 2001,
-        base.nation_dim(spark, sf).drop("abbrev"), base.operator_of(), F.lit(None).cast("int"), 5)
+        base.nation_dim(spark, sf).drop("abbrev"), base.operator_of(), base.year_guess(), 5)
 
 
 _SALES_GRID = f"""gridded AS ({_REGION_SALES})"""
 
 
-@query("d07_region_panel", sql("sales", "mapped", more=f"{_REGION_PANEL}, {_SALES_GRID}") + """
+@query("d07_region_panel", sql("sales", "mapped", more=f"{_REGION_CELLS}, {_SALES_GRID}") + """
     SELECT g.*, coalesce(dc_count, 0) AS dc_count,
         coalesce(total_capacity_mw, 0) AS total_capacity_mw,
         coalesce(avg_capacity_mw, 0) AS avg_capacity_mw,
@@ -229,23 +230,22 @@ _SALES_GRID = f"""gridded AS ({_REGION_SALES})"""
         "crypto_ratio": 9, "hyperscale_ratio": 9, "dc_energy_share": 8, "log_total_mwh": 9,
         "log_capacity": 9})
 def d07(spark, sf):
-    return marts.region_panel(base.sales(spark, sf), base.mapped(spark, sf), 1996, 2000,
-                              minimum=0, base_year=1996)
+    return marts.region_panel(
+        base.sales(spark, sf), base.mapped(spark, sf), minimum=0, base_year=1996)
 
 
-@query("d07_top_regions", sql("sales", "mapped", more=_REGION_PANEL) + """
+@query("d07_top_regions", sql("sales", "mapped", more=_REGION_CELLS) + """
     SELECT g.ba_code, dc_count, total_capacity_mw AS capacity_mw,
         total_mwh / 1e6 AS electricity_twh, least(total_energy_mwh / total_mwh, 1) * 100
             AS dc_share_pct,
         CASE WHEN total_energy_mwh / total_mwh * 100 > 5 THEN 'HIGH'
              WHEN total_energy_mwh / total_mwh * 100 > 2 THEN 'MED' ELSE 'LOW' END AS band
     FROM grid g JOIN cells c ON c.ba_code = g.ba_code AND c.year = g.year
-    WHERE g.year = 2000 ORDER BY dc_share_pct DESC, g.ba_code LIMIT 10""",
+    WHERE g.year = (SELECT max(year) FROM grid) ORDER BY dc_share_pct DESC, g.ba_code LIMIT 10""",
        {"capacity_mw": 5, "electricity_twh": 8, "dc_share_pct": 6})
 def d07_top(spark, sf):
-    sales = base.sales(spark, sf).where(F.col("year") <= 2000)
     return marts.top_regions(
-        marts.region_panel(sales, base.mapped(spark, sf), 1996, 2000, minimum=0))
+        marts.region_panel(base.sales(spark, sf), base.mapped(spark, sf), minimum=0))
 
 
 @query("d08_region_snapshot", sql("sales", "mapped", more="""
@@ -291,9 +291,10 @@ def d09_national(spark, sf):
 
 @query("d08_unmatched_regions", sql("facility", "sales") + """
     SELECT ba_code, count(*) AS dc_count FROM facility WHERE ba_code NOT IN (
-        SELECT ba_code FROM sales WHERE ba_code <> 'ASIA') GROUP BY 1""")
+        SELECT CASE WHEN ba_code = 'ASIA' THEN 'FAR' ELSE ba_code END FROM sales) GROUP BY 1""")
 def d08_unmatched(spark, sf):
-    sales = base.sales(spark, sf).where(F.col("ba_code") != "ASIA")
+    sales = base.sales(spark, sf).withColumn(
+        "ba_code", F.when(F.col("ba_code") == "ASIA", "FAR").otherwise(F.col("ba_code")))
     return marts.unmatched_regions(base.facilities(spark, sf), sales)
 
 

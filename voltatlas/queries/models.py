@@ -20,7 +20,7 @@ def _items(spark, sf):
 
 def _regions(spark, sf):
     """Region-year panel with model features; small, so it is kept for the repeated fits."""
-    df = marts.region_panel(base.sales(spark, sf), base.mapped(spark, sf), 1995, 2001, minimum=0,
+    df = marts.region_panel(base.sales(spark, sf), base.mapped(spark, sf), minimum=0,
                             base_year=1995)
     return models.prepare(df, marts.REGION_FEATURES, "total_mwh", ["ba_code", "year"]).persist()
 

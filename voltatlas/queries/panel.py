@@ -8,7 +8,7 @@ from voltatlas.operators.quantiles import exact_median
 from voltatlas.plans import marts
 from voltatlas.queries import base
 from voltatlas.queries.aggregates import _REGION_PANEL
-from voltatlas.queries.base import sql
+from voltatlas.queries.base import sql, table
 from voltatlas.queries.cleaning import _YOY_SQL
 from voltatlas.queries.registry import query
 
@@ -23,16 +23,20 @@ def m01(spark, sf):
     return panel.yoy(base.electricity(spark, sf), "total_consumption_mwh")
 
 
-@query("m01_yoy_by_row", sql("electricity", more="""
-    kept AS (SELECT * FROM electricity WHERE year <> 1998),
-    p AS (SELECT *, lag(total_consumption_mwh) OVER (PARTITION BY state ORDER BY year)
-          AS prev_year_consumption FROM kept)""") + """
-    SELECT *, total_consumption_mwh - prev_year_consumption AS yoy_change_mwh,
-           (total_consumption_mwh - prev_year_consumption) / prev_year_consumption * 100
-               AS yoy_change_pct FROM p""", GROWTH_DIGITS)
+@query("m01_yoy_by_row", """
+    WITH spent AS (SELECT o_custkey AS customer, CAST(year(o_orderdate) AS INTEGER) AS year,
+        sum(o_totalprice) AS total FROM orders GROUP BY 1, 2),
+    p AS (SELECT *, lag(total) OVER (PARTITION BY customer ORDER BY year)
+          AS prev_year_consumption FROM spent)
+    SELECT *, total - prev_year_consumption AS yoy_change_mwh,
+           (total - prev_year_consumption) / prev_year_consumption * 100 AS yoy_change_pct FROM p""",
+       {"total": 2, "prev_year_consumption": 2, "yoy_change_mwh": 2, "yoy_change_pct": 5})
 def m01_rows(spark, sf):
-    kept = base.electricity(spark, sf).where(F.col("year") != 1998)
-    return panel.yoy(kept, "total_consumption_mwh", calendar=False)
+    # Customers who order nothing in some years leave gaps.
+    spent = table(spark, sf, "orders").groupBy(
+        F.col("o_custkey").alias("customer"), F.year("o_orderdate").alias("year")
+    ).agg(F.sum("o_totalprice").alias("total"))
+    return panel.yoy(spent, "total", group="customer", calendar=False)
 
 
 @query("m02_cumulative_panel", sql("sales", "mapped", more=_REGION_PANEL) + """
@@ -62,18 +66,18 @@ def m03(spark, sf):
     return panel.cumulative_by_opening_year(_openings(spark, sf))
 
 
-# Electricity years 1997 to 1999 and 2001, so openings also fall before and between them.
+# Electricity of every second year from 1996 on, so openings also fall before and between them.
 def _some_years(spark, sf):
-    return base.electricity(spark, sf).where(F.col("year").isin(1997, 1998, 1999, 2001))
+    return base.electricity(spark, sf).withColumn("year", 2 * F.col("year") - 1994)
 
 
-_SOME = """some_years AS (SELECT * FROM electricity WHERE year IN (1997, 1998, 1999, 2001))"""
+_SOME = """some_years AS (SELECT * REPLACE (2 * year - 1994 AS year) FROM electricity)"""
 _ATTACHED = ["state", "year", "new_dc_count", "new_dc_capacity_mw", "new_dc_energy_mwh",
              "cumulative_dc_count", "cumulative_dc_capacity", "cumulative_dc_energy"]
 
 
 @query("m04_forward_fill", sql("categorized", "electricity", more=f"{_OPENINGS}, {_SOME}," + """
-    known AS (SELECT * FROM openings WHERE year IN (1997, 1999)),
+    known AS (SELECT o.* FROM openings o JOIN some_years s ON s.state = o.state AND s.year = o.year),
     last_open AS (SELECT s.state, s.year, max(k.year) AS at FROM some_years s LEFT JOIN known k
         ON s.state = k.state AND k.year <= s.year GROUP BY 1, 2)""") + """
     SELECT l.state, l.year, coalesce(k.new_dc_count, 0) AS new_dc_count,
@@ -81,8 +85,7 @@ _ATTACHED = ["state", "year", "new_dc_count", "new_dc_capacity_mw", "new_dc_ener
     FROM last_open l LEFT JOIN known k ON k.state = l.state AND k.year = l.at""",
        {"new_dc_capacity_mw": 6})
 def m04(spark, sf):
-    known = _openings(spark, sf).where(F.col("year").isin(1997, 1999))
-    joined = _some_years(spark, sf).join(known, ["state", "year"], "left")
+    joined = _some_years(spark, sf).join(_openings(spark, sf), ["state", "year"], "left")
     return panel.forward_fill(joined, ["new_dc_count", "new_dc_capacity_mw"]).select(
         "state", "year", "new_dc_count", "new_dc_capacity_mw")
 
@@ -106,7 +109,7 @@ def m05(spark, sf):
     c AS (SELECT *, {_CUM.format(n="new_dc_count", m="new_dc_capacity_mw", e="new_dc_energy_mwh")}
           FROM openings WINDOW w AS (PARTITION BY state ORDER BY year)),
     pos AS (SELECT s.state, s.year, max(c.year) AS last_year FROM some_years s LEFT JOIN c
-           ON c.state = s.state AND c.year <= s.year AND c.year IN (1997, 1998, 1999, 2001)
+           ON c.state = s.state AND c.year <= s.year AND c.year IN (SELECT year FROM some_years)
            GROUP BY 1, 2)""") + """
     SELECT a.state, a.year, coalesce(o.new_dc_count, 0) AS new_dc_count,
            coalesce(o.new_dc_capacity_mw, 0) AS new_dc_capacity_mw,
@@ -143,16 +146,18 @@ _PANEL_NUMBERS = {
     "log_elec_gwh": 8, "dc_per_million_pop": 6, "dc_mw_per_million_pop": 5,
     "dc_per_billion_gdp": 6, "elec_per_capita_mwh": 6, "dc_intensity": 5,
 }
-_OPERATOR_OPENINGS = f"""kinds AS (SELECT *, {base.OPERATOR_SQL} AS dc_type FROM facility),
-    sized AS (SELECT state, year_operational AS yr, dc_type, CASE WHEN capacity_mw > 0
+_OPERATOR_OPENINGS = f"""{base.LOWERED}, kinds AS (SELECT *, {base.OPERATOR_SQL} AS dc_type,
+        CASE WHEN year_operational IS NULL OR year_operational = 0
+            THEN {base.YEAR_GUESS_SQL} ELSE year_operational END AS opened FROM lowered),
+    sized AS (SELECT state, opened AS yr, dc_type, CASE WHEN capacity_mw > 0
         THEN capacity_mw ELSE CASE dc_type WHEN 'crypto' THEN 50 WHEN 'ai' THEN 80 ELSE 12 END END
-        AS mw FROM kinds WHERE year_operational IS NOT NULL),
+        AS mw FROM kinds),
     powered AS (SELECT *, mw * 8760 * CASE dc_type WHEN 'crypto' THEN 0.95 WHEN 'ai' THEN 0.70
         ELSE 0.55 END * CASE dc_type WHEN 'crypto' THEN 1.10 WHEN 'ai' THEN 1.15 ELSE 1.50 END
         / 1e6 AS twh FROM sized)"""
 _STATE_PANEL = f"""{_OPERATOR_OPENINGS},
-    grid AS (SELECT d.state, d.state_abbr, CAST(y AS INTEGER) AS year, population_millions AS pop,
-        gdp_billions AS gdp FROM nation_dim d, (SELECT unnest(range(1997, 2002)) AS y)
+    grid AS (SELECT d.state, d.state_abbr, CAST(y AS INTEGER) AS year, coalesce(population_millions, 5.0) AS pop,
+        coalesce(gdp_billions, 300.0) AS gdp FROM nation_dim d, (SELECT unnest(range(1997, 2002)) AS y)
         WHERE d.state IN (SELECT state FROM powered)),
     cell AS (SELECT g.state, g.year,
         coalesce(sum(mw), 0) AS cum_mw, count(p.state) AS cum_n, coalesce(sum(twh), 0) AS cum_twh,
@@ -189,7 +194,7 @@ _STATE_PANEL = f"""{_OPERATOR_OPENINGS},
 
 def state_panel(spark, sf):
     openings = marts.operator_openings(
-        base.facilities(spark, sf), base.operator_of(), F.lit(None).cast("int"))
+        base.facilities(spark, sf), base.operator_of(), base.year_guess())
     return panel.state_year_panel(
         openings, base.electricity(spark, sf), 1997, 2001, base.nation_dim(spark, sf).drop("abbrev"))
 
