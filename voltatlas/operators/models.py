@@ -13,6 +13,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voltatlas import params as p
 from voltatlas.functions.columns import clip, col, inline_table, or_zero, ratio
 from voltatlas.operators.classify import interpret_causal, interpret_fit
 from voltatlas.operators.panel import first_difference
@@ -157,7 +158,12 @@ def regression_metrics(df: DataFrame, label: str, prediction: str = "prediction"
 
 def fit(train: DataFrame, features: Sequence[str], label: str, estimator: Estimator,
         scaler: str | None = "standard", degree: int = 1) -> PipelineModel:
-    return feature_pipeline(features, estimator, label, scaler, degree).fit(train)
+    """L3: the rows are kept while the stages pass over them, and released."""
+    rows = train.select(*dict.fromkeys([*features, label])).persist()
+    try:
+        return feature_pipeline(features, estimator, label, scaler, degree).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -272,24 +278,6 @@ def compare_models(train: DataFrame, test: DataFrame, features: Sequence[str], l
 
 
 # -- confounding designs -------------------------------------------------------------------
-_FACILITY = [
-    "cumulative_dc_mw", "cumulative_dc_count", "new_dc_mw", "new_dc_count",
-    "cumulative_dc_energy_twh", "cumulative_ai_count", "ai_ratio", "dc_growth_mw", "log_dc_mw",
-    "cumulative_dc_mw_lag1", "cumulative_dc_mw_lag2",
-]
-_PER_CAPITA = [
-    "dc_per_million_pop", "dc_mw_per_million_pop", "dc_per_billion_gdp", "dc_intensity",
-    "ai_ratio", "new_dc_count", "dc_growth_mw",
-]
-_CHANGE = [
-    "new_dc_mw", "new_dc_count", "dc_growth_mw", "ai_ratio", "dc_per_million_pop", "dc_intensity",
-    "cumulative_dc_energy_twh",
-]
-_SIZE = ["population_millions", "gdp_billions"]
-_DELTAS = {
-    "cumulative_dc_mw": "delta_dc_mw", "cumulative_dc_count": "delta_dc_count",
-    "cumulative_dc_energy_twh": "delta_dc_energy", "ai_ratio": "delta_ai_ratio",
-}
 CORRELATION_DESIGNS = ["uncontrolled", "controlled", "per_capita"]
 CAUSAL_DESIGNS = ["yoy_change_controlled", "first_difference", "high_intensity_states"]
 
@@ -302,16 +290,16 @@ def confounding_designs(panel: DataFrame, min_rows: int = 30) -> dict[str, tuple
     small = F.abs(F.col("electricity_pct_change")) < 15
     share = clip(ratio(F.col("cumulative_dc_energy_twh") * 1000, "electricity_gwh") * 100, 0, 100)
     high = panel.where((share > 1.0) & small)
-    diff = first_difference(panel, _DELTAS).where(small)
+    diff = first_difference(panel, p.DESIGN_DELTAS).where(small)
     per_head = panel.where((F.col("elec_per_capita_mwh") > 0) & (F.col("elec_per_capita_mwh") < 100))
     out = {
-        "uncontrolled": (panel, [*_FACILITY, "year"], "electricity_gwh"),
-        "controlled": (panel, [*_FACILITY, *_SIZE, "year"], "electricity_gwh"),
-        "per_capita": (per_head, [*_PER_CAPITA, "year"], "elec_per_capita_mwh"),
-        "yoy_change_controlled": (panel.where(small), [*_CHANGE, *_SIZE],
+        "uncontrolled": (panel, [*p.DESIGN_FACILITY, "year"], "electricity_gwh"),
+        "controlled": (panel, [*p.DESIGN_FACILITY, *p.DESIGN_SIZE, "year"], "electricity_gwh"),
+        "per_capita": (per_head, [*p.DESIGN_PER_CAPITA, "year"], "elec_per_capita_mwh"),
+        "yoy_change_controlled": (panel.where(small), [*p.DESIGN_CHANGE, *p.DESIGN_SIZE],
                                   "electricity_pct_change"),
-        "high_intensity_states": (high, [*_CHANGE, "year"], "electricity_pct_change"),
-        "first_difference": (diff, [*_DELTAS.values(), "year"], "electricity_pct_change"),
+        "high_intensity_states": (high, [*p.DESIGN_CHANGE, "year"], "electricity_pct_change"),
+        "first_difference": (diff, [*p.DESIGN_DELTAS.values(), "year"], "electricity_pct_change"),
     }
     if high.limit(min_rows).count() < min_rows:
         del out["high_intensity_states"]

@@ -163,11 +163,7 @@ def region_panel(sales: DataFrame, facilities: DataFrame,
         merged, {"total_mwh": "log_total_mwh", "total_capacity_mw": "log_capacity"}, base_year)
 
 
-REGION_FEATURES = [
-    "dc_count", "total_capacity_mw", "avg_capacity_mw", "max_capacity_mw", "crypto_count",
-    "big_ai_count", "hyperscale_count", "crypto_ratio", "hyperscale_ratio", "utility_count",
-    "ci_ratio", "year_rel",
-]
+REGION_FEATURES = p.REGION_FEATURES
 
 
 def top_regions(panel_df: DataFrame, k: int = 10) -> DataFrame:

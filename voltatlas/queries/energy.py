@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from voltatlas import params as p
 from voltatlas.functions.columns import inline_table
 from voltatlas.operators import energy, models
 from voltatlas.operators.quantiles import exact_quantiles
@@ -227,10 +228,23 @@ def e09(spark, sf):
              F.sum(energy.energy_flat("capacity_mw_est")).alias("impact"))
         .join(base.electricity(spark, sf)
               .withColumnRenamed("total_consumption_mwh", "consumption_mwh"), ["state", "year"])
-        .persist()
     )
     features = ["num_dcs", "total_capacity_mw", "avg_lat", "avg_lon", "consumption_mwh"]
     model = models.fit(rows, features, "impact", models.gradient_boosting(10, 4, min_leaf=5))
     return energy.capacity_benchmark_table(spark, lambda x: models.score(model, x))
 
 
+@query("e09_linear_model", """
+    SELECT name, mw AS capacity_mw, mw * 8760 * 0.65 * 1.4 AS expected_mwh,
+        mw * 8760 * 0.65 * 1.4 AS predicted_mwh, 0.0::DOUBLE AS error_pct
+    FROM (VALUES """ + ", ".join(f"('{n}', {mw}::DOUBLE)" for n, mw in p.CAPACITY_BENCHMARKS) + """) AS b(name, mw)
+    WHERE (SELECT count(*) FROM orders) > 2""",
+       {"expected_mwh": 2, "predicted_mwh": 2, "error_pct": 4})
+def e09_linear(spark, sf):
+    # The energy of a state's openings is proportional to their capacity, which a line finds.
+    rows = base.categorized(spark, sf).groupBy("state", "year_operational").agg(
+        F.sum("capacity_mw_est").alias("total_capacity_mw"),
+        F.sum(energy.energy_flat("capacity_mw_est")).alias("impact"))
+    model = models.fit(rows, ["total_capacity_mw"], "impact", models.linear())
+    return energy.capacity_benchmark_table(spark, lambda x: models.score(model, x))
+

@@ -1,13 +1,13 @@
-"""L1-L17, bound to the given tables. Fitted trees have no SQL counterpart, so no oracle."""
+"""L1-L17, bound to the given tables. Trees deeper than one split have no SQL counterpart."""
 
 from pyspark.sql import functions as F
 
 from voltatlas.operators import aggregates as agg
-from voltatlas.operators import energy, joins, models, panel
+from voltatlas.operators import energy, joins, least_squares, models, panel
 from voltatlas.plans import marts
 from voltatlas.queries import base
 from voltatlas.queries.base import sql, table
-from voltatlas.queries.panel import state_panel
+from voltatlas.queries.panel import _PROJECTED, state_panel
 from voltatlas.queries.registry import query
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
@@ -19,14 +19,10 @@ def _items(spark, sf):
 
 
 def _regions(spark, sf):
-    """Region-year panel with model features; small, so it is kept for the repeated fits."""
+    """Region-year panel with model features."""
     df = marts.region_panel(base.sales(spark, sf), base.mapped(spark, sf), minimum=0,
                             base_year=1995)
-    return models.prepare(df, marts.REGION_FEATURES, "total_mwh", ["ba_code", "year"]).persist()
-
-
-def _states(spark, sf):
-    return state_panel(spark, sf).persist()
+    return models.prepare(df, marts.REGION_FEATURES, "total_mwh", ["ba_code", "year"])
 
 
 @query("l01_standard_scale", """
@@ -98,6 +94,36 @@ def l07(spark, sf):
                               models.random_forest(50, 6)), test)
 
 
+# A tree of one split on a feature with few values: the split with the least squared error.
+_STUMP = """
+    WITH v AS (SELECT l_linenumber AS v, count(*) AS n, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1),
+    cuts AS (SELECT c.v AS cut,
+        sum(s) FILTER (WHERE v.v <= c.v) / sum(n) FILTER (WHERE v.v <= c.v) AS low,
+        sum(s) FILTER (WHERE v.v > c.v) / sum(n) FILTER (WHERE v.v > c.v) AS high,
+        pow(sum(s) FILTER (WHERE v.v <= c.v), 2) / sum(n) FILTER (WHERE v.v <= c.v)
+        + pow(sum(s) FILTER (WHERE v.v > c.v), 2) / sum(n) FILTER (WHERE v.v > c.v) AS gain
+      FROM v, (SELECT v FROM v WHERE v < (SELECT max(v) FROM v)) c GROUP BY c.v),
+    best AS (SELECT * FROM cuts ORDER BY gain DESC, cut LIMIT 1)
+    SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <= cut THEN low ELSE high END AS prediction
+    FROM lineitem, best"""
+
+
+def _stump(spark, sf, estimator):
+    rows = _items(spark, sf)
+    model = models.fit(rows, ["l_linenumber"], "l_extendedprice", estimator, scaler=None)
+    return models.score(model, rows).select("l_orderkey", "l_linenumber", "prediction")
+
+
+@query("l06_boosted_stump", _STUMP, {"prediction": 3})
+def l06_stump(spark, sf):
+    return _stump(spark, sf, models.gradient_boosting(1, 1))
+
+
+@query("l07_forest_stump", _STUMP, {"prediction": 3})
+def l07_stump(spark, sf):
+    return _stump(spark, sf, models.random_forest(1, 1).setBootstrap(False))
+
+
 @query("l08_linear", """
     SELECT l_orderkey, l_linenumber, a + b * l_quantity AS prediction FROM lineitem,
         (SELECT regr_intercept(l_extendedprice, l_quantity) AS a,
@@ -130,13 +156,60 @@ def l08_elastic(spark, sf):
     return models.regression_metrics(models.score(model, rows), "l_extendedprice")
 
 
+_KEYS = ["l_orderkey", "l_linenumber"]
+_FOLD = """CAST('0x' || substr(md5('43|' || CAST(l_orderkey AS VARCHAR) || '|'
+    || CAST(l_linenumber AS VARCHAR)), 1, 8) AS BIGINT) % 5"""
+_SCORES = """scores AS (SELECT t.fold, any_value(alpha) AS alpha, count(*) AS n,
+        1 - avg(pow(y - a - b * x, 2)) / var_pop(y) AS r2, sqrt(avg(pow(y - a - b * x, 2))) AS rmse
+      FROM rows t JOIN fits f ON f.fold = t.fold GROUP BY t.fold, alpha)"""
+
+
+def _fold():
+    return models.key_bucket(_KEYS, 5, models.SEED + 1)
+
+
 @query("l09_k_fold")
 def l09(spark, sf):
-    rows = _items(spark, sf)
-    # Least squares does not depend on the scale of the features, so no scaler is fitted.
-    folds = models.k_fold(rows, FEATURES, "l_extendedprice", models.linear(),
-                          ["l_orderkey", "l_linenumber"], scaler=None)
-    return models.fold_summary(folds)
+    return models.fold_summary(least_squares.fold_scores(
+        _items(spark, sf), FEATURES, "l_extendedprice", _fold()))
+
+
+@query("l09_k_fold_one_feature", f"""
+    WITH rows AS (SELECT {_FOLD} AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+    fits AS (SELECT k.fold, 0.0::DOUBLE AS alpha, regr_intercept(y, x) AS a, regr_slope(y, x) AS b
+      FROM rows r, (SELECT DISTINCT fold FROM rows) k WHERE r.fold <> k.fold GROUP BY k.fold),
+    {_SCORES} SELECT CAST(fold AS INTEGER) AS fold, alpha, n, r2, rmse FROM scores""",
+       {"r2": 8, "rmse": 4})
+def l09_one(spark, sf):
+    return least_squares.fold_scores(_items(spark, sf), ["l_quantity"], "l_extendedprice", _fold())
+
+
+@query("l10_expanding_window_linear", f"""
+    WITH rows AS (SELECT year(l_shipdate) AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+    fits AS (SELECT k.fold, 0.0::DOUBLE AS alpha, regr_intercept(y, x) AS a, regr_slope(y, x) AS b
+      FROM rows r, (SELECT DISTINCT fold FROM rows ORDER BY fold DESC LIMIT 3) k
+      WHERE r.fold < k.fold GROUP BY k.fold),
+    {_SCORES} SELECT CAST(fold AS INTEGER) AS fold, alpha, n, r2, rmse FROM scores""",
+       {"r2": 8, "rmse": 4})
+def l10_linear(spark, sf):
+    items = table(spark, sf, "lineitem")
+    return least_squares.fold_scores(
+        items, ["l_quantity"], "l_extendedprice", F.year("l_shipdate"), last=3)
+
+
+# One standardised feature has the penalised slope sxy / (sxx + alpha * s * s), s sample deviation.
+@query("l11_ridge_grid", f"""
+    WITH rows AS (SELECT {_FOLD} AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+    sums AS (SELECT k.fold, avg(x) AS mx, avg(y) AS my, count(*) AS n, regr_sxy(y, x) AS sxy,
+        regr_sxx(y, x) AS sxx FROM rows r, (SELECT DISTINCT fold FROM rows) k
+      WHERE r.fold <> k.fold GROUP BY k.fold),
+    fits AS (SELECT fold, alpha, my - b * mx AS a, b FROM (SELECT *, sxy / (sxx
+        + alpha * sxx / (n - 1)) AS b FROM sums, (SELECT unnest([0.0, 10.0, 1000.0, 100000.0]::DOUBLE[])
+        AS alpha))),
+    {_SCORES} SELECT alpha, avg(r2) AS cv_r2_mean FROM scores GROUP BY alpha""", {"cv_r2_mean": 8})
+def l11_ridge(spark, sf):
+    return least_squares.grid_scores(least_squares.fold_scores(
+        _items(spark, sf), ["l_quantity"], "l_extendedprice", _fold(), [0.0, 10.0, 1e3, 1e5]))
 
 
 @query("l10_expanding_window")
@@ -183,7 +256,7 @@ def l14(spark, sf):
 
 @query("l15_confounding_designs")
 def l15(spark, sf):
-    designs = models.confounding_designs(_states(spark, sf), min_rows=10)
+    designs = models.confounding_designs(state_panel(spark, sf), min_rows=10)
     return models.run_designs(designs, {
         "elastic_net": models.elastic_net(), "random_forest": models.random_forest(10, 4)})
 
@@ -220,7 +293,7 @@ def l16(spark, sf):
 
 @query("l17_score_projection")
 def l17(spark, sf):
-    grid = _states(spark, sf)
+    grid = state_panel(spark, sf)
     features = ["cumulative_dc_mw", "cumulative_dc_count", "population_millions", "gdp_billions",
                 "dc_intensity"]
     rows = models.prepare(grid, features, "electricity_gwh", ["state", "year"])
@@ -231,3 +304,17 @@ def l17(spark, sf):
     baseline = energy.latest_period(grid).agg(F.sum("electricity_gwh")).scalar()
     return panel.projection_summary(
         scored.withColumnRenamed("prediction", "predicted_electricity_gwh"), baseline)
+
+
+@query("l17_score_linear", sql("facility", "electricity", "nation_dim", more=f"""{_PROJECTED},
+    f AS (SELECT regr_intercept(electricity_gwh, cumulative_dc_mw) AS a,
+        regr_slope(electricity_gwh, cumulative_dc_mw) AS b FROM panel)""") + """
+    SELECT state, year, a + b * cumulative_dc_mw AS prediction FROM projected, f""", {"prediction": 4})
+def l17_linear(spark, sf):
+    grid = state_panel(spark, sf)
+    features = ["cumulative_dc_mw"]
+    model = models.fit(models.prepare(grid, features, "electricity_gwh"), features,
+                       "electricity_gwh", models.linear())
+    ahead = models.prepare(panel.project_forward(grid, [2002, 2003, 2005]), features,
+                           "electricity_gwh", ["state", "year"])
+    return models.score(model, ahead).select("state", "year", "prediction")

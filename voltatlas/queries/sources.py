@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from voltatlas.operators import aggregates as agg
 from voltatlas.operators import cleaning, joins, models, panel
 from voltatlas.queries import base
+from voltatlas.queries.panel import _OPENINGS
 from voltatlas.queries.base import sql, table
 from voltatlas.queries.pages import SITE, city_pages, spec_pages
 from voltatlas.queries.registry import query
@@ -199,6 +200,20 @@ def s14(spark, sf):
         "state", "year", "prediction")
 
 
+@query("s14_one_feature_bundle", sql("categorized", "electricity", more=_OPENINGS + """,
+    rows AS (SELECT * FROM openings JOIN electricity USING (state, year)),
+    f AS (SELECT regr_intercept(total_consumption_mwh, new_dc_count) AS a,
+        regr_slope(total_consumption_mwh, new_dc_count) AS b FROM rows)""") + """
+    SELECT state, year, a + b * new_dc_count AS prediction FROM rows, f""", {"prediction": 1})
+def s14_one(spark, sf):
+    path = shared_folder(spark, "model")
+    rows = panel.openings_by_year(base.categorized(spark, sf)).join(
+        base.electricity(spark, sf), ["state", "year"])
+    writers.write_model_bundle(
+        models.fit(rows, ["new_dc_count"], "total_consumption_mwh", models.linear()), path)
+    return models.score(writers.read_model_bundle(path), rows).select("state", "year", "prediction")
+
+
 @query("s15_results_report", sql("categorized") + """
     SELECT dc_category, data_center_id, rank FROM (
         SELECT dc_category, data_center_id, CAST(row_number() OVER (PARTITION BY dc_category
