@@ -8,12 +8,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from voltatlas.session import local_session
+    from voltatlas.session import local_session, remove_written
 
     session = local_session(8)
     session.conf.set("spark.sql.shuffle.partitions", "4")
     session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
-    return session
+    yield session
+    remove_written(session)
 
 
 @pytest.fixture(scope="session")

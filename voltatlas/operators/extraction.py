@@ -38,8 +38,9 @@ def embedded_text(content: Column | str) -> Column:
 
 def embedded_json(df: DataFrame, content: str = "content", out: str = "doc") -> DataFrame:
     """The page's data as a variant; pages without any, or with broken JSON, drop out."""
-    return df.withColumn(out, F.try_parse_json(embedded_text(content))).where(
-        F.col(out).isNotNull())
+    # The generator keeps the optimizer from parsing once more in the filter.
+    parsed = F.explode(F.array(F.try_parse_json(embedded_text(content))))
+    return df.select("*", parsed.alias(out)).where(F.col(out).isNotNull())
 
 
 def explode_listings(df: DataFrame, content: str = "content",

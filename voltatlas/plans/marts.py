@@ -30,6 +30,12 @@ def facility_listing(city_pages: DataFrame, spec_pages: DataFrame) -> DataFrame:
         "operational_date")
 
 
+def facility_specs(spec_pages: DataFrame) -> DataFrame:
+    """Facility table of stored spec pages: valid pages, embedded data, one flat row each."""
+    docs = extraction.embedded_json(extraction.valid_pages(spec_pages, spec_pages=True))
+    return extraction.detail_record(docs)
+
+
 def facility_categorized(specs: DataFrame, order: Sequence[Column | str],
                          category: Column | None = None, planned: Column | None = None,
                          cutoff: int = 2026) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from voltatlas.operators import aggregates as agg
 from voltatlas.operators import cleaning, joins, models, panel
+from voltatlas.plans import marts
 from voltatlas.queries import base
 from voltatlas.queries.panel import _OPENINGS
 from voltatlas.queries.base import sql, table
@@ -29,6 +30,28 @@ def s01(spark, sf):
     return paths.withColumns(readers.path_columns("path")).drop("path")
 
 
+@query("s01_page_files", """
+    SELECT 'dc-' || CAST(c_custkey AS VARCHAR) AS data_center_id, c_name AS data_center_name,
+        c_nationkey + 0.25::DOUBLE AS latitude,
+        CAST(CASE WHEN c_custkey % 9 = 2 THEN c_custkey % 30 + 1990 END AS INTEGER)
+            AS year_operational,
+        CASE WHEN c_custkey % 9 = 2 THEN c_custkey % 50 + 1.5::DOUBLE END AS capacity_mw,
+        CAST(CASE WHEN c_custkey % 9 = 2 THEN c_custkey END AS DOUBLE) AS capacity_sqft
+    FROM customer WHERE c_custkey % 9 IN (2, 3, 8)""")
+def s01_files(spark, sf):
+    """Pages as files in folders, read back, flattened, written as CSV and read again."""
+    pages, table_path = shared_folder(spark, "pages"), shared_folder(spark, "specs")
+    spec_pages(spark, sf).select(
+        *[F.col(c) for c in ("content",)], *[
+            v.alias(k) for k, v in readers.path_columns("path").items()]
+    ).write.partitionBy("state", "city", "dc").text(pages)
+    writers.write_csv(marts.facility_specs(readers.read_pages(spark, pages)), table_path,
+                      readers.FACILITY_COLUMNS)
+    return readers.read_csv(spark, table_path, readers.FACILITY_SPEC).select(
+        "data_center_id", "data_center_name", "latitude", "year_operational", "capacity_mw",
+        "capacity_sqft")
+
+
 @query("s02_read_lines", """
     SELECT DISTINCT trim(line) AS line FROM (
         SELECT unnest(string_split(text, chr(10))) AS line FROM documents)
@@ -103,6 +126,16 @@ def s08(spark, sf):
     return readers.read_json_records(spark, path, readers.FACILITY_MAP, one_array=False)
 
 
+@query("s06_json_array", sql("nation_dim") + """
+    SELECT state, abbrev, population_millions FROM nation_dim""")
+def s06_array(spark, sf):
+    path = shared_folder(spark, "array-json")
+    rows = base.nation_dim(spark, sf).select("state", "abbrev", "population_millions")
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.text(path)
+    return readers.read_json_records(
+        spark, path, "state string, abbrev string, population_millions double")
+
+
 @query("s07_keyed_document", sql("facility", "nation_dim") + """
     SELECT '{' || string_agg('"' || abbrev || '":{"name":"' || state || '","dc_count":'
         || CAST(n AS VARCHAR) || '}', ',' ORDER BY abbrev) || '}' AS document
@@ -179,12 +212,14 @@ def s12(spark, sf):
         CASE WHEN year(o_orderdate) >= 1998 THEN o_orderpriority END AS o_orderpriority
     FROM orders""")
 def s13(spark, sf):
-    # Yearly tables whose columns change in 1998; the last year has no table.
+    # Yearly tables whose columns change in 1998; the last year has no table. Date ranges reach
+    # the scans, so each reads the row groups of its year only.
     o = table(spark, sf, "orders")
     frames = {}
     for year in range(1995, 2002):
         other = "o_totalprice" if year < 1998 else "o_orderpriority"
-        frames[year] = o.where(F.year("o_orderdate") == year).select("o_orderkey", other)
+        own = (F.col("o_orderdate") >= f"{year}-01-01") & (F.col("o_orderdate") < f"{year + 1}-01-01")
+        frames[year] = o.where(own).select("o_orderkey", other)
     return readers.union_years({**frames, 2002: None})
 
 
@@ -245,3 +280,29 @@ def s16(spark, sf):
     return whole.unionByName(part)
 
 
+_SHEETS = """
+    SELECT CAST(year AS INTEGER) AS year, CAST(utility_id AS VARCHAR) AS utility_id, state, ba_code,
+        residential_sales_mwh, commercial_sales_mwh, industrial_sales_mwh, total_sales_mwh,
+        total_customers FROM sales"""
+
+
+@query("s13_sales_sheets", sql("sales") + _SHEETS, {
+    c: 2 for c in ("residential_sales_mwh", "commercial_sales_mwh", "industrial_sales_mwh",
+                   "total_sales_mwh", "total_customers")})
+def s13_sheets(spark, sf):
+    """Yearly sheets whose headers differ, one with a line that is no data."""
+    rows = base.sales(spark, sf)
+    known = {0: "year", 1: "utility_id", 6: "state", 8: "ba_code", 10: "residential_sales_mwh",
+             13: "commercial_sales_mwh", 16: "industrial_sales_mwh", 22: "total_sales_mwh",
+             23: "total_customers"}
+    sheets: dict = {2002: None}
+    for year in range(1995, 2002):
+        cells = [F.col(known[i]).cast("string") if i in known else F.lit("-") for i in range(24)]
+        sheet = rows.where(F.col("year") == year).select(
+            *[c.alias(f"{year} column {i}") for i, c in enumerate(cells)])
+        title = [F.lit("Data Year" if i == 0 else f"title {i}").alias(c) for i, c in enumerate(sheet.columns)]
+        sheets[year] = sheet.unionByName(spark.range(1).select(*title)) if year == 1999 else sheet
+    return marts.sales_sheets(sheets).select(
+        F.col("year").cast("int").alias("year"), "utility_id", "state", "ba_code",
+        "residential_sales_mwh", "commercial_sales_mwh", "industrial_sales_mwh", "total_sales_mwh",
+        "total_customers")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -30,11 +32,31 @@ def local_session(cores: str | int = 8, memory: str = "12g") -> SparkSession:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh path under the cluster's ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only by a local master that names no shared one.
+    A machine-local folder is used only by a local master that names no shared one; it goes when
+    the process ends. ``remove_written`` deletes what was written so far, on any file system.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = os.path.join(tempfile.gettempdir(), "voltatlas-shared")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        root = _local_root()
+    _written.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+_written: list[str] = []
+
+
+@functools.cache
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="voltatlas-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the folders that this process has written; frames that read them end with it."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)

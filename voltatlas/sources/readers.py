@@ -16,6 +16,7 @@ FACILITY_SPEC = (
     "latitude double, longitude double, year_operational int, capacity_mw double, "
     "capacity_sqft double"
 )
+FACILITY_COLUMNS = [c.split()[0] for c in FACILITY_SPEC.split(", ")]
 FACILITY_MAP = (
     "name string, state string, city string, year int, capacity_mw double, energy_mwh double, "
     "category string, has_energy_data boolean"
@@ -24,12 +25,18 @@ _API_RESPONSE = "struct<response: struct<data: array<struct<period: string, sale
 
 
 def path_columns(path: Column | str) -> dict[str, Column]:
-    """State, city and facility from .../state/<state>/city/<city>/dc/<dc>/<file>."""
+    """State, city and facility from .../state/<state>/city/<city>/dc/<dc>/<file>.
+
+    Folders of a partitioned write, as in .../state=<state>/city=<city>/..., read the same.
+    """
     c = col(path)
+    state, city, dc = r"/state[/=]([^/]+)/", r"city[/=]([^/]+)/", r"dc[/=]([^/]+)/"
+    up_to_city = state.replace("(", "(?:")
+    up_to_dc = up_to_city + city.replace("(", "(?:")
     return {
-        "state": blank_to_null(F.regexp_extract(c, r"/state/([^/]+)/", 1)),
-        "city": blank_to_null(F.regexp_extract(c, r"/state/[^/]+/city/([^/]+)/", 1)),
-        "dc": blank_to_null(F.regexp_extract(c, r"/state/[^/]+/city/[^/]+/dc/([^/]+)/", 1)),
+        "state": blank_to_null(F.regexp_extract(c, state, 1)),
+        "city": blank_to_null(F.regexp_extract(c, up_to_city + city, 1)),
+        "dc": blank_to_null(F.regexp_extract(c, up_to_dc + dc, 1)),
     }
 
 
