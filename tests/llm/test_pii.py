@@ -58,8 +58,8 @@ def data(rng, n):
 @pytest.fixture(scope="module")
 def model():
     rng = random.Random(7)
-    windows = [w for text, *_ in data(rng, 500) for w in pii.labelled_windows(text)]
-    return tagger.fit(*pii.training_set(windows), pii.KINDS, steps=160)
+    windows = [w for text, *_ in data(rng, 900) for w in pii.labelled_windows(text)]
+    return tagger.fit(*pii.training_set(windows), pii.KINDS)
 
 
 def test_rewritten_data_is_found(model):
