@@ -67,10 +67,10 @@ def test_quotas_are_the_highest_quotients(spark):
     cells, expected = [], {}
     for shard in range(30):
         n = rng.randrange(1, 9)
-        votes = [rng.choice([0, rng.randrange(1, 300_000), rng.randrange(1, 9_000_000)]) for _ in range(n)]
+        votes = [rng.choice([0, rng.randrange(1, 20_000), rng.randrange(1, 600_000)]) for _ in range(n)]
         if shard == 3:
-            votes = [50_000] * n  # ties
-        seats = int(sum(votes) / (mixing.BLOCK_WORDS * mixing.VOTE_UNITS) + 0.5)
+            votes = [2_500] * n  # ties
+        seats = int(sum(votes) / mixing.VOTE_UNITS + 0.5)
         won = [0] * n
         for _ in range(seats):
             k = max(range(n), key=lambda i: (votes[i] / (2 * won[i] + 1), -i))
@@ -92,3 +92,20 @@ def test_hot_source_comes_near_its_target(spark):
     assert all(abs(r["sum(taken)"] - r["target"]) <= 0.02 * r["target"] + 64 for r in out)
     copies = mixing.mixed_documents(docs).groupBy("source").count().collect()
     assert len(copies) == len(out)
+
+
+def test_targets_by_repeated_sharing(spark):
+    """Sizes of all kinds, also those where most sources reach their limit."""
+    rng = random.Random(12)
+    for case in range(12):
+        n = rng.randrange(1, 25)
+        sizes = {f"s{i:02}": rng.choice([0, 1, rng.randrange(1, 100), rng.randrange(1, 10**6)]) for i in range(n)}
+        if case % 3 == 0:
+            sizes = {k: 1_000 + rng.randrange(300) for k in sizes}  # even sources
+        if case % 4 == 0:
+            sizes[None] = rng.randrange(1, 1_000)
+        df = spark.createDataFrame(list(sizes.items()), "source string, source_size long").coalesce(1)
+        got = {r.source: r.target for r in mixing.source_targets(df).collect()}
+        expected = _targets(sizes)
+        assert got == {k: pytest.approx(v, rel=1e-9, abs=1e-6) for k, v in expected.items()}
+        assert sum(got.values()) == pytest.approx(1.5 * sum(sizes.values()))

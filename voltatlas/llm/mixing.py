@@ -5,9 +5,10 @@
    among the others by weight until no source is above its limit. Sorted by limit over weight,
    the sources at their limit are a prefix, so this has a closed form.
 2. Quotas. The corpus is dealt by a hash of the id into shards of about ``SHARD_WORDS`` words. In
-   each shard, the blocks of ``BLOCK_WORDS`` words are allocated to the sources by the highest
-   quotients votes / (2 seats + 1), votes being the words that the shard's part of the source
-   should give. A shard has a row for each source at most, whatever the size of the sources.
+   each shard, blocks of ``BLOCK_WORDS`` words (the last one of a source may be shorter) are
+   allocated to the sources by the highest quotients votes / (2 seats + 1). A source's votes are
+   its blocks of the shard times target over size: what it should give. A shard has a row for
+   each source at most, whatever the size of the sources.
 3. Selection. A source's documents of a shard, in seeded order, are cut into blocks. A quota of q
    out of n blocks takes each block floor(q / n) times and q mod n blocks once more, spread evenly
    from a seeded start. A document's taken words are those of its parts of the selected blocks.
@@ -28,7 +29,7 @@ REPEAT = 2
 BLOCK_WORDS = 16
 SHARD_WORDS = 32_768
 SEED = "mix-1"
-VOTE_UNITS = 1_024  # votes are whole numbers of 1/1024 word, so that sums are exact
+VOTE_UNITS = 1_024  # votes are whole numbers of 1/1024 block, so that sums are exact
 
 
 def word_count(text: Column) -> Column:
@@ -61,9 +62,11 @@ def source_targets(
         (F.col("all_words") * F.lit(float(share)) - F.coalesce(F.sum("limit_words").over(before), F.lit(0)))
         / (F.col("all_weight") - F.coalesce(F.sum("weight").over(before), F.lit(0))))
     fits = F.col("level") <= F.col("limit_words") / F.col("weight")
+    # Only the first level that fits counts: beyond it, the sources before have more than the share.
+    first = F.min(F.when(fits, F.struct("place", "level"))).over(everyone)
     return (
-        ranked.withColumn("level", level)
-        .withColumn("level", F.min(F.when(fits, F.col("level"))).over(everyone))
+        ranked.withColumn("place", F.row_number().over(by_limit))
+        .withColumn("level", level).withColumn("level", first["level"])
         .select(
             "source", "source_no", "source_size",
             F.least(
@@ -82,12 +85,12 @@ def shard_quotas(cells: DataFrame, block: int = BLOCK_WORDS, repeat: int = REPEA
     """
     shard = Window.partitionBy("shard")
     slack = (F.col("v") / F.col("all_votes")) * (F.col("n") + 1) / 2 + 2
-    exact = F.col("v") / F.lit(block * VOTE_UNITS)
+    exact = F.col("v") / F.lit(VOTE_UNITS)
     banded = (
         cells.withColumn("v", F.col("votes"))
         .withColumn("all_votes", F.sum("v").over(shard))
         .withColumn("n", F.count(F.lit(1)).over(shard))
-        .withColumn("seats", F.floor(F.col("all_votes") / F.lit(block * VOTE_UNITS) + 0.5))
+        .withColumn("seats", F.floor(F.col("all_votes") / F.lit(VOTE_UNITS) + 0.5))
         .withColumn("low", F.when(F.col("v") > 0, F.greatest(
             F.lit(0), F.floor(exact - slack))).otherwise(F.lit(0)).cast("long"))
         .withColumn("high", F.when(F.col("v") > 0, F.ceil(exact + slack)).otherwise(F.lit(-1)).cast("long"))
@@ -158,7 +161,8 @@ def mix(
     cells = dealt.groupBy("shard", "source_no", "source_size", "target").agg(
         F.sum("size").alias("cell_size")).withColumn("votes", F.when(
             F.col("source_size") > 0,
-            F.floor(F.col("target") * F.col("cell_size") / F.col("source_size") * VOTE_UNITS))
+            F.floor(F.col("target") * F.ceil(F.col("cell_size") / F.lit(block)) / F.col("source_size")
+                    * VOTE_UNITS))
             .otherwise(F.lit(0)).cast("long"))
     quotas = shard_quotas(cells, block, repeat).select(
         F.col("shard").alias("q_shard"), F.col("source_no").alias("q_source"), "cell_size", "quota")

@@ -36,7 +36,8 @@ levels AS (
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT source, source_no, source_size, least(limit_words::DOUBLE, coalesce(
-    (SELECT min(level) FROM levels WHERE level <= limit_words / weight) * weight,
+    (SELECT level FROM levels WHERE level <= limit_words / weight
+     ORDER BY limit_words / weight, source_no LIMIT 1) * weight,
     limit_words::DOUBLE)) AS target
   FROM levels),
 shards AS (SELECT greatest(1, ceil(sum(size) / {mixing.SHARD_WORDS}))::BIGINT AS n FROM sized),
@@ -46,11 +47,12 @@ dealt AS (
 cells AS (
   SELECT shard, source_no, sum(size)::BIGINT AS cell_size,
          CASE WHEN any_value(source_size) > 0 THEN floor(
-           any_value(target) * sum(size) / any_value(source_size) * {mixing.VOTE_UNITS})
+           any_value(target) * ceil(sum(size) / {mixing.BLOCK_WORDS}) / any_value(source_size)
+           * {mixing.VOTE_UNITS})
          ELSE 0 END::BIGINT AS votes
   FROM dealt GROUP BY shard, source_no),
 house AS (
-  SELECT shard, floor(sum(votes) / {mixing.BLOCK_WORDS * mixing.VOTE_UNITS}::DOUBLE + 0.5) AS seats
+  SELECT shard, floor(sum(votes) / {mixing.VOTE_UNITS}::DOUBLE + 0.5) AS seats
   FROM cells GROUP BY shard),
 quotients AS (
   SELECT shard, source_no, row_number() OVER (
