@@ -79,10 +79,17 @@ def write_results_report(tables: dict[str, DataFrame], path: str) -> None:
 
 def write_split_by_category(df: DataFrame, path: str, categories: Sequence[str],
                             column: str = "dc_category") -> None:
-    """The full table and its chosen categories, in one partitioned write each."""
-    df.write.mode("overwrite").csv(f"{path}/all", header=True, escape='"', emptyValue='""')
-    df.where(F.col(column).isin(*categories)).write.mode("overwrite").partitionBy(column).csv(
-        f"{path}/by_category", header=True, escape='"', emptyValue='""')
+    """The full table and its chosen categories, in one partitioned write each.
+
+    The rows are computed once and kept for the second write.
+    """
+    kept = df.persist()
+    try:
+        kept.write.mode("overwrite").csv(f"{path}/all", header=True, escape='"', emptyValue='""')
+        kept.where(F.col(column).isin(*categories)).write.mode("overwrite").partitionBy(column).csv(
+            f"{path}/by_category", header=True, escape='"', emptyValue='""')
+    finally:
+        kept.unpersist()
 
 
 def read_back(spark: SparkSession, path: str, schema: str) -> DataFrame:
