@@ -49,14 +49,14 @@ def _positions(h: Column) -> list[Column]:
     return [F.pmod(F.shiftrightunsigned(x, s), F.lit(BLOCK_BITS)) for s in (0, 20)]
 
 
-def repeat_filter(hashes: DataFrame, blocks: int, col: str = "h") -> DataFrame:
-    """Pass 1: ``block int, bits binary`` of the positions that two or more rows marked."""
+def repeat_filter(hashes: DataFrame, blocks: int, col: str = "h", least: int = 2) -> DataFrame:
+    """Pass 1: ``block int, bits binary`` of the positions that ``least`` or more rows marked."""
     h = F.col(col)
     marks = hashes.select(
         _block(h, blocks).alias("block"), F.explode(F.array_distinct(F.array(*_positions(h)))).alias("pos"))
     return (
         marks.groupBy("block", "pos").agg(F.count(F.lit(1)).alias("n"))
-        .filter("n >= 2")
+        .filter(F.col("n") >= least)
         .groupBy("block").agg(F.bitmap_construct_agg("pos").alias("bits")))
 
 
