@@ -31,12 +31,11 @@ def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def sentence_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, and whether they decode to its text."""
-    carry = ["doc_id", "lang", "source", "text"]
-    encoded = sentencepieces.encode(docs, carry=carry)
+    carry = ["doc_id", "lang", "source"]
+    encoded = sentencepieces.encode(docs, carry=carry, decoded=False)
     return encoded.select(
-        *[F.col("row")[c].alias(c) for c in carry[:-1]],
-        F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids",
-        (F.col("decoded") == F.coalesce("row.text", F.lit(""))).alias("round_trip"))
+        *[F.col("row")[c].alias(c) for c in carry],
+        F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", "round_trip")
 
 
 STAGES = [

@@ -71,9 +71,11 @@ def test_round_trip(spark, pieces):
     got = sp.encode(docs, carry=["doc_id", "text"]).collect()
     assert len(got) == len(rows)
     for r in got:
-        assert r.decoded == (r.row.text or "")
+        assert r.decoded == (r.row.text or "") and r.round_trip
         assert bool(r.piece_ids) == bool(r.row.text)
     assert sp.encode(empty(spark)).count() == 0
+    marked = spark.createDataFrame([(1, "a\u2581b")], "doc_id long, text string")
+    assert [r.round_trip for r in sp.encode(marked, decoded=False).collect()] == [False]
 
 
 def test_batches_agree(pieces, monkeypatch):

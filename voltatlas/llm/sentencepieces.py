@@ -33,7 +33,7 @@ from voltatlas.llm.tables import row_struct, with_row
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"  # a parameter; never copied
 UNKNOWN_PENALTY = 10.0  # below the worst piece, for a character without a piece
-BATCH_BYTES = 16 << 20  # texts whose distinct words share one trie; a longer text stands alone
+BATCH_BYTES = 4 << 20  # texts whose distinct words share one trie; a longer text stands alone
 
 
 class Pieces:
@@ -168,13 +168,15 @@ def _batches(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 def encode(
     docs: DataFrame, text_col: str = "text", carry: Sequence[str] = ("doc_id",), model_file: str = MODEL,
+    decoded: bool = True,
 ) -> DataFrame:
-    """One row per row of ``docs``: ``row`` (struct of carried columns), ``piece_ids``, ``decoded``.
+    """One row per row of ``docs``: ``row`` (struct of carried columns), ``piece_ids``, ``round_trip``.
 
-    ``piece_ids`` is the best segmentation of the whole text, ``decoded`` the text restored from
-    it. NULL and empty texts have no pieces and decode to the empty text. Very long texts and
-    words take memory in proportion to their length. Repeated rows are encoded alike, ties between
-    segmentations go to the longer last piece. Carried names stay inside the struct.
+    ``piece_ids`` is the best segmentation of the whole text; with ``decoded``, a column of that name
+    has the text restored from it. ``round_trip`` tells whether that is the text. NULL and empty texts
+    have no pieces and decode to the empty text. Very long texts and words take memory in proportion
+    to their length. Repeated rows are encoded alike, ties between segmentations go to the longer last
+    piece. Carried names stay inside the struct.
     """
     with open(model_file, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -183,12 +185,16 @@ def encode(
         own = _pieces(model.value)
         for whole in batches:
             for batch in _batches(whole, "text"):
-                ids, bounds = own.encode(batch.column("text"))
-                lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(ids))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), lists.cast(pa.list_(pa.int32())),
-                     own.decode(ids, bounds).cast(pa.large_string()).cast(pa.string())],
-                    names=["row", "piece_ids", "decoded"])
-
+                texts = batch.column("text")
+                ids, bounds = own.encode(texts)
+                restored = own.decode(ids, bounds)
+                same = pc.equal(restored, texts.fill_null("").cast(pa.large_binary()))
+                lists = pa.LargeListArray.from_arrays(pa.array(bounds), pa.array(ids)).cast(pa.list_(pa.int32()))
+                columns = {"row": batch.column("row"), "piece_ids": lists, "round_trip": same}
+                if decoded:
+                    columns["decoded"] = restored.cast(pa.large_string()).cast(pa.string())
+                yield pa.RecordBatch.from_pydict(columns)
+
+    more = {"decoded": T.StringType()} if decoded else {}
     return docs.select(row_struct(docs, carry), docs[text_col].alias("text")).mapInArrow(
-        run, with_row(docs, carry, piece_ids=T.ArrayType(T.IntegerType()), decoded=T.StringType()))
+        run, with_row(docs, carry, piece_ids=T.ArrayType(T.IntegerType()), round_trip=T.BooleanType(), **more))
