@@ -75,6 +75,27 @@ def test_rewritten_data_is_found(model):
     assert hit >= 0.75 * len(cases)
 
 
+def test_rewritten_emails_without_digits_are_found(model):
+    rng = random.Random(41)
+    hit, cases = 0, []
+    for _ in range(120):
+        name, host = ("".join(rng.choice("abcdefghilmnorst") for _ in range(rng.randrange(4, 9))) for _ in range(2))
+        at, dot = rng.choice([(" (at) ", "."), ("[at]", "."), (" [at] ", "."), (" (at) ", " (dot) "), ("[at]", "[dot]")])
+        cases.append((prose(rng, 20), f"{name}{at}{host}{dot}example{dot}com", prose(rng, 20)))
+    for before, form, after in cases:
+        base, more = pii.all_spans(model, [f"{before} {form} {after}"])
+        hit += ("email", len(before) + 1, len(before) + 1 + len(form)) in base[0] + more[0]
+    assert hit >= 0.75 * len(cases)
+
+
+def test_every_form_that_a_check_takes_is_plausible_and_decoded():
+    for text in ("jane.doe [at] example.org", "jane (at) example (dot) com", "jane @ example.org"):
+        assert pii.plausible("email", text) and pii.window_starts(text) == [0]
+    assert not pii.plausible("email", "jane at example.org")
+    # A hint across the edge of a window is in the windows of both sides.
+    assert pii.window_starts("x" * 125 + "[at]" + "y" * 300) == [0, 64, 128]
+
+
 def test_nothing_is_added_to_plain_prose(model):
     rng = random.Random(5)
     texts = [prose(rng, 200) for _ in range(30)] + ["version 3. 12 May 2024, 10:30. Pages 3-5, 7 and 1,000,000"]

@@ -2,15 +2,15 @@
 
 The tagger is trained in numpy on labelled windows: those of a bounded sample of documents, whose
 base spans are the labels, with copies in which the spans are written another way (separators,
-brackets, without the plus), so that it learns the forms that the patterns miss. Texts are cut into
+brackets, without the plus, addresses without digits), so that it learns the forms that the patterns miss. Texts are cut into
 windows of ``WINDOW`` characters every ``STRIDE``; each is decoded by Viterbi. Spans of all windows
 of a text are then reconciled at once: pieces cut by a window's edge are joined with what the next
 window has of them, and of the spans that overlap the set with the highest total score stays
-(weighted interval scheduling). A span counts only if it passes its kind's check and lies outside
+(weighted interval scheduling). An address of which the best path misses characters is taken whole. A span counts only if it passes its kind's check and lies outside
 the base spans, which always stay.
 
-Every check asks for a digit or an ``@``. A window without any can therefore add nothing, and is not
-decoded; results are the same as if it were.
+Every check asks for a digit, an ``@`` or a bracketed ``at``. Windows that overlap none of these nor a
+bracketed ``dot`` are not decoded: they can at most hold a piece of a span that is longer than a window.
 """
 
 from __future__ import annotations
@@ -48,8 +48,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(PHONE)
-_HINT = re.compile(r"[0-9@]")
+_HINT = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]")  # what the checks below ask for
 _DIGIT = re.compile(r"[0-9]")
+_AT = re.compile(r"\s*(?:@|[(\[]at[)\]])\s*")
+_NAMES = re.compile(r"[A-Za-z0-9-]*(?:(?:\.|\s*[(\[]dot[)\]]\s*)[A-Za-z0-9-]+)*")
 
 Span = tuple[str, int, int]  # kind, start, end
 
@@ -104,8 +106,8 @@ _CHECKS = {
 
 
 def plausible(kind: str, text: str) -> bool:
-    """Whether a span found by the tagger has its kind's form; each needs a digit or an ``@``."""
-    if not _HINT.search(text) or not _CHECKS[kind].fullmatch(text):
+    """Whether a span found by the tagger has its kind's form."""
+    if not _CHECKS[kind].fullmatch(text):
         return False
     digits = "".join(c for c in text if c in "0123456789")
     if kind == "ip":
@@ -117,13 +119,31 @@ def plausible(kind: str, text: str) -> bool:
     return True
 
 
+def _whole_email(text: str, a: int, b: int) -> tuple[int, int]:
+    """The span with its local part and last names whole, of which the best path may miss characters."""
+    at = None
+    for m in _AT.finditer(text, max(0, a - WINDOW), b):
+        if m.start() >= a or _NAMES.fullmatch(text, m.end(), max(a, m.end())):
+            at = m
+            break
+    if at is None:
+        return a, b
+    a = at.start()
+    while a > 0 and text[a - 1] in _LOCAL and at.start() - a < WINDOW:
+        a -= 1
+    b = max(at.end(), b)
+    while b > at.end() and text[b - 1] in ".,;:":
+        b -= 1
+    return a, _NAMES.match(text, b, b + WINDOW).end()
+
+
 def window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or an ``@``; the last one may be short."""
+    """Starts of the windows that overlap a digit, an ``@`` or a bracketed at or dot; the last one may be short."""
     last = max(0, -(-(len(text) - WINDOW) // STRIDE)) if len(text) > WINDOW else 0
     out: list[int] = []
     for m in _HINT.finditer(text):
-        p = m.start()
-        for k in range(max(0, -(-(p - WINDOW + 1) // STRIDE)), min(last, p // STRIDE) + 1):
+        first, end = m.span()
+        for k in range(max(0, -(-(first - WINDOW + 1) // STRIDE)), min(last, (end - 1) // STRIDE) + 1):
             if not out or k * STRIDE > out[-1]:
                 out.append(k * STRIDE)
     return out
@@ -218,8 +238,10 @@ def all_spans(model: Tagger | None, texts: Sequence[str]) -> tuple[list[list[Spa
         for kind, a, b in spans:
             inner = text[a:b]
             a, b = a + len(inner) - len(inner.lstrip()), b - (len(inner) - len(inner.rstrip()))
+            if kind == "email":
+                a, b = _whole_email(text, a, b)
             k = bisect.bisect_left(starts, b)
-            free = not any(y > a for _, y in taken[max(0, k - len(KINDS)):k])
+            free = not any(y > a for _, y in taken[max(0, k - len(KINDS)):k]) and not (kept and kept[-1][2] > a)
             if a < b and free and plausible(kind, text[a:b]):
                 kept.append((kind, a, b))
         more.append(kept)
@@ -227,7 +249,7 @@ def all_spans(model: Tagger | None, texts: Sequence[str]) -> tuple[list[list[Spa
 
 
 def labelled_windows(text: str) -> list[tuple[str, list[Span]]]:
-    """Windows with a digit or an ``@``, with the base spans that they hold whole."""
+    """Windows with a hint (see ``window_starts``), with the base spans that they hold whole."""
     spans = base_spans(text)
     out = []
     for s in window_starts(text):
@@ -241,7 +263,17 @@ def labelled_windows(text: str) -> list[tuple[str, list[Span]]]:
 def _rewritten(kind: str, text: str, rng: np.random.Generator) -> str:
     """The same datum in a form that the base patterns do not take."""
     if kind == "email":
-        return text.replace("@", rng.choice([" @ ", "@ ", " (at) ", "[at]"]))
+        if rng.random() < 0.5:
+            bare = re.sub(r"[._%+-]?[0-9]+", "", text)
+            text = bare if re.fullmatch(EMAIL, bare) else text
+            # Other names, so that it learns the form and not the hosts of the sample.
+            text = re.sub(r"[A-Za-z]+", lambda m: "".join(
+                chr(c) for c in rng.integers(97, 123, int(rng.integers(2, 11)))), text)
+        at = rng.choice([" @ ", "@ ", " (at) ", "(at)", " [at] ", "[at]"])
+        local, domain = text.split("@")
+        if "at" in at and rng.random() < 0.5:
+            domain = domain.replace(".", at.replace("at", "dot"))
+        return local + at + domain
     if kind == "ip":
         return text.replace(".", "[.]" if rng.random() < 0.5 else " . ")
     if kind == "card":
