@@ -59,6 +59,43 @@ def test_segmentation_is_the_best_of_the_whole_text(pieces):
             assert sum(i not in score_of for i in own) == sum(i not in score_of for i in best)
 
 
+def model_vocabulary():
+    """The pieces of the model file, not those of the trie."""
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=sp.MODEL)
+    return {own.id_to_piece(i): (own.get_score(i), i) for i in range(own.get_piece_size())
+            if not (own.is_byte(i) or own.is_control(i) or own.is_unknown(i) or own.is_unused(i))}
+
+
+def test_runs_of_spaces_take_their_pieces(pieces):
+    known = model_vocabulary()
+    assert vocabulary(pieces) == known and not pieces.crossing
+    rng = random.Random(12)
+    parts = ["def", "x", "=", "\n", "\t", " ", "  ", "   ", " " * 4, " " * 8, " " * 16, " " * 17, "return", "é", "▁", "\x00"]
+    texts = [" " * n for n in range(1, 40)] + [" " * n + "if x:" for n in range(20)]
+    texts += ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) for _ in range(300)]
+    ids, bounds = pieces.encode(pa.array(texts))
+    score_of = {i: s for s, i in known.values()}
+    for k, text in enumerate(texts):
+        own = ids[bounds[k]:bounds[k + 1]].tolist()
+        score, best = brute(pieces, known, text)
+        if own != best:  # equal scores may be cut in several ways
+            assert sum(score_of.get(i, 0.0) for i in own) == sum(score_of.get(i, 0.0) for i in best), text
+            assert sum(i not in score_of for i in own) == sum(i not in score_of for i in best), text
+    assert len(pieces.encode(pa.array([" " * 15]))[0]) == 1
+    restored = pieces.decode(ids, bounds).to_pylist()
+    assert all(r.decode() == t for r, t in zip(restored, texts, strict=True) if sp.MARK not in t)
+
+
+def test_texts_are_cut_nowhere_if_a_piece_crosses(pieces, monkeypatch):
+    texts = pa.array(["a b  c", "", " ", "the river the river"])
+    cut = pieces.encode(texts)
+    monkeypatch.setattr(pieces, "crossing", True)
+    whole = pieces.encode(texts)
+    assert [x.tolist() for x in whole] == [x.tolist() for x in cut]
+
+
 def test_shared_prefixes_change_nothing(pieces):
     words = sorted({sp.MARK + w for w in "a ab abc abcd abd b ba transform transformer transformed trans é éa".split()})
     together = pieces.encode_sorted(words)

@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a shared-prefix Viterbi search.
 
 A text is written with the mark U+2581 in front and for every space, and cut into marked words
-before each mark. Pieces with a mark after their first character are left out, so no piece
-crosses a cut and the best segmentation of a text is that of its words one after the other.
+before the first mark of each run of marks. No piece of the model crosses such a cut, so the best
+segmentation of a text is that of its words one after the other; if one does, texts are not cut.
 
 The distinct words of a batch are sorted, which lists the paths of a trie depth-first: a word
 shares the leading characters of the word before it up to their common prefix. The forward scores
@@ -45,6 +45,7 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.byte_ids = [0] * 256
         self.trie: dict = {}
+        self.crossing = False  # whether a piece has a mark after another character
         forms, scores, n_bytes = [], [], 0
         for i in range(sp.get_piece_size()):
             piece = sp.id_to_piece(i)
@@ -55,12 +56,12 @@ class Pieces:
                 n_bytes += 1
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 form = piece.replace(MARK, " ").encode()
-                if MARK not in piece[1:]:
-                    node = self.trie
-                    for c in piece:
-                        node = node.setdefault(c, {})
-                    node[""] = (sp.get_score(i), i)
-                    scores.append(sp.get_score(i))
+                self.crossing |= MARK in piece.lstrip(MARK)
+                node = self.trie
+                for c in piece:
+                    node = node.setdefault(c, {})
+                node[""] = (sp.get_score(i), i)
+                scores.append(sp.get_score(i))
             forms.append(form)
         if n_bytes != 256:
             raise ValueError("the model has no pieces for single bytes")
@@ -113,18 +114,26 @@ class Pieces:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of all texts, one after the other, and the bounds of each text's."""
         texts = texts.fill_null("").cast(pa.large_string())
-        parts = pc.split_pattern(texts, " ")
+        # A space before every mark of a space, then none between two marks.
+        front, nothing = (pa.scalar(x, pa.large_string()) for x in (MARK, ""))
+        marked = pc.binary_join_element_wise(front, texts, nothing)
+        marked = pc.replace_substring(marked, " ", " " + MARK)
+        for _ in range(2):
+            marked = pc.replace_substring(marked, MARK + " " + MARK, MARK + MARK)
+        if self.crossing:
+            marked = pc.replace_substring(marked, " ", "")
+        parts = pc.split_pattern(marked, " ")
         coded = parts.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         order = sorted(range(len(distinct)), key=distinct.__getitem__)
-        found = self.encode_sorted([MARK + distinct[i] for i in order])
+        found = self.encode_sorted([distinct[i] for i in order])
         sizes = np.zeros(len(distinct), np.int64)
         sizes[order] = [len(x) for x in found]
         place = np.empty(len(distinct), np.int64)
         place[order] = np.concatenate(([0], np.cumsum(sizes[order])))[:-1] if len(order) else 0
         flat = np.fromiter((i for x in found for i in x), np.int32, int(sizes.sum()))
         words = coded.indices.to_numpy()
-        # An empty text has no pieces, though splitting it gives one empty word.
+        # An empty text has no pieces, though splitting it gives the mark in front as one word.
         empty = np.repeat(pc.binary_length(texts).to_numpy() == 0, _sizes(parts))
         counts = np.where(empty, 0, sizes[words])
         ends = np.cumsum(counts)
