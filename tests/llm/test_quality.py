@@ -52,6 +52,28 @@ def test_without_references_the_base_rule_decides(spark):
     assert not got[1].kept and got[2].kept and got[2].language is None and got[2].word_distance is None
 
 
+def test_other_languages_stay_in_a_mixed_corpus(spark):
+    import random
+
+    rng = random.Random(4)
+
+    def written(letters, n, some=()):
+        return " ".join(rng.choice(some) if some and rng.random() < 0.4 else "".join(
+            rng.choice(letters) for _ in range(rng.randrange(3, 9))) for _ in range(n))
+
+    english = "abcdefghilmnorstu"
+    rows = [(i, written(english, 150, quality.COMMON_WORDS["en"]), "en", True) for i in range(30)]
+    rows.append((30, written("ABCD#$%", 150), "en", False))
+    rows += [(40 + i, written("абвгдежзиклмнопрст", 150), lang, True) for i, lang in enumerate(("ru", None, "uk"))]
+    rows += [(50, written("αβγδεζηθικλμν", 150), "el", True), (51, written("ابتثجحخدذرز", 150), "ar", True),
+             (52, written("कखगघचछजझटठ", 150), "hi", True), (53, "слово " * 150, "ru", False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, good boolean")
+    got = {r.row.doc_id: r for r in quality.judge(docs).collect()}
+    assert {i: r.kept for i, r in got.items()} == {i: good for i, _, _, good in rows}
+    assert got[40].language is None and got[40].class_distance is None and got[0].language == "en"
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {r[0] for r in rows if r[3]}
+
+
 def test_junk_goes_and_clean_prose_stays(spark, sf):
     docs, labels = (spark.read.parquet(f"{sf.rsplit('/', 1)[0]}/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = quality.judge(docs, carry=["doc_id"]).filter("not base_failed").selectExpr("row.doc_id", "kept")

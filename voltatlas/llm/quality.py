@@ -4,7 +4,9 @@ A text's histogram of character classes and its histogram of common words are co
 reference of each language by Jensen-Shannon distance (the root of the divergence in bits, 0 to
 1). Its language is the reference with the nearest word histogram; the text is rejected if that
 distance or the distance of its character classes to the same reference is above a threshold.
-Texts below a minimum length are not judged by a histogram, for a few words tell little.
+Texts below a minimum length are not judged by a histogram, for a few words tell little. Nor are
+texts whose label has no reference (another language, or no label): the distance to the references
+of other languages says nothing of their quality, and the base rule alone decides.
 
 References are sums over all documents that carry the language's label: one row of counts for
 each language of ``COMMON_WORDS``, which bounds what the driver gets.
@@ -244,9 +246,9 @@ def judge(
 
     ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long), ``base_failed``,
     ``language`` (of the nearest word reference), ``class_distance``, ``word_distance`` (all NULL
-    below the minimum length or without references) and ``kept``. NULL texts are empty and fail
-    the base rule. Without references (an empty table, or labels that have no word list) the base
-    rule alone decides. Ties between languages go to the smaller distance of classes within the
+    below the minimum length or without a reference of the text's label) and ``kept``. NULL texts are
+    empty and fail the base rule. A text whose label has no reference (NULL, or a language without a
+    word list) is left to the base rule; any other is judged by the nearest reference. Ties between languages go to the smaller distance of classes within the
     first language by name. ``carry`` names the columns of ``row``, by default all; they keep
     their names inside the struct, so that none can clash.
     """
@@ -263,7 +265,7 @@ def judge(
             jensen_shannon(F.transform("classes", lambda c: c / F.col("chars")), class_shares).alias("class")))
     nothing = F.lit(None).cast("struct<word:double,lang:string,class:double>")
     nearest = F.array_min(F.array(*pairs)) if pairs else nothing
-    df = computed(df, near=F.when(F.col("n") > 0, nearest))
+    df = computed(df, near=F.when((F.col("n") > 0) & F.col("lang").isin(list(known)), nearest))
     by_class, by_word = F.col("chars") >= limits.class_min_chars, F.col("n") >= limits.word_min_words
     df = computed(
         df, class_distance=F.when(by_class, F.col("near.class")),
