@@ -114,6 +114,24 @@ FROM ruled
 """
 
 
+LINES = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row_id, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT row_id, doc_id, place, lines[place] AS line,
+         translate(trim(lines[place], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM split, unnest(range(1, len(lines) + 1)) AS r(place)),
+shared AS (
+  SELECT key, max(doc_id) AS top FROM lines WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (doc_id <> top) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (top IS NULL OR doc_id = top), ''))
+         AS kept_sha256
+FROM lines LEFT JOIN shared USING (key) GROUP BY row_id, doc_id
+"""
+
+
 def _listed(words) -> str:
     return "[" + ", ".join("'" + w + "'" for w in words) + "]"
 

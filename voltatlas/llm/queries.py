@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltatlas.llm import (
-    exact_dedup, langid, minhash, mixing, oracles, pii, quality, secret_scan, sentencepieces, token_counts,
-    url_cascade,
+    exact_dedup, langid, line_dedup, minhash, mixing, oracles, pii, quality, secret_scan, sentencepieces,
+    token_counts, url_cascade,
 )
 from voltatlas.llm.tables import documents
 
@@ -108,3 +108,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("row.doc_id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
         joined_spans().alias("spans"))
+
+
+@query("op11_line_dedup", oracles.LINES)
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    kept = line_dedup.kept_text(docs, line_dedup.line_bitmaps(docs))
+    return kept.select(
+        F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
