@@ -132,6 +132,56 @@ FROM lines LEFT JOIN shared USING (key) GROUP BY row_id, doc_id
 """
 
 
+# CRC-32 in SQL: the register after each byte value, and the steps of a text's bytes.
+_CRC_TABLE = """(SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+  xor(c >> 1, 3988292384 * (c & 1))) ORDER BY n) FROM range(256) AS r(n))"""
+
+
+def _crc(text: str, table: str) -> str:
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(
+      range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex(encode({text})), 2 * i - 1, 2))::BIGINT)),
+      lambda c, b: xor({table}[xor(c & 255, b) + 1], c >> 8)))"""
+
+
+# Every feature as a string; its bucket is computed once for each distinct string.
+RESAMPLE = rf"""
+WITH crc AS (SELECT {_CRC_TABLE} AS steps),
+texts AS (
+  SELECT 'd' AS side, row_number() OVER () AS row_id, doc_id, text FROM documents
+  UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark),
+worded AS (
+  SELECT side, row_id, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM texts),
+features AS (
+  SELECT side, row_id, array_to_string(list_slice(words, place, place + more), ' ') AS feature
+  FROM worded, unnest(range(1, len(words) + 1)) AS p(place), range(3) AS m(more)
+  WHERE place + more <= len(words)),
+counted AS (
+  SELECT feature, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t
+  FROM features GROUP BY feature),
+hashed AS (SELECT feature, s, t, {_crc('feature', 'steps')} % 10000 AS bucket FROM counted, crc),
+sums AS (SELECT bucket, sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM hashed GROUP BY bucket),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000)
+                       / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000))))::BIGINT AS gain FROM sums),
+weights AS (
+  SELECT row_id, sum(gain)::BIGINT AS weight
+  FROM features JOIN hashed USING (feature) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row_id),
+scored AS (
+  SELECT doc_id, len(words) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(
+    (('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+    / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM worded LEFT JOIN weights USING (row_id) WHERE side = 'd'),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+         count(*) OVER (PARTITION BY n >= 20) AS eligible FROM scored)
+SELECT doc_id, (n + greatest(n - 1, 0) + greatest(n - 2, 0))::BIGINT AS n_features, weight, score,
+       CASE WHEN n >= 20 AND place <= 5 * eligible // 100 THEN place END AS rank
+FROM ranked
+"""
+
+
 def _listed(words) -> str:
     return "[" + ", ".join("'" + w + "'" for w in words) + "]"
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltatlas.llm import (
-    exact_dedup, langid, line_dedup, minhash, mixing, oracles, pii, quality, secret_scan, sentencepieces,
+    exact_dedup, langid, line_dedup, minhash, mixing, oracles, pii, quality, resample, secret_scan, sentencepieces,
     token_counts, url_cascade,
 )
 from voltatlas.llm.tables import documents
@@ -116,3 +116,9 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.kept_text(docs, line_dedup.line_bitmaps(docs))
     return kept.select(
         F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_importance_resampling", oracles.RESAMPLE)
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("row.doc_id", "n_features", "weight", "score", "rank")
