@@ -182,6 +182,45 @@ FROM ranked
 """
 
 
+# Each prefix is a node; every node adds its part to all prefixes of its own.
+TRIE = rf"""
+WITH crc AS (SELECT {_CRC_TABLE} AS steps),
+turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list(md5(length(role) || ':' || role || text) ORDER BY turn NULLS FIRST,
+           md5(length(role) || ':' || role || text)) AS ids,
+         list(strlen(text) ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS sizes
+  FROM turns GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, ids, sizes, {_crc('conv_id::VARCHAR', 'steps')} % 9 AS h FROM own, crc),
+paths AS (
+  SELECT o.conv_id, coalesce(list_slice(b.ids, 1, h), []) || list_slice(o.ids, h + 1, len(o.ids)) AS ids,
+         coalesce(list_slice(b.sizes, 1, h), []) || list_slice(o.sizes, h + 1, len(o.ids)) AS sizes
+  FROM heads o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+prefixes AS (
+  SELECT conv_id, d, list_slice(ids, 1, d) AS prefix, d = len(ids) AS ended,
+         CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size
+  FROM paths, unnest(range(0, len(ids) + 1)) AS r(d)),
+nodes AS (
+  SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own_saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM prefixes GROUP BY prefix, d),
+kids AS (
+  SELECT list_slice(prefix, 1, d - 1) AS prefix, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+counted AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids USING (prefix)),
+sums AS (
+  SELECT list_slice(prefix, 1, up) AS prefix, sum(own_saved)::BIGINT AS saved_tokens,
+         count(*) FILTER (n_children = 0) AS n_leaves
+  FROM counted, unnest(range(0, d + 1)) AS r(up) GROUP BY 1)
+SELECT c.conv_id, c.d AS depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, saved_tokens,
+       c.ends_sha256
+FROM counted c JOIN sums s ON s.prefix = c.prefix
+LEFT JOIN nodes p ON c.d > 0 AND p.prefix = list_slice(c.prefix, 1, c.d - 1)
+"""
+
+
 def _listed(words) -> str:
     return "[" + ", ".join("'" + w + "'" for w in words) + "]"
 

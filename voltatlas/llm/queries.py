@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltatlas.llm import (
-    exact_dedup, langid, line_dedup, minhash, mixing, oracles, pii, quality, resample, secret_scan, sentencepieces,
-    token_counts, url_cascade,
+    exact_dedup, langid, line_dedup, minhash, mixing, oracles, pii, prefix_trie, quality, resample, secret_scan,
+    sentencepieces, token_counts, url_cascade,
 )
 from voltatlas.llm.tables import documents
 
@@ -122,3 +122,9 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return drawn.select("row.doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op13_prefix_trie", oracles.TRIE)
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return prefix_trie.trie_nodes(prefix_trie.rebuilt(prefix_trie.conversation_rows(turns)))
