@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 from voltatlas import params as p
 from voltatlas.functions.columns import clip, col, inline_table, or_zero, ratio
+from voltatlas.operators import least_squares, trees
 from voltatlas.operators.classify import interpret_causal, interpret_fit
 from voltatlas.operators.panel import first_difference
 from voltatlas.operators.quantiles import exact_quantiles
+from voltatlas.session import stored
 
 SEED = 42
 
@@ -196,9 +199,10 @@ def k_fold(df: DataFrame, features: Sequence[str], label: str, estimator: Estima
                        key_bucket(keys, folds, SEED + 1).cast("int").alias("fold")).persist()
     parts = ((i, marked.where(F.col("fold") != i), marked.where(F.col("fold") == i))
              for i in range(folds))
-    out = _fold_scores(parts, "fold", "int", features, label, estimator, scaler, degree)
-    marked.unpersist()
-    return out
+    try:
+        return _fold_scores(parts, "fold", "int", features, label, estimator, scaler, degree)
+    finally:
+        marked.unpersist()
 
 
 def expanding_window(df: DataFrame, features: Sequence[str], label: str, estimator: Estimator,
@@ -206,12 +210,13 @@ def expanding_window(df: DataFrame, features: Sequence[str], label: str, estimat
                      scaler: str | None = "standard") -> DataFrame:
     """Each of the last years is predicted from all years before it."""
     kept = df.select(*dict.fromkeys([*features, label, year])).persist()
-    years = [int(r[0]) for r in kept.select(year).distinct().orderBy(F.col(year).desc())
-             .limit(splits).collect()]
-    parts = ((y, kept.where(F.col(year) < y), kept.where(F.col(year) == y)) for y in sorted(years))
-    out = _fold_scores(parts, year, "int", features, label, estimator, scaler)
-    kept.unpersist()
-    return out
+    try:
+        years = [int(r[0]) for r in kept.select(year).distinct().orderBy(F.col(year).desc())
+                 .limit(splits).collect()]
+        parts = ((y, kept.where(F.col(year) < y), kept.where(F.col(year) == y)) for y in sorted(years))
+        return _fold_scores(parts, year, "int", features, label, estimator, scaler)
+    finally:
+        kept.unpersist()
 
 
 def fold_summary(folds: DataFrame) -> DataFrame:
@@ -245,7 +250,10 @@ def grid_search(df: DataFrame, features: Sequence[str], label: str, grid: Sequen
 
 
 def boosting_grid() -> list[dict]:
-    """The 48 combinations of the full search."""
+    """The 48 combinations of the full search, for ``gradient_boosting``.
+
+    The library's trees know the smallest leaf only; ``trees.boosting_grid`` has the smallest split.
+    """
     return [
         {"trees": t, "depth": d, "rate": r, "min_leaf": m, "subsample": s}
         for t in (100, 200) for d in (3, 5, 7) for r in (0.05, 0.1)
@@ -318,6 +326,67 @@ def run_designs(designs: dict[str, tuple], estimators: dict[str, Estimator],
     return reduce(DataFrame.unionByName, parts)
 
 
+def design_rows(designs: dict[str, tuple], keys: Sequence[str], test_share: float = 0.2) -> tuple[DataFrame, int]:
+    """All designs as one long table ``design, test, x0..., y``, and the number of columns x.
+
+    ``design`` is the place of the design; shorter feature lists are filled up with 0.
+    """
+    width = max(len(features) for _, features, _ in designs.values())
+    test = (key_bucket(keys, 10_000) < int(round(test_share * 10_000))).cast("int")
+    parts = [
+        prepare(rows, features, target, keep=keys).select(
+            F.lit(i).alias("design"), test.alias("test"),
+            *[F.col(f).alias(f"x{k}") for k, f in enumerate(features)],
+            *[F.lit(0.0).alias(f"x{k}") for k in range(len(features), width)],
+            F.col(target).cast("double").alias("y"))
+        for i, (rows, features, target) in enumerate(designs.values())]
+    return reduce(DataFrame.unionByName, parts), width
+
+
+def design_suite() -> dict[str, trees.Params | float]:
+    """The four models of the suite; a number is the penalty of a ridge."""
+    return {
+        "gradient_boosting": trees.Params("boost", 200, 5, 0.05, min_leaf=5),
+        "random_forest": trees.Params("forest", 200, 8, min_leaf=3),
+        "ridge": 1.0,
+        "boosting_variant": trees.Params("boost", 300, 4, 0.03, subsample=0.8),
+    }
+
+
+def _suite_job(cells: trees.Summary, job: dict) -> list[dict]:
+    own = cells.of(cells.group // 2 == job["design"])
+    test = own.group % 2 == 1
+    p = trees.Params(**job["params"])
+    _, steps = trees.fit(own, ~test, p)
+    return [{"design": job["name"], "model": job["model"], **trees.scores(own, test, trees.predicted(p, steps))}]
+
+
+def run_suite(designs: dict[str, tuple], suite: dict | None = None, keys: Sequence[str] = ("state", "year"),
+              test_share: float = 0.2, unit: float = 1e-6) -> DataFrame:
+    """``design, model, n, r2, rmse`` of every model under every design, on the same split.
+
+    The long table is written once. One pass sums it for the ridges, one bins it for the trees,
+    which grow side by side, a design and model in a task.
+    """
+    suite = design_suite() if suite is None else suite
+    long, width = design_rows(designs, keys, test_share)
+    long = stored(long, "design-rows")
+    spark, xs, names = long.sparkSession, [f"x{k}" for k in range(width)], list(designs)
+    fold = F.col("design") * 2 + F.col("test")
+    ridges = {m: a for m, a in suite.items() if not isinstance(a, trees.Params)}
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("design") + 1).alias("design")
+    parts = [
+        least_squares.pair_scores(long, xs, "y", fold, a).select(name, F.lit(m).alias("model"), "n", "r2", "rmse")
+        for m, a in ridges.items()]
+    grown = [(m, p) for m, p in suite.items() if isinstance(p, trees.Params)]
+    if grown:
+        cells = trees.summarise(long, xs, "y", fold, unit, bins=2048)
+        jobs = [{"design": i, "name": n, "model": m, "params": asdict(p)} for i, n in enumerate(names) for m, p in grown]
+        parts.append(trees.side_by_side(
+            spark, cells, jobs, _suite_job, "design string, model string, n long, r2 double, rmse double"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def design_summary(scores: DataFrame) -> DataFrame:
     """The best model among correlation designs and among causal ones, with a reading."""
     family = F.when(F.col("design").isin(*CORRELATION_DESIGNS), "correlation").when(

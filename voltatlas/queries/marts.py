@@ -212,7 +212,7 @@ def d06(spark, sf):
 _SALES_GRID = f"""gridded AS ({_REGION_SALES})"""
 
 
-@query("d07_region_panel", sql("sales", "mapped", more=f"{_REGION_CELLS}, {_SALES_GRID}") + """
+REGION_PANEL = """
     SELECT g.*, coalesce(dc_count, 0) AS dc_count,
         coalesce(total_capacity_mw, 0) AS total_capacity_mw,
         coalesce(avg_capacity_mw, 0) AS avg_capacity_mw,
@@ -225,7 +225,10 @@ _SALES_GRID = f"""gridded AS ({_REGION_SALES})"""
         least(coalesce(total_energy_mwh, 0) / g.total_mwh, 1) AS dc_energy_share,
         ln(1 + g.total_mwh) AS log_total_mwh, ln(1 + coalesce(total_capacity_mw, 0)) AS log_capacity,
         g.year - 1996 AS year_rel
-    FROM gridded g LEFT JOIN cells c ON c.ba_code = g.ba_code AND c.year = g.year""",
+    FROM gridded g LEFT JOIN cells c ON c.ba_code = g.ba_code AND c.year = g.year"""
+
+
+@query("d07_region_panel", sql("sales", "mapped", more=f"{_REGION_CELLS}, {_SALES_GRID}") + REGION_PANEL,
        {**SALES_DIGITS, "total_capacity_mw": 5, "avg_capacity_mw": 7, "total_energy_mwh": 2,
         "crypto_ratio": 9, "hyperscale_ratio": 9, "dc_energy_share": 8, "log_total_mwh": 9,
         "log_capacity": 9})

@@ -1,14 +1,17 @@
-"""L1-L17, bound to the given tables. Trees deeper than one split have no SQL counterpart."""
+"""L1-L17, bound to the given tables."""
 
 from pyspark.sql import functions as F
 
 from voltatlas.operators import aggregates as agg
-from voltatlas.operators import energy, joins, least_squares, models, panel
+from voltatlas.operators import energy, joins, least_squares, models, panel, trees
 from voltatlas.plans import marts
-from voltatlas.queries import base
+from voltatlas.queries import base, tree_sql
 from voltatlas.queries.base import sql, table
+from voltatlas.queries.aggregates import _REGION_CELLS
+from voltatlas.queries.marts import _SALES_GRID, REGION_PANEL
 from voltatlas.queries.panel import _PROJECTED, state_panel
 from voltatlas.queries.registry import query
+from voltatlas.session import stored
 
 FEATURES = ["l_quantity", "l_discount", "l_tax"]
 
@@ -42,8 +45,58 @@ def l02(spark, sf):
     return models.robust_scale(df, ["capacity_mw"])
 
 
-@query("l03_polynomial_ridge")
+_SPLIT = """CASE WHEN CAST('0x' || substr(md5('42|' || CAST(l_orderkey AS VARCHAR) || '|'
+    || CAST(l_linenumber AS VARCHAR)), 1, 8) AS BIGINT) % 10000 < 2000 THEN 1 ELSE 0 END"""
+_SQUARES = [*FEATURES, *[f"{a}__{b}" for i, a in enumerate(FEATURES) for b in FEATURES[i:]]]
+
+
+def _descent(features, rows, l1, l2, steps):
+    """``solved(slopes, intercept)`` of ``rows`` by coordinate descent on lists of covariances.
+
+    ``l1`` and ``l2`` are penalties in units of the mean squared error of scaled features.
+    """
+    p = len(features)
+    cov = ", ".join("[" + ", ".join(f"covar_pop({a}, {b})" for b in features) + "]" for a in features)
+    return f"""moments AS (
+      SELECT count(*) AS n, [{", ".join(f"avg({f})" for f in features)}] AS mean, avg(y) AS my, [{cov}] AS g,
+        [{", ".join(f"covar_pop({f}, y)" for f in features)}] AS c,
+        [{", ".join(f"stddev_samp({f})" for f in features)}] AS sd FROM {rows}),
+    scaled AS (
+      SELECT n, mean, my, sd, list_transform(range(1, {p + 1}), lambda i: list_transform(range(1, {p + 1}),
+          lambda j: g[i][j] / (sd[i] * sd[j]))) AS g,
+        list_transform(range(1, {p + 1}), lambda i: c[i] / sd[i]) AS c, {l1} AS l1, {l2} AS l2 FROM moments),
+    descent(k, b) AS (
+      SELECT 0, list_transform(range({p}), lambda x: 0::DOUBLE) UNION ALL
+      SELECT k + 1, list_transform(range(1, {p + 1}), lambda i: CASE WHEN i <> k % {p} + 1 THEN b[i] ELSE
+          sign(r) * greatest(abs(r) - l1, 0) / (g[i][i] + l2) END)
+      FROM (SELECT k, b, g, l1, l2, c[k % {p} + 1] - list_dot_product(g[k % {p} + 1], b)
+          + g[k % {p} + 1][k % {p} + 1] * b[k % {p} + 1] AS r FROM descent, scaled WHERE k < {steps})),
+    solved AS (
+      SELECT slopes, my - list_dot_product(slopes, mean) AS intercept FROM (
+        SELECT list_transform(range(1, {p + 1}), lambda i: b[i] / sd[i]) AS slopes, mean, my
+        FROM descent, scaled WHERE k = {steps}))"""
+
+
+@query("l03_polynomial_ridge", f"""WITH RECURSIVE items AS (
+      SELECT {_SPLIT} AS fold, l_extendedprice AS y, {", ".join(FEATURES)}, {", ".join(
+          f"{a} * {b} AS {a}__{b}" for i, a in enumerate(FEATURES) for b in FEATURES[i:])} FROM lineitem),
+    train AS (SELECT * FROM items WHERE fold = 0),
+    {_descent(_SQUARES, "train", "0", "1.0 / n", 9 * 800)}
+    SELECT 1 AS fold, 1.0::DOUBLE AS alpha, count(*) AS n, 1 - avg(pow(y - p, 2)) / var_pop(y) AS r2,
+      sqrt(avg(pow(y - p, 2))) AS rmse
+    FROM (SELECT y, intercept + list_dot_product(slopes, [{", ".join(_SQUARES)}]) AS p FROM items, solved WHERE fold = 1)""",
+       {"r2": 7, "rmse": 3})
 def l03(spark, sf):
+    """Degree 2, fitted and scored from one scan: the sums of both parts of the split."""
+    keys = ["l_orderkey", "l_linenumber"]
+    rows, names = least_squares.squares(_items(spark, sf), FEATURES)
+    test = (models.key_bucket(keys, 10_000) < 2_000).cast("int")
+    return least_squares.fold_scores(rows, names, "l_extendedprice", test, [1.0]).filter("fold = 1")
+
+
+@query("l03_polynomial_rows")
+def l03_rows(spark, sf):
+    """The same model as a pipeline of expansion, scaling and fit."""
     train, test = models.holdout_split(_items(spark, sf), ["l_orderkey", "l_linenumber"])
     model = models.fit(train, FEATURES, "l_extendedprice",
                        models.ridge(train, "l_extendedprice"), degree=2)
@@ -76,22 +129,79 @@ def l05(spark, sf):
     return first.join(second, ["state", "year"])
 
 
-def _scores(model, rows):
-    return models.regression_metrics(models.score(model, rows), "total_mwh")
+# Ensembles with the settings and tree counts of the full models. Features and label are rounded
+# before they are fitted, in the same way on both sides: cuts compare values of doubles.
+BOOSTED = trees.Params("boost", 150, 4, 0.1, min_leaf=5, l2=1.0)
+FOREST = trees.Params("forest", 150, 6, min_split=5)
+_REGION_LABEL = 1000.0
+
+
+def _rounded(df, features, label, unit):
+    return df.withColumns({
+        **{f: F.floor(F.col(f).cast("double") * 1e4 + 0.501) / 1e4 for f in features},
+        label: F.floor(F.col(label) / unit + 0.501).cast("double")})
+
+
+def _region_rows(spark, sf):
+    """Region-year rows, written once for all passes of a fit, and the last year."""
+    rows = stored(_rounded(_regions(spark, sf), marts.REGION_FEATURES, "total_mwh", _REGION_LABEL), "region-rows")
+    return rows, int(rows.agg(F.max("year")).first()[0])
+
+
+def _region_model(rows, last, params):
+    cells = trees.summarise(rows, marts.REGION_FEATURES, "total_mwh", F.col("year"))
+    return trees.fit(cells, cells.group < last, params)[0]
+
+
+_REGION_ROWS = f"""panel AS ({REGION_PANEL.replace("g.year - 1996", "g.year - 1995")}),
+    rows AS (SELECT row_number() OVER (ORDER BY ba_code, year) AS id, ba_code, year, year AS g,
+      year < (SELECT max(year) FROM panel) AS train, floor(total_mwh / 1000 + 0.501::DOUBLE) AS y, {", ".join(
+    f"floor({f}::DOUBLE * 1e4 + 0.501::DOUBLE) / 1e4 AS {f}" for f in marts.REGION_FEATURES)} FROM panel)"""
 
 
-@query("l06_gradient_boosting")
+def _region_sql(params, select, more="", rows="rows"):
+    grown = tree_sql.boosted(params) if params.kind == "boost" else tree_sql.forest(params)
+    return sql("sales", "mapped", more=f"""{_REGION_CELLS}, {_SALES_GRID}, {_REGION_ROWS}{more},
+    {tree_sql.points(marts.REGION_FEATURES, rows)}, {grown}""").replace("WITH ", "WITH RECURSIVE ", 1) + select
+
+
+_METRICS = """
+    SELECT count(*) AS n, 1 - avg(pow(y - units, 2)) / var_pop(y) AS r2, avg(abs(y - units)) AS mae,
+        sqrt(avg(pow(y - units, 2))) AS rmse FROM rows JOIN fitted USING (id) WHERE NOT train"""
+_METRIC_DIGITS = {"r2": 8, "mae": 4, "rmse": 4}
+
+
+def _test_scores(spark, sf, params):
+    rows, last = _region_rows(spark, sf)
+    model = _region_model(rows, last, params)
+    return models.regression_metrics(
+        trees.score(model, rows.filter(F.col("year") == last)), "total_mwh")
+
+
+@query("l06_gradient_boosting", _region_sql(BOOSTED, _METRICS), _METRIC_DIGITS)
 def l06(spark, sf):
-    train, test = models.last_year_split(_regions(spark, sf))
-    return _scores(models.fit(train, marts.REGION_FEATURES, "total_mwh",
-                              models.gradient_boosting(20, 4)), test)
+    return _test_scores(spark, sf, BOOSTED)
 
 
-@query("l07_random_forest")
+@query("l07_random_forest", _region_sql(FOREST, _METRICS), _METRIC_DIGITS)
 def l07(spark, sf):
-    train, test = models.last_year_split(_regions(spark, sf))
-    return _scores(models.fit(train, marts.REGION_FEATURES, "total_mwh",
-                              models.random_forest(50, 6)), test)
+    return _test_scores(spark, sf, FOREST)
+
+
+_PREDICTIONS = "SELECT ba_code, year, units AS prediction FROM rows JOIN fitted USING (id)"
+
+
+@query("l06_boosted_rows", _region_sql(BOOSTED, _PREDICTIONS), {"prediction": 3})
+def l06_rows(spark, sf):
+    """The ensemble as one expression."""
+    rows, last = _region_rows(spark, sf)
+    return rows.select("ba_code", "year", _region_model(rows, last, BOOSTED).column().alias("prediction"))
+
+
+@query("l07_forest_rows", _region_sql(FOREST, _PREDICTIONS), {"prediction": 3})
+def l07_rows(spark, sf):
+    rows, last = _region_rows(spark, sf)
+    return trees.score(_region_model(rows, last, FOREST), rows).select("ba_code", "year", "prediction")
 
 
 # A tree of one split on a feature with few values: the split with the least squared error.
@@ -149,8 +259,20 @@ def l08_ridge(spark, sf):
     return models.score(model, rows).select("l_orderkey", "l_linenumber", "prediction")
 
 
-@query("l08_elastic_net")
+# The penalty keeps the slope of the quantity and shrinks the other two to 0 or near it.
+@query("l08_elastic_net", f"""WITH RECURSIVE items AS (
+      SELECT l_orderkey, l_linenumber, l_extendedprice AS y, {", ".join(FEATURES)} FROM lineitem),
+    {_descent(FEATURES, "items", "100.0 * 0.5", "100.0 * 0.5", 300)}
+    SELECT l_orderkey, l_linenumber, intercept + list_dot_product(slopes, [{", ".join(FEATURES)}]) AS prediction
+    FROM items, solved""", {"prediction": 3})
 def l08_elastic(spark, sf):
+    rows = _items(spark, sf)
+    line = least_squares.fit_line(rows, FEATURES, "l_extendedprice", 100.0, 0.5)
+    return rows.select("l_orderkey", "l_linenumber", line.column().alias("prediction"))
+
+
+@query("l08_elastic_net_pipeline")
+def l08_pipeline(spark, sf):
     rows = _items(spark, sf)
     model = models.fit(rows, FEATURES, "l_extendedprice", models.elastic_net())
     return models.regression_metrics(models.score(model, rows), "l_extendedprice")
@@ -214,15 +336,27 @@ def l11_ridge(spark, sf):
 
 @query("l10_expanding_window")
 def l10(spark, sf):
-    return models.expanding_window(_regions(spark, sf), marts.REGION_FEATURES, "total_mwh",
-                                   models.random_forest(20, 4))
+    """The three windows side by side, over one summary."""
+    rows, _ = _region_rows(spark, sf)
+    cells = trees.summarise(rows, marts.REGION_FEATURES, "total_mwh", F.col("year"))
+    return trees.fold_scores(spark, cells, [BOOSTED, FOREST], last=3)
+
+
+# Features of the state model that the tuned forecast can project.
+AHEAD = ["cumulative_dc_mw", "cumulative_dc_count", "population_millions", "gdp_billions", "dc_intensity"]
+
+
+def _state_cells(grid):
+    rows = models.prepare(grid, AHEAD, "electricity_gwh", ["state", "year"])
+    fold = models.key_bucket(["state", "year"], 5, models.SEED + 1)
+    return trees.summarise(rows, AHEAD, "electricity_gwh", fold, unit=1e-3)
 
 
 @query("l11_grid_search")
 def l11(spark, sf):
-    grid = [{"trees": t, "depth": d, "rate": 0.1} for t in (5, 10) for d in (2, 3)]
-    return models.grid_search(_regions(spark, sf), marts.REGION_FEATURES, "total_mwh", grid,
-                              models.gradient_boosting, ["ba_code", "year"], folds=3)
+    """All 48 points and 5 folds."""
+    cells = _state_cells(stored(state_panel(spark, sf), "state-panel"))
+    return trees.grid_search(spark, cells, trees.boosting_grid())
 
 
 @query("l12_regression_metrics", """
@@ -237,11 +371,45 @@ def l12(spark, sf):
     return models.regression_metrics(scored, "l_extendedprice")
 
 
-@query("l13_feature_importance")
+_NAMES = ", ".join(f"'{f}'" for f in marts.REGION_FEATURES)
+
+
+@query("l13_feature_importance", _region_sql(FOREST, f""",
+    gains AS (SELECT cut, sum(gain) AS gain FROM (
+        SELECT DISTINCT t, k, node // 2 AS top, cut, gain FROM grown WHERE cut >= 0) GROUP BY cut)
+    SELECT row_number() OVER (ORDER BY coalesce(gain, 0) DESC, name)::INTEGER AS rank, name AS feature,
+      round(coalesce(gain, 0) / (SELECT sum(gain) FROM gains) * 100, 2) AS importance_pct
+    FROM (SELECT unnest([{_NAMES}]) AS name, unnest(range({len(marts.REGION_FEATURES)})) AS cut) f
+    LEFT JOIN gains USING (cut) ORDER BY rank LIMIT 10"""))
 def l13(spark, sf):
-    rows = _regions(spark, sf)
-    model = models.fit(rows, marts.REGION_FEATURES, "total_mwh", models.random_forest(20, 5))
-    return joins.rank_importances(models.importances(model, marts.REGION_FEATURES, spark))
+    rows, last = _region_rows(spark, sf)
+    model = _region_model(rows, last, FOREST)
+    return joins.rank_importances(models.inline_table(
+        spark, "feature string, importance double",
+        list(zip(marts.REGION_FEATURES, model.importances(), strict=True))))
+
+
+# Rows with another row's value of one feature go through the same trees without being fitted.
+_MOVED = ", ".join(
+    f"CASE WHEN permuted = '{f}' THEN coalesce(lag({f}) OVER w, last({f}) OVER every) ELSE {f} END AS {f}"
+    for f in marts.REGION_FEATURES)
+_PERMUTED = f""",
+    moved AS (SELECT id, g, y, permuted, {_MOVED}
+      FROM rows, (SELECT unnest([{_NAMES}]) AS permuted)
+      WINDOW w AS (PARTITION BY permuted, year ORDER BY ba_code), every AS (PARTITION BY permuted, year ORDER BY
+        ba_code ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+    both_rows AS (SELECT id, g, train, y, NULL::VARCHAR AS permuted, {", ".join(marts.REGION_FEATURES)} FROM rows
+      UNION ALL SELECT id + 1000000 * list_position([{_NAMES}], permuted), g, false, y, permuted,
+        {", ".join(marts.REGION_FEATURES)} FROM moved)"""
+
+
+@query("l13_permutation_importance", _region_sql(FOREST, """,
+    mse AS (SELECT permuted, avg(pow(y - units, 2)) AS mse FROM both_rows JOIN fitted USING (id) GROUP BY 1)
+    SELECT permuted AS feature, mse - (SELECT mse FROM mse WHERE permuted IS NULL) AS mse_increase
+    FROM mse WHERE permuted IS NOT NULL""", _PERMUTED, "both_rows"), {"mse_increase": 2})
+def l13_permutation(spark, sf):
+    rows, last = _region_rows(spark, sf)
+    return trees.permutation_importance(_region_model(rows, last, FOREST), rows, "total_mwh", ["ba_code"], ["year"])
 
 
 @query("l14_compare_models")
@@ -254,11 +422,31 @@ def l14(spark, sf):
         "gradient_boosting": models.gradient_boosting(10, 3)})
 
 
+@query("l14_tree_models", _region_sql(BOOSTED, """,
+    boosted AS (SELECT 'gradient_boosting' AS model, y, units FROM rows JOIN fitted USING (id) WHERE NOT train)
+    SELECT model, count(*) AS n, 1 - avg(pow(y - units, 2)) / var_pop(y) AS r2,
+      sqrt(avg(pow(y - units, 2))) AS rmse FROM boosted GROUP BY 1 UNION ALL (""" + _region_sql(FOREST, """
+    SELECT 'random_forest', count(*), 1 - avg(pow(y - units, 2)) / var_pop(y), sqrt(avg(pow(y - units, 2)))
+    FROM rows JOIN fitted USING (id) WHERE NOT train)""")), {"r2": 8, "rmse": 4})
+def l14_trees(spark, sf):
+    rows, last = _region_rows(spark, sf)
+    cells = trees.summarise(rows, marts.REGION_FEATURES, "total_mwh", F.col("year"))
+    scored = trees.fold_scores(spark, cells, [BOOSTED, FOREST], last=1)
+    kind = F.get_json_object("params", "$.kind")
+    return scored.select(
+        F.when(kind == "boost", "gradient_boosting").otherwise("random_forest").alias("model"), "n", "r2", "rmse")
+
+
 @query("l15_confounding_designs")
 def l15(spark, sf):
-    designs = models.confounding_designs(state_panel(spark, sf), min_rows=10)
-    return models.run_designs(designs, {
-        "elastic_net": models.elastic_net(), "random_forest": models.random_forest(10, 4)})
+    """Four models under every design; the high-intensity one needs 30 rows."""
+    designs = models.confounding_designs(stored(state_panel(spark, sf), "state-panel"))
+    return models.run_suite(designs)
+
+
+@query("l16_suite_summary")
+def l16_suite(spark, sf):
+    return models.design_summary(l15(spark, sf))
 
 
 _DESIGN_SCORES = """scores AS (
@@ -293,14 +481,13 @@ def l16(spark, sf):
 
 @query("l17_score_projection")
 def l17(spark, sf):
-    grid = state_panel(spark, sf)
-    features = ["cumulative_dc_mw", "cumulative_dc_count", "population_millions", "gdp_billions",
-                "dc_intensity"]
-    rows = models.prepare(grid, features, "electricity_gwh", ["state", "year"])
-    model = models.fit(rows, features, "electricity_gwh", models.random_forest(20, 5))
+    """The best point of the full search, fitted on all rows, scores the projected years."""
+    grid = stored(state_panel(spark, sf), "state-panel")
+    cells = _state_cells(grid)
+    best = trees.best_params(trees.grid_search(spark, cells, trees.boosting_grid()))
+    model, _ = trees.fit(cells, cells.group >= 0, best)
     ahead = panel.project_forward(grid, [2002, 2003, 2005])
-    scored = models.score(model, models.prepare(ahead, features, "electricity_gwh",
-                                                ["state", "year"]))
+    scored = trees.score(model, models.prepare(ahead, AHEAD, "electricity_gwh", ["state", "year"]))
     baseline = energy.latest_period(grid).agg(F.sum("electricity_gwh")).scalar()
     return panel.projection_summary(
         scored.withColumnRenamed("prediction", "predicted_electricity_gwh"), baseline)

@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = 8, memory: str = "12g") -> SparkSession:
@@ -44,6 +44,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return _written[-1]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame to the shared folder and read it back: what reads it repeats no work."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _written: list[str] = []
 
 
