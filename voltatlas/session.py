@@ -61,9 +61,20 @@ def _local_root() -> str:
     return root
 
 
-def remove_written(spark: SparkSession) -> None:
-    """Delete the folders that this process has written; frames that read them end with it."""
+def written() -> list[str]:
+    """The folders that this process has written and not deleted, oldest first."""
+    return list(_written)
+
+
+def remove(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of ``written``; frames that read them end with it."""
     conf = spark._jsc.hadoopConfiguration()
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    for folder in folders:
+        _written.remove(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
+
+
+def remove_written(spark: SparkSession) -> None:
+    """Delete the folders that this process has written; frames that read them end with it."""
+    remove(spark, written())
