@@ -249,7 +249,8 @@ def kept_text(
     """``row`` (struct of carried columns), ``n_lines, n_dropped, kept`` for every row of ``docs``.
 
     ``kept`` has the lines that stay, joined by a newline. The texts move once, to meet their
-    bitmaps by id and text hash; rows without a bitmap keep their text.
+    bitmaps by id and text hash; rows without a bitmap keep their text. The join is a merge at
+    every size, as the bitmaps grow with the documents.
     """
     marks = bitmaps.select(
         F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), F.col("keep").alias("keep"))
@@ -257,7 +258,7 @@ def kept_text(
         row_struct(docs, carry), F.col(id_col).alias("id"), _text(text_col).alias("text"),
         F.xxhash64(_text(text_col)).alias("text_key"))
     met = rows.join(
-        marks, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+        marks.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
