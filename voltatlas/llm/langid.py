@@ -6,9 +6,10 @@ language whose codeword has the smallest loss: the hinge loss of each bit's marg
 how well that bit is predicted on the training rows. A lead over the second language below
 ``AMBIGUOUS`` of the loss range is flagged.
 
-The fit uses at most ``MAX_ROWS`` labelled rows, shared evenly among the languages and chosen by a
-hash of their text. Their n-gram vectors, a fixed number of counts, are computed by Spark from
-whole texts; the driver solves a system of that many rows. Every text is then scored in whole.
+The fit uses at most ``MAX_ROWS`` distinct labelled texts (one of each language if there are more
+languages than that), shared evenly among the languages and chosen by a hash of the text. Their
+n-gram vectors, a fixed number of counts, are computed by Spark from whole texts; the driver
+solves a system of that many rows. Every text is then scored in whole.
 """
 
 from __future__ import annotations
@@ -19,17 +20,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltatlas.llm.tables import row_struct, with_row
+from voltatlas.llm.tables import row_struct, stored, with_row
 
 MAX_ROWS = 2_000  # labelled rows of a fit
 BUCKETS = 4_096  # of hashed n-grams
 RIDGE = 0.01
 AMBIGUOUS = 0.1
-MAX_LANGUAGES = 256
 UNKNOWN = "und"
 _SLICE_CHARS, _SLICE_ROWS = 1 << 20, 256
 
@@ -142,13 +142,12 @@ def fit(x: np.ndarray, labels: Sequence[str]) -> Model:
     weight /= weight.mean()
     y = codes[at]
     mean, target = np.average(x, axis=0, weights=weight), np.average(y, axis=0, weights=weight)
-    centred, goal = x - mean, y - target
-    dual = np.linalg.solve(
-        centred @ centred.T + np.diag(RIDGE * len(x) / 100.0 / weight), goal)
-    weights = centred.T @ dual
+    x = x - mean
+    dual = np.linalg.solve(x @ x.T + np.diag(RIDGE * len(x) / 100.0 / weight), y - target)
+    weights = x.T @ dual
     # Targets of the fit are shrunk by the ridge; margins are brought back to a spread of 1.
     bias = target - mean @ weights
-    margins = x @ weights + bias
+    margins = x @ weights + target
     scale = 1.0 / np.maximum(np.median(np.abs(margins), axis=0), 1e-6)
     hit = np.average((np.sign(margins) == y), axis=0, weights=weight)
     trust = np.maximum(2.0 * hit - 1.0, 1e-3)
@@ -159,46 +158,47 @@ def train(
     docs: DataFrame, usable: Column, text_col: str = "text", lang_col: str = "lang",
     max_rows: int = MAX_ROWS,
 ) -> Model:
-    """Fit on at most ``max_rows`` rows that are ``usable`` and have text and label.
+    """Fit on at most ``max_rows`` distinct texts that are ``usable`` and have a label and a letter.
 
-    Each label gets an even share, filled with its rows whose texts hash lowest (the same rows in
-    every run). At most ``MAX_LANGUAGES`` labels, the most frequent ones, have a codeword.
+    Each label has a codeword and gets an even share, one text at least: those whose hashes are
+    lowest (the same in every run). Copies of a text count once. One pass finds the hashes, each
+    task sending a share of each label at most; one pass computes the vectors of the chosen texts.
     """
-    rows = docs.filter(usable & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count()
-             .orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not sizes:
+    rows = docs.filter(
+        usable & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
+        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"),
+        F.xxhash64(F.col(text_col)).alias("h"))
+    hashes = stored(rows.select("lang", "h").distinct(), "lang-hashes")
+    languages = hashes.agg(F.count_distinct("lang")).first()[0]
+    if not languages:
         return Model((), np.ones((0, 1)), np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1))
-    share = max(1, max_rows // len(sizes))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 40)) / float(1 << 40)
-    # Twice the share passes the threshold, the lowest of them are taken on the driver.
-    picked = None
-    for lang, n in sizes.items():
-        chance = F.lit(min(1.0, 2.0 * share / n + 20.0 / n))
-        own = (F.col("lang") == lang) & (draw < chance)
-        picked = own if picked is None else picked | own
+    share = max(1, max_rows // languages)
+    chosen = stored(
+        hashes.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+        .filter(F.col("place") <= share).select("lang", "h"), "lang-chosen")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # of chosen texts: a task sends each of them once
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                x, letters = features(part.column("text").to_pylist())
-                ok = letters > 0
+            keys = list(zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist(), strict=True))
+            new = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
+            for i in range(0, len(new), 64):
+                part = batch.take(pa.array(new[i:i + 64]))
+                x, _ = features(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("lang"), part.column("draw"),
-                     pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))],
-                    names=["lang", "draw", "x"]).filter(pa.array(ok))
-
-    found = rows.filter(picked).withColumn("draw", draw).mapInArrow(
-        run, "lang string, draw double, x array<float>")
-    # A text that many rows share has one draw, so that rows are bounded here and not above.
-    ranked = sorted(
-        (r for lang in sizes for r in found.filter(F.col("lang") == lang).orderBy("draw").limit(share).collect()),
-        key=lambda r: (r["lang"], r["draw"]))
-    if not ranked:
-        return Model((), np.ones((0, 1)), np.zeros((BUCKETS, 1)), np.zeros(1), np.ones(1))
-    return fit(np.array([r["x"] for r in ranked], dtype=np.float64), [r["lang"] for r in ranked])
+                    [part.column("lang"), part.column("h"),
+                     pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], names=["lang", "h", "x"])
+
+    # As many rows as the fit takes: the bound of what is broadcast and of what comes to the driver.
+    found = rows.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", "text").mapInArrow(
+        run, "lang string, h long, x binary").groupBy("lang", "h").agg(F.first("x").alias("x"))
+    sample = found.toArrow().sort_by([("lang", "ascending"), ("h", "ascending")])
+    x = np.empty((sample.num_rows, BUCKETS))
+    for i, v in enumerate(sample.column("x")):
+        x[i] = np.frombuffer(v.as_buffer(), dtype=np.float32)
+    labels = sample.column("lang").to_pylist()
+    del sample
+    return fit(x, labels)
 
 
 def _runs(texts: list[str | None]) -> Iterator[tuple[int, int]]:
