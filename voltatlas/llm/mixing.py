@@ -188,7 +188,8 @@ def mixed_documents(
 
     A row is emitted floor(taken / size) times, and once more with the probability of the rest,
     drawn from a hash of its id, so that a source's words stay near its target. Rows without
-    words stay once: they weigh nothing. Rows with the same id are taken alike.
+    words stay once: they weigh nothing. Rows with the same id are taken alike. The texts move once,
+    to meet their counts, in a merge join at every size: the counts grow with the documents.
     """
     key, times, copy = (fresh(docs, f"__{c}") for c in ("key", "times", "copy"))
     shares = mix(docs, id_col, text_col, source_col, seed=seed)
@@ -199,5 +200,5 @@ def mixed_documents(
         .select(key, F.when(F.col("s") == 0, F.lit(1)).otherwise(
             F.floor(F.col("t") / F.col("s") + draw)).cast("int").alias(times))
         .filter(F.col(times) > 0), "mix-times")
-    out = docs.join(counts, F.col(id_col).eqNullSafe(F.col(key)))
+    out = docs.join(counts.hint("merge"), F.col(id_col).eqNullSafe(F.col(key)))
     return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
