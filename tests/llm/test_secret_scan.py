@@ -101,3 +101,43 @@ def test_awkward_rows(spark):
     assert (row.n_assign, row.n_access, row.n_hex, row.n_confirmed) == (1, 0, 1, 1)
     assert row.base_sha256 == hashlib.sha256(ss.joined(base_brute(text)).encode()).hexdigest()
     assert [s.kind for s in row.spans] == ["assign", "hex", "der"]
+
+
+def wrapped(key, width=64, quote="", end="\n"):
+    return end.join(quote + x for x in re.findall(f".{{1,{width}}}", key))
+
+
+def test_escaped_quoted_and_wrapped_keys():
+    for key in (PKCS1, PKCS8, SEC1):
+        for end, quote in (("\\n", ""), ("\\r\\n", ""), ("\n", "> "), ("\r\n", ""), ("\n", "  ")):
+            begin, close = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+            pem = f"{begin}{end}{wrapped(b64(key), 64, quote, end)}{end}{quote}{close}"
+            text = f'{{"private_key": "{pem}\\n", "x": 1}}'
+            spans = [s for s in ss.secret_spans(text) if s[2] == "pem"]
+            assert [text[a:b] for a, b, _ in spans] == [pem], (end, quote)
+        for width in (64, 76):
+            for quote in ("", "> "):
+                body = wrapped(b64(key), width, quote)
+                text = f"é key:\n{body}\nafter it"
+                assert [text[a:b] for a, b, k in ss.secret_spans(text) if k == "der"] == [body[len(quote):]]
+        assert kinds("\n".join(re.findall(".{1,64}", key.hex()))) == ["der"]
+        assert kinds(wrapped(b64(key)) + "\nafter") == ["der"]
+    assert kinds(wrapped(b64(OPENSSH), 70)) == ["ssh"]
+    assert kinds(wrapped(b64(PKCS8)[:-8])) == [] and kinds(wrapped(b64(PUBLIC))) == []
+    assert kinds("\n".join([b64(PKCS8)[:64], "other words", b64(PKCS8)[64:]])) == []
+    # A key after a BEGIN line that leads nowhere.
+    pem = f"-----BEGIN PRIVATE KEY-----\n{wrapped(b64(PKCS8))}\n-----END PRIVATE KEY-----"
+    assert kinds(f"-----BEGIN PRIVATE KEY-----\n{pem}") == ["pem"]
+
+
+def test_long_hostile_texts_take_linear_time():
+    import time
+
+    line, key = "-----BEGIN PRIVATE KEY-----\n", wrapped(b64(PKCS8))
+    size = 10_000_000
+    for text in (line * (size // len(line)), "a" * size, "A1_-" * (size // 4), "eyJhbGciOiJ9." * (size // 13),
+                 (line + key[:40] + "!\n") * (size // 70), ("password" + " " * 50) * (size // 58),
+                 ("f" * 64 + "\n") * (size // 65)):
+        began = time.perf_counter()
+        ss.secret_spans(text)
+        assert time.perf_counter() - began < 30

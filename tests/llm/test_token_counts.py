@@ -80,3 +80,24 @@ def test_given_sections(spark, known):
     assert by[3, 0].n_tokens == 0 and (3, -1) not in by
     with pytest.raises(ValueError, match="rule"):
         tc.count_tokens(docs, rule="none")
+
+
+def test_long_whitespace_is_cut_like_the_pattern(known, monkeypatch):
+    import re
+
+    encoding, _ = known
+    rng = random.Random(8)
+    monkeypatch.setattr(tc, "_LONG_SPACE", re.compile(tc._LONG_SPACE.pattern.replace("10000", "2")))
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "9", "!", " ", " ", "  ", "\n", "\t", "　", "\x1c", "é", "'s"]) for _ in range(30))
+        assert tc.encode(encoding, text) == encoding.encode_ordinary(text)
+
+
+def test_millions_of_whitespace_characters(spark, known):
+    encoding, sizes = known
+    texts = [" " * 2_000_000, "\n" * 2_000_000, " \t\n" * 700_000, "a" + " " * 2_000_000 + "b", "x\n" + "\t" * 2_000_000 + "\ny"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = tc.count_tokens(docs).groupBy("row.doc_id").sum("n_tokens").collect()
+    for doc_id, n in got:
+        ids = tc.encode(encoding, texts[doc_id])
+        assert n == len(ids) and encoding.decode(ids) == texts[doc_id]

@@ -46,9 +46,14 @@ _HEX = re.compile(rf"[0-9a-f]{{{MIN_HEX},}}")
 # Any run that can hold an access key, a hex string or a candidate of the method.
 _RUN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 _ENCODED = re.compile(r"[A-Za-z0-9+/_-]{32,}={0,2}")
-_JWT = re.compile(r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
-_PEM = re.compile(
-    r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+# Starts at the beginning of a part only, so that a long run is not scanned from each character.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{2,}\.[A-Za-z0-9_-]*")
+_PEM_EDGE = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+# What cannot stand inside an armoured key; a backslash is part of an escaped line end.
+_NOT_PEM = re.compile(r"[^A-Za-z0-9+/=\s:,>\\-]")
+_QUOTE = re.compile(r"(?m)^[> \t]+")
+_WRAPPED = re.compile(r"[> \t]*([A-Za-z0-9+/]{1,128}={0,2})[ \t\r]*")
+_LEAST_WIDTH = 32  # of the first lines of a wrapped key
 _OPENSSH = b"openssh-key-v1\0"
 _MAX_DEPTH = 32
 
@@ -167,35 +172,95 @@ def is_signed_token(run: str) -> bool:
     return len(signature) >= 16 and decode_base64(signature) is not None
 
 
+def _armoured(text: str) -> list[tuple[int, int, str]]:
+    """Confirmed PEM keys: each END with the last BEGIN of its label before it, in one pass.
+
+    Line ends may be written as backslash and n, and lines quoted with ``>``.
+    """
+    spans, begun, bad = [], {}, -1
+    for m in _PEM_EDGE.finditer(text):
+        if m.group(1) == "BEGIN":
+            begun[m.group(2)] = m
+            continue
+        begin = begun.pop(m.group(2), None)
+        if begin is None or (spans and begin.start() < spans[-1][1]):
+            continue
+        if bad < begin.end():  # else the last one found still is the first from here on
+            other = _NOT_PEM.search(text, begin.end())
+            bad = other.start() if other else len(text)
+        if bad < m.start():
+            continue
+        body = text[begin.end():m.start()].replace("\\r", "").replace("\\n", "\n").replace("\r\n", "\n")
+        body = _QUOTE.sub("", body)
+        if "\\" in body or ">" in body:
+            continue
+        # Headers of an encrypted key end with an empty line.
+        core = body.split("\n\n")[-1] if ":" in body else body
+        data = decode_base64("".join(core.split()))
+        if data and (is_private_key(data) or is_openssh_key(data) or ":" in body):
+            spans.append((begin.start(), m.end(), "pem"))
+    return spans
+
+
+def _key_kind(run: str) -> str | None:
+    """``der`` or ``ssh`` if the base64 or hex run is a whole private key."""
+    tries = [decode_base64(run)]
+    if len(run) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", run):
+        tries.append(bytes.fromhex(run))
+    for data in tries:
+        if data and data[0] == 0x30 and is_private_key(data):
+            return "der"
+        if data and is_openssh_key(data):
+            return "ssh"
+    return None
+
+
+def _wrapped(text: str) -> list[tuple[int, int, str]]:
+    """Keys over lines of one width, the last of which may be shorter; after a line of armour the
+    rule for armoured keys decides."""
+    spans, block, at, before = [], [], 0, ""
+
+    def close() -> None:
+        # A shorter line at the end may be the next word of the text.
+        for n in (len(block), len(block) - 1):
+            if n > 1 and (kind := _key_kind("".join(x for _, _, x in block[:n]))):
+                spans.append((block[0][0], block[n - 1][1], kind))
+                break
+        block.clear()
+
+    for line in text.split("\n"):
+        m = _WRAPPED.fullmatch(line) if len(line) <= 200 else None
+        width = len(m.group(1)) if m else 0
+        if block and (not m or width > len(block[-1][2])):
+            close()
+        if m and (block or (width >= _LEAST_WIDTH and "-----BEGIN " not in before)):
+            block.append((at + m.start(1), at + m.end(1), m.group(1)))
+            if width < len(block[0][2]):
+                close()  # a shorter line is the last
+            before = ""
+        elif not block:
+            before = line
+        at += len(line) + 1
+    close()
+    return spans
+
+
 def _confirmed(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    spans = []
-    if "-----BEGIN " in text:
-        for m in _PEM.finditer(text):
-            body = m.group(2)
-            # Headers of an encrypted key end with an empty line.
-            body = body.replace("\r\n", "\n").split("\n\n")[-1] if ":" in body else body
-            data = decode_base64("".join(body.split()))
-            if data and (is_private_key(data) or is_openssh_key(data) or ":" in m.group(2)):
-                spans.append((m.start(), m.end(), "pem"))
-    covered = [(a, b) for a, b, _ in spans]
+    spans = _armoured(text) if "-----BEGIN " in text else []
+    if len(runs) > 1 and "\n" in text:
+        spans += [w for w in _wrapped(text) if not any(a <= w[0] and w[1] <= b for a, b, _ in spans)]
+    covered, k = sorted((a, b) for a, b, _ in spans), 0
     for lo, hi in runs:
-        if any(a <= lo and hi <= b for a, b in covered):
+        while k < len(covered) and covered[k][1] <= lo:
+            k += 1
+        if k < len(covered) and covered[k][0] <= lo and hi <= covered[k][1]:
             continue
         for m in _JWT.finditer(text, lo, hi):
             if is_signed_token(m.group()):
                 spans.append((m.start(), m.end(), "jwt"))
         for m in _ENCODED.finditer(text, lo, hi):
-            run = m.group()
-            tries = [decode_base64(run)]
-            if len(run) % 2 == 0 and re.fullmatch(r"[0-9a-fA-F]+", run):
-                tries.append(bytes.fromhex(run))
-            for data in tries:
-                if data and data[0] == 0x30 and is_private_key(data):
-                    spans.append((m.start(), m.end(), "der"))
-                    break
-                if data and is_openssh_key(data):
-                    spans.append((m.start(), m.end(), "ssh"))
-                    break
+            if kind := _key_kind(m.group()):
+                spans.append((m.start(), m.end(), kind))
     return spans
 
 

@@ -10,6 +10,7 @@ text outside them add up to the document's tokens, which separate encodings woul
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -24,6 +25,9 @@ from voltatlas.llm.tables import row_struct, with_row
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # a parameter; never copied
 # Fixed value: how the vocabulary's texts are cut before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Runs of what the pattern calls whitespace that are too long for its lookahead, which keeps a
+# place in memory for every character of a run.
+_LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 # "first": section of a token's first character; "last": of its last character; "most": the
 # section with most of its characters, the earlier one on a tie.
 RULES = ("first", "last", "most")
@@ -40,9 +44,21 @@ def _encoding(vocabulary: bytes):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def encode(encoding, text: str) -> list[int]:
+    """Ids of a whole text. The pattern's result for a long run of whitespace is known, so it is cut
+    out: all but the last character before other text, all of it at the end of the text."""
+    ids, at = [], 0
+    for m in _LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        ids += encoding.encode_ordinary(text[at:m.start()])
+        ids += encoding._encode_single_piece(text[m.start():end])
+        at = end
+    return ids + encoding.encode_ordinary(text[at:])
+
+
 def token_spans(encoding, sizes: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
     """First and end (exclusive) character of each token; a split character counts for both."""
-    ids = np.array(encoding.encode_ordinary(text), dtype=np.int64)
+    ids = np.array(encode(encoding, text), dtype=np.int64)
     ends = np.cumsum(sizes[ids]) if len(ids) else ids
     if len(text) == (ends[-1] if len(ids) else 0):  # one byte for each character
         return ends - sizes[ids], ends
