@@ -203,9 +203,20 @@ def min_volume_filter(df: DataFrame, region: str = "ba_code", total: str = "tota
     return df.where((F.col(region) != "") & (F.col(total) > minimum))
 
 
-def latest_period(df: DataFrame, year: str = "year") -> DataFrame:
-    """Rows of the last year; the maximum is a scalar subquery."""
-    return df.where(F.col(year) == df.agg(F.max(year)).scalar())
+def latest_period(df: DataFrame, year: str = "year", keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of the last year.
+
+    With ``keys`` that name a row together with the year, ``df`` is read once: each key's last row
+    is an aggregate, and the last year of all is found among these (one row a key, so keys are
+    states or regions). Without keys the maximum is a scalar subquery, a second read.
+    """
+    if not keys:
+        return df.where(F.col(year) == df.agg(F.max(year)).scalar())
+    last = (
+        df.where(F.col(year).isNotNull()).groupBy(*keys)
+        .agg(F.max_by(F.struct(*df.columns), year).alias("_row"), F.max(year).alias("_own"))
+        .withColumn("_all", F.max("_own").over(W.partitionBy())))
+    return last.where(F.col("_own") == F.col("_all")).select("_row.*")
 
 
 def find_column(df: DataFrame, patterns: Sequence[str]) -> str | None:

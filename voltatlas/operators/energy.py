@@ -10,37 +10,39 @@ from pyspark.sql import functions as F
 from voltatlas import params as p
 from voltatlas.functions.columns import col, inline_table, ratio
 from voltatlas.operators.cleaning import latest_period
-from voltatlas.operators.quantiles import exact_median
+from voltatlas.operators.quantiles import medians_by
+from voltatlas.session import stored
 
 
-def _with_group_median(df: DataFrame, value: str, group: str, out: str) -> DataFrame:
-    m = exact_median(df, value, [group], out).withColumnRenamed(group, "_g")
-    return df.join(m, F.col(group) == F.col("_g"), "left").drop("_g")
+def _imputed(df: DataFrame, value: str, groupings: Sequence[str], default: float, out: str) -> DataFrame:
+    """The value, else the median of the first grouping that has one, the overall one, a constant.
+
+    All medians come from one table, written once: one row for each group.
+    """
+    medians = stored(
+        medians_by(df, value, {**{g: g for g in groupings}, "": None}), "medians")
+    overall = medians.where(F.col("grouping") == "").select("median").scalar()
+    names = []
+    for i, g in enumerate(groupings):
+        own = medians.where(F.col("grouping") == g).select(
+            F.col("key").alias(f"_k{i}"), F.col("median").alias(f"_m{i}"))
+        df = df.join(own, F.col(g).cast("string") == F.col(f"_k{i}"), "left")
+        names += [f"_k{i}", f"_m{i}"]
+    return df.withColumn(out, F.coalesce(
+        F.col(value), *[F.col(f"_m{i}") for i in range(len(groupings))], overall, F.lit(default))).drop(*names)
 
 
 def impute_group_median(df: DataFrame, value: str, group: str = "state",
                         default: float = 10.0, out: str = "capacity_mw_est") -> DataFrame:
     """Value, median of its group, overall median, constant."""
-    overall = exact_median(df, value).scalar()
-    return (
-        _with_group_median(df, value, group, "_median")
-        .withColumn(out, F.coalesce(F.col(value), F.col("_median"), overall, F.lit(default)))
-        .drop("_median")
-    )
+    return _imputed(df, value, [group], default, out)
 
 
 def impute_cascade(df: DataFrame, value: str, state: str = "state",
                    year: str = "year_operational", default: float = 15.0,
                    out: str = "capacity_mw_imputed") -> DataFrame:
     """Value, state median, year median, overall median, constant."""
-    overall = exact_median(df, value).scalar()
-    both = _with_group_median(df, value, state, "_by_state")
-    return (
-        _with_group_median(both, value, year, "_by_year")
-        .withColumn(out, F.coalesce(F.col(value), F.col("_by_state"), F.col("_by_year"),
-                                    overall, F.lit(default)))
-        .drop("_by_state", "_by_year")
-    )
+    return _imputed(df, value, [state, year], default, out)
 
 
 def _lookup(key: Column | str, table: dict[str, dict], field: str,
@@ -150,7 +152,7 @@ def estimate_new_facility(requests: DataFrame, facilities: DataFrame,
 def capacity_scenarios(scenarios: DataFrame, electricity: DataFrame,
                        mwh_per_mw: float = p.CATEGORY_PARAMS["big_ai"]["mwh_per_mw"]) -> DataFrame:
     """What added MW in a state mean; states without data drop out."""
-    latest = latest_period(electricity).select("state", "total_consumption_mwh")
+    latest = latest_period(electricity, keys=["state"]).select("state", "total_consumption_mwh")
     mwh = F.col("new_mw") * mwh_per_mw
     return scenarios.join(latest, "state").select(
         "state", "new_mw",

@@ -90,5 +90,19 @@ def exact_quantiles(
     return wide.select(*keys, *out)
 
 
+def medians_by(df: DataFrame, value: str, groupings: dict[str, str | None]) -> DataFrame:
+    """``grouping, key, median`` for several groupings of one table, from one read of it.
+
+    ``groupings`` maps a name to the column whose values, as text, are its keys; None puts all rows
+    into one group, whose key is empty. Every grouping is counted before the shuffle.
+    """
+    each = F.array(*[
+        F.struct(F.lit(name).alias("grouping"),
+                 (F.lit("") if c is None else F.col(c).cast("string")).alias("key"))
+        for name, c in groupings.items()])
+    long = df.select(F.col(value).alias("_value"), F.explode(each).alias("_at"))
+    return exact_median(long.select("_value", "_at.grouping", "_at.key"), "_value", ["grouping", "key"])
+
+
 def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median"):
     return exact_quantiles(df, value, {name: 0.5}, by)

@@ -69,7 +69,7 @@ def state_mart(by_state: DataFrame, dim: DataFrame | None = None) -> DataFrame:
 def state_category_mart(categorized: DataFrame, electricity: DataFrame,
                         dim: DataFrame | None = None) -> DataFrame:
     """D3: with categories and the state's latest electricity; unmapped states drop out."""
-    latest = cleaning.latest_period(electricity).select("state", "total_consumption_mwh")
+    latest = cleaning.latest_period(electricity, keys=["state"]).select("state", "total_consumption_mwh")
     wide = agg.category_breakdown(categorized).join(latest, "state", "left")
     keyed = cleaning.state_abbrev(wide, out="abbrev", dim=dim)
     return keyed.where(F.col("abbrev").isNotNull()).select(
@@ -174,7 +174,7 @@ REGION_FEATURES = p.REGION_FEATURES
 
 def top_regions(panel_df: DataFrame, k: int = 10) -> DataFrame:
     """Regions with the highest facility share in the last year."""
-    last = cleaning.latest_period(panel_df)
+    last = cleaning.latest_period(panel_df, keys=["ba_code"])
     return joins.top_k(last, "dc_energy_share", k, "ba_code").select(
         "ba_code", "dc_count", F.col("total_capacity_mw").alias("capacity_mw"),
         (F.col("total_mwh") / 1e6).alias("electricity_twh"),
@@ -199,7 +199,7 @@ def region_snapshot(sales: DataFrame, facilities: DataFrame,
 
 def state_share(facilities: DataFrame, electricity: DataFrame) -> DataFrame:
     """Facility energy as a part of each state's latest electricity."""
-    latest = cleaning.latest_period(electricity).select("state", "total_consumption_mwh")
+    latest = cleaning.latest_period(electricity, keys=["state"]).select("state", "total_consumption_mwh")
     return joins.full_then_complete(latest, agg.state_rollup(facilities)).withColumn(
         "dc_pct_of_state", ratio("total_energy_mwh", "total_consumption_mwh") * 100)
 

@@ -118,7 +118,7 @@ _LATEST = """latest AS (SELECT state, total_consumption_mwh FROM electricity
        {"total_capacity_mw": 6, "total_energy_mwh": 1, "total_consumption_mwh": 2,
         "pct_of_state": 5})
 def a08(spark, sf):
-    latest = cleaning.latest_period(base.electricity(spark, sf))
+    latest = cleaning.latest_period(base.electricity(spark, sf), keys=["state"])
     return agg.category_by_state(base.categorized(spark, sf), latest)
 
 

@@ -197,7 +197,7 @@ def p12(spark, sf):
     SELECT * FROM electricity WHERE year = (SELECT max(year) FROM electricity)""",
        {"total_consumption_mwh": 2})
 def p13(spark, sf):
-    return cleaning.latest_period(base.electricity(spark, sf))
+    return cleaning.latest_period(base.electricity(spark, sf), keys=["state"])
 
 
 @query("p14_find_column", """

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from voltatlas import params as p
 from voltatlas.functions.columns import inline_table
-from voltatlas.operators import energy, models
+from voltatlas.operators import energy, least_squares, models
 from voltatlas.operators.quantiles import exact_quantiles
 from voltatlas.queries import base
 from voltatlas.queries.base import sql, table
@@ -234,17 +234,17 @@ def e09(spark, sf):
     return energy.capacity_benchmark_table(spark, lambda x: models.score(model, x))
 
 
-@query("e09_linear_model", """
-    SELECT name, mw AS capacity_mw, mw * 8760 * 0.65 * 1.4 AS expected_mwh,
-        mw * 8760 * 0.65 * 1.4 AS predicted_mwh, 0.0::DOUBLE AS error_pct
-    FROM (VALUES """ + ", ".join(f"('{n}', {mw}::DOUBLE)" for n, mw in p.CAPACITY_BENCHMARKS) + """) AS b(name, mw)
-    WHERE (SELECT count(*) FROM orders) > 2""",
-       {"expected_mwh": 2, "predicted_mwh": 2, "error_pct": 4})
+# Capacity against the state's electricity: the line is not known beforehand.
+@query("e09_linear_model", sql("categorized", "electricity", more="""
+    opened AS (SELECT state, year_operational AS year, sum(capacity_mw_est) AS mw FROM categorized GROUP BY 1, 2),
+    line AS (SELECT regr_intercept(total_consumption_mwh, mw) AS a, regr_slope(total_consumption_mwh, mw) AS b
+      FROM opened JOIN electricity USING (state, year))""") + """
+    SELECT name, mw AS capacity_mw, mw * 8760 * 0.65 * 1.4 AS expected_mwh, a + b * mw AS predicted_mwh,
+        (a + b * mw - mw * 8760 * 0.65 * 1.4) / (mw * 8760 * 0.65 * 1.4) * 100 AS error_pct
+    FROM (VALUES """ + ", ".join(f"('{n}', {mw}::DOUBLE)" for n, mw in p.CAPACITY_BENCHMARKS) + """) AS t(name, mw), line""",
+       {"expected_mwh": 2, "predicted_mwh": 1, "error_pct": 3})
 def e09_linear(spark, sf):
-    # The energy of a state's openings is proportional to their capacity, which a line finds.
-    rows = base.categorized(spark, sf).groupBy("state", "year_operational").agg(
-        F.sum("capacity_mw_est").alias("total_capacity_mw"),
-        F.sum(energy.energy_flat("capacity_mw_est")).alias("impact"))
-    model = models.fit(rows, ["total_capacity_mw"], "impact", models.linear())
-    return energy.capacity_benchmark_table(spark, lambda x: models.score(model, x))
-
+    rows = base.categorized(spark, sf).groupBy("state", F.col("year_operational").alias("year")).agg(
+        F.sum("capacity_mw_est").alias("total_capacity_mw")).join(base.electricity(spark, sf), ["state", "year"])
+    line = least_squares.fit_line(rows, ["total_capacity_mw"], "total_consumption_mwh")
+    return energy.capacity_benchmark_table(spark, lambda x: x.withColumn("prediction", line.column()))

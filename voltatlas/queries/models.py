@@ -9,7 +9,7 @@ from voltatlas.queries import base, tree_sql
 from voltatlas.queries.base import sql, table
 from voltatlas.queries.aggregates import _REGION_CELLS
 from voltatlas.queries.marts import _SALES_GRID, REGION_PANEL
-from voltatlas.queries.panel import _PROJECTED, state_panel
+from voltatlas.queries.panel import _PROJECTED, state_panel, written_panel
 from voltatlas.queries.registry import query
 from voltatlas.session import stored
 
@@ -119,7 +119,7 @@ def l04(spark, sf):
         CASE WHEN year = (SELECT max(year) FROM electricity) THEN 'held out' ELSE 'kept' END AS last
     FROM electricity""")
 def l05(spark, sf):
-    e = base.electricity(spark, sf).select("state", "year")
+    e = stored(base.electricity(spark, sf).select("state", "year"), "electricity")
     train, test = models.temporal_split(e, 1999)
     kept, held = models.last_year_split(e)
     first = train.withColumn("part", F.lit("train")).unionByName(
@@ -355,7 +355,7 @@ def _state_cells(grid):
 @query("l11_grid_search")
 def l11(spark, sf):
     """All 48 points and 5 folds."""
-    cells = _state_cells(stored(state_panel(spark, sf), "state-panel"))
+    cells = _state_cells(written_panel(spark, sf))
     return trees.grid_search(spark, cells, trees.boosting_grid())
 
 
@@ -440,7 +440,7 @@ def l14_trees(spark, sf):
 @query("l15_confounding_designs")
 def l15(spark, sf):
     """Four models under every design; the high-intensity one needs 30 rows."""
-    designs = models.confounding_designs(stored(state_panel(spark, sf), "state-panel"))
+    designs = models.confounding_designs(written_panel(spark, sf))
     return models.run_suite(designs)
 
 
@@ -482,7 +482,7 @@ def l16(spark, sf):
 @query("l17_score_projection")
 def l17(spark, sf):
     """The best point of the full search, fitted on all rows, scores the projected years."""
-    grid = stored(state_panel(spark, sf), "state-panel")
+    grid = written_panel(spark, sf)
     cells = _state_cells(grid)
     best = trees.best_params(trees.grid_search(spark, cells, trees.boosting_grid()))
     model, _ = trees.fit(cells, cells.group >= 0, best)

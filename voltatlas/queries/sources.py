@@ -39,13 +39,10 @@ def s01(spark, sf):
         CAST(CASE WHEN c_custkey % 9 = 2 THEN c_custkey END AS DOUBLE) AS capacity_sqft
     FROM customer WHERE c_custkey % 9 IN (2, 3, 8)""")
 def s01_files(spark, sf):
-    """Pages as files in folders, read back, flattened, written as CSV and read again."""
+    """Pages in a packed store, read back, flattened, written as CSV and read again."""
     pages, table_path = shared_folder(spark, "pages"), shared_folder(spark, "specs")
-    spec_pages(spark, sf).select(
-        *[F.col(c) for c in ("content",)], *[
-            v.alias(k) for k, v in readers.path_columns("path").items()]
-    ).write.partitionBy("state", "city", "dc").text(pages)
-    writers.write_csv(marts.facility_specs(readers.read_pages(spark, pages)), table_path,
+    writers.write_page_store(spec_pages(spark, sf), pages)
+    writers.write_csv(marts.facility_specs(readers.read_page_store(spark, pages)), table_path,
                       readers.FACILITY_COLUMNS)
     return readers.read_csv(spark, table_path, readers.FACILITY_SPEC).select(
         "data_center_id", "data_center_name", "latitude", "year_operational", "capacity_mw",
@@ -136,6 +133,19 @@ def s06_array(spark, sf):
         spark, path, "state string, abbrev string, population_millions double")
 
 
+@query("s06_json_arrays", sql("facility") + """
+    SELECT data_center_id, data_center_name, state, city, year_operational, capacity_mw FROM facility""")
+def s06_arrays(spark, sf):
+    """Every facility, in files with an array each."""
+    path = shared_folder(spark, "arrays-json")
+    rows = base.facilities(spark, sf).select(
+        "data_center_id", "data_center_name", "state", "city", "year_operational", "capacity_mw")
+    writers.write_json_arrays(rows, path, ["data_center_id"], rows_per_file=5_000)
+    return readers.read_json_records(
+        spark, path, "data_center_id long, data_center_name string, state string, city string, "
+        "year_operational int, capacity_mw double")
+
+
 @query("s07_keyed_document", sql("facility", "nation_dim") + """
     SELECT '{' || string_agg('"' || abbrev || '":{"name":"' || state || '","dc_count":'
         || CAST(n AS VARCHAR) || '}', ',' ORDER BY abbrev) || '}' AS document

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltatlas import params as p
 from voltatlas.functions.columns import blank_to_null, col, strip, text_to_number
@@ -50,6 +51,12 @@ def read_pages(spark: SparkSession, root: str, glob: str = "*.txt") -> DataFrame
     )
 
 
+def read_page_store(spark: SparkSession, root: str) -> DataFrame:
+    """Pages packed into few files by ``writers.write_page_store``, in the columns of ``read_pages``."""
+    pages = spark.read.json(root, schema="path string, content string")
+    return pages.withColumns(path_columns("path")).select("path", "state", "city", "dc", "content")
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Trimmed lines that are not blank."""
     return spark.read.text(path).select(strip("value").alias("line")).where(F.col("line") != "")
@@ -68,8 +75,9 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], schema: str,
 
 def read_json_records(spark: SparkSession, path: str | Sequence[str], schema: str,
                       one_array: bool = True) -> DataFrame:
-    """Flat records, as one array per file or one record per line."""
-    return spark.read.json(path, schema=schema, multiLine=one_array)
+    """Flat records, as one array per file or one record per line; folder names add no columns."""
+    found = spark.read.json(path, schema=schema, multiLine=one_array)
+    return found.select(*T.StructType.fromDDL(schema).names)
 
 
 def flatten_api_response(df: DataFrame, body: str = "body", keep: Sequence[str] = ("state",),

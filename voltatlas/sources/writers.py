@@ -29,6 +29,27 @@ def write_lines(df: DataFrame, path: str, line: str = "url",
     )
 
 
+def write_page_store(pages: DataFrame, root: str, path: str = "path", content: str = "content") -> None:
+    """Many pages to a file, each with its path; a crawl appends what it has fetched.
+
+    One file a page would be as many files to create and to list. Paths that are still to be fetched
+    are an anti-join with the store (X16).
+    """
+    pages.select(F.col(path).alias("path"), F.col(content).alias("content")).write.mode("append").json(root)
+
+
+def write_json_arrays(df: DataFrame, path: str, keys: Sequence[str], rows_per_file: int = 100_000) -> None:
+    """Files with one array of records each, of some ``rows_per_file`` rows.
+
+    Rows are dealt to the files by a hash of their keys, so keys should name a row; a file's rows
+    meet in one task, and no task holds more than one group at a time.
+    """
+    files = max(1, -(-df.count() // rows_per_file))
+    group = F.pmod(F.xxhash64(*keys), F.lit(files)).alias("file")
+    df.select(group, F.struct(*df.columns).alias("row")).groupBy("file").agg(
+        F.to_json(F.collect_list("row")).alias("value")).write.partitionBy("file").text(path)
+
+
 def write_csv(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Header and a fixed column order."""
     nan_to_null(df).select(*columns).write.mode("overwrite").csv(
