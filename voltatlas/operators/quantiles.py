@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from voltatlas.functions.columns import finite, not_null
+from voltatlas.session import stored
 
 # Lowest bit that each step finds of a rank's place: a window has at most 2**22 rows.
 _STEPS = (44, 22, 0)
@@ -40,15 +41,16 @@ def exact_quantiles(
     order-preserving number, some 20 bits at a time: counts by the leading bits tell which part of
     the group holds the rank, and only that part is counted by the next bits. So no task sorts
     more than 4 million counts of a group, whatever the values are, and there is one way for
-    every size. All is lazy; the counts of values are one shuffle that every step reads.
+    every size. ``df`` is read once: the counts are written to the shared folder for all steps, and
+    so is what each step has found (two rows for each group and quantile).
 
     Rows with a missing value or key are left out. Without ``by`` the result has one row.
     """
     keys = list(by)
     base = df.select(*keys, finite(value).cast("double").alias("_v")).where(not_null("_v", *keys))
-    counts = (
+    counts = stored(
         base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_bits", ordered_bits(F.col("_v"))))
+        .withColumn("_bits", ordered_bits(F.col("_v"))), "quantile-counts")
 
     def place(name: str) -> Column:
         return (F.col("_n") - 1) * F.lit(float(probs[name]))
@@ -76,9 +78,9 @@ def exact_quantiles(
         else:
             both = steps.join(ranks, within)
         hit = (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_m"))
-        ranks = both.where(hit).select(
+        ranks = stored(both.where(hit).select(
             *keys, "_n", "_name", (F.col("_rank") - F.col("_upto") + F.col("_m")).alias("_rank"),
-            F.col("_next").alias("_part"), *(["_v"] if shift == 0 else []))
+            F.col("_next").alias("_part"), *(["_v"] if shift == 0 else [])), "quantile-ranks")
     wide = ranks.groupBy(*keys).agg(
         F.max("_n").alias("_n"),
         *[F.max(F.when(F.col("_name") == f"{s}{i}", F.col("_v"))).alias(f"_{s}{i}")
