@@ -277,7 +277,7 @@ def feature_correlations(df: DataFrame, features: Sequence[str], target: str) ->
 def describe(df: DataFrame, c: str) -> DataFrame:
     """Count, mean, std, min, exact quartiles, max."""
     v = finite(c)
-    q = exact_quantiles(df, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    q = exact_quantiles(df, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75}, written=True)
     stats = df.agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
         F.min(v).alias("min"), F.max(v).alias("max"))

@@ -42,7 +42,7 @@ def robust_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """L2: (x - median) / interquartile range, with exact quartiles of all columns in one pass."""
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x"))
-    q = exact_quantiles(long.select("x.c", "x.v"), "v", {"a": 0.25, "m": 0.5, "b": 0.75}, ["c"])
+    q = exact_quantiles(long.select("x.c", "x.v"), "v", {"a": 0.25, "m": 0.5, "b": 0.75}, ["c"], written=True)
     every = q.agg(*[
         F.max(F.when(F.col("c") == c, F.struct("a", "m", "b"))).alias(f"_{i}") for i, c in enumerate(cols)])
     one = every.select(F.struct(*every.columns).alias("q")).scalar()

@@ -33,7 +33,7 @@ def ordered_bits(v: Column) -> Column:
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
+    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), written: bool = False,
 ) -> DataFrame:
     """Linearly interpolated quantiles (the pandas definition) of ``value`` for each group.
 
@@ -41,14 +41,16 @@ def exact_quantiles(
     order-preserving number, some 20 bits at a time: counts by the leading bits tell which part of
     the group holds the rank, and only that part is counted by the next bits. So no task sorts
     more than 4 million counts of a group, whatever the values are, and there is one way for
-    every size. ``df`` is read once: the counts are written to the shared folder for all steps, and
-    so is what each step has found (two rows for each group and quantile).
+    every size. All is lazy, unless ``written``: then ``df`` is read once, now; the counts are written
+    to the shared folder for all steps, and so is what each step has found (two rows for each group
+    and quantile), which keeps the plan of each step short.
 
     Rows with a missing value or key are left out. Without ``by`` the result has one row.
     """
+    keep = stored if written else (lambda frame, name: frame)
     keys = list(by)
     base = df.select(*keys, finite(value).cast("double").alias("_v")).where(not_null("_v", *keys))
-    counts = stored(
+    counts = keep(
         base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
         .withColumn("_bits", ordered_bits(F.col("_v"))), "quantile-counts")
 
@@ -78,7 +80,7 @@ def exact_quantiles(
         else:
             both = steps.join(ranks, within)
         hit = (F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_m"))
-        ranks = stored(both.where(hit).select(
+        ranks = keep(both.where(hit).select(
             *keys, "_n", "_name", (F.col("_rank") - F.col("_upto") + F.col("_m")).alias("_rank"),
             F.col("_next").alias("_part"), *(["_v"] if shift == 0 else [])), "quantile-ranks")
     wide = ranks.groupBy(*keys).agg(
@@ -103,8 +105,8 @@ def medians_by(df: DataFrame, value: str, groupings: dict[str, str | None]) -> D
                  (F.lit("") if c is None else F.col(c).cast("string")).alias("key"))
         for name, c in groupings.items()])
     long = df.select(F.col(value).alias("_value"), F.explode(each).alias("_at"))
-    return exact_median(long.select("_value", "_at.grouping", "_at.key"), "_value", ["grouping", "key"])
+    return exact_median(long.select("_value", "_at.grouping", "_at.key"), "_value", ["grouping", "key"], written=True)
 
 
-def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median"):
-    return exact_quantiles(df, value, {name: 0.5}, by)
+def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "median", written: bool = False):
+    return exact_quantiles(df, value, {name: 0.5}, by, written)
