@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from voltatlas import params as p
 from voltatlas.functions.columns import clip, col, finite, not_null, or_zero, ratio, sum0
 from voltatlas.operators.quantiles import exact_quantiles
 
@@ -298,7 +299,7 @@ def share_of_national(totals: DataFrame, electricity: DataFrame, year: int,
 
 
 def importance_of_family(importances: DataFrame,
-                         pattern: str = "dc_|capacity|crypto|hyperscale|big_ai|energy",
+                         pattern: str = p.FACILITY_FAMILY,
                          value: str = "importance") -> DataFrame:
     """A21."""
     return importances.where(F.col("feature").rlike(pattern)).agg(sum0(value).alias("family_sum"))
