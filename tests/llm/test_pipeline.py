@@ -58,3 +58,17 @@ def test_awkward_rows_pass(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, "")
     assert docs.count() == 0
+
+
+def test_a_stage_deletes_what_the_one_before_has_left(spark, tmp_path):
+    from voltatlas.session import written
+
+    docs, before = awkward(spark), set()
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        known = set(written())
+        docs = stage(spark, docs, "")
+        assert before and not before & set(written()) or name == "quality_rules"
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        before = set(written()) - known
+    assert before and docs.count() > 0
