@@ -197,6 +197,44 @@ def region_snapshot(sales: DataFrame, facilities: DataFrame,
     )
 
 
+def primary_region_table(sales: DataFrame, facilities: DataFrame, dim: DataFrame | None = None,
+                         mapping: dict[str, list[str]] | None = None,
+                         mw: str = "capacity_mw") -> DataFrame:
+    """D8 by state: sales, utilities and first states of each region next to its facilities.
+
+    A facility counts for the primary region of its state, one of an unknown state for the default
+    region, one without a state only by its MW. Facilities are summed up by state before the lookups.
+    Regions with only sales or only facilities stay, with zeros and no states.
+    """
+    by_state = facilities.groupBy("state").agg(
+        F.count("state").alias("dc_count"), F.sum(mw).alias("dc_capacity_mw"))
+    placed = cleaning.primary_region(cleaning.state_abbrev(by_state, dim=dim), mapping=mapping)
+    own = placed.groupBy("ba_code").agg(
+        F.sum("dc_count").alias("dc_count"), F.sum("dc_capacity_mw").alias("dc_capacity_mw"))
+    both = agg.region_sales_with_states(sales).join(own, "ba_code", "full")
+    return both.withColumn("states", F.coalesce("states", F.lit(""))).withColumns({
+        c: or_zero(c) for c in ("total_sales_mwh", "utility_count", "dc_count", "dc_capacity_mw")
+    }).withColumn("mw_per_twh", ratio(F.col("dc_capacity_mw") * 1e6, "total_sales_mwh"))
+
+
+GROWTH_FEATURES = [
+    "new_dc_count", "new_dc_capacity_mw", "new_dc_energy_mwh", "cumulative_dc_capacity",
+    "cumulative_dc_energy", "total_consumption_mwh"]
+
+
+def category_growth_table(categorized: DataFrame, electricity: DataFrame,
+                          category: str = "big_ai") -> DataFrame:
+    """Training rows of a category's growth: openings and running totals by state and year.
+
+    One row for each electricity year whose change against the year before is known. Gaps become 0
+    before the running sums, so openings before a state's first electricity year do not count.
+    """
+    openings = panel.openings_by_year(categorized.where(F.col("dc_category") == category))
+    rows = panel.attach_openings(electricity, openings, "zero_fill")
+    return panel.yoy(rows, "total_consumption_mwh").where("yoy_change_mwh is not null").select(
+        "state", "year", *GROWTH_FEATURES, "yoy_change_mwh")
+
+
 def state_share(facilities: DataFrame, electricity: DataFrame) -> DataFrame:
     """Facility energy as a part of each state's latest electricity."""
     latest = cleaning.latest_period(electricity, keys=["state"]).select("state", "total_consumption_mwh")

@@ -274,6 +274,52 @@ _SHARES = f"""{_LATEST}, shares AS (
     FROM categorized c JOIN latest l ON l.state = c.state GROUP BY 1)"""
 
 
+# The regions that serve a state, in order: the first one counts.
+_SERVED = {"ASIA": ["N2", "N7", "N12", "N17", "N1"], "AMERICA": ["N1", "N6", "N7", "N11", "N16"],
+           "EUROPE": ["N3", "N8", "N16", "N13"], "MIDDLE EAST": ["N4", "N9", "N13", "N3", "N14"]}
+_SERVED_SQL = ", ".join(
+    f"({i}, '{r}', '{s}')" for i, (r, states) in enumerate(_SERVED.items()) for s in states)
+
+
+@query("d08_primary_region_table", sql("sales", "facility", "nation_dim", more=f"""
+    served(ordinal, region, abbrev) AS (VALUES {_SERVED_SQL}),
+    home AS (SELECT abbrev, arg_min(region, ordinal) AS region FROM served GROUP BY 1),
+    own AS (SELECT coalesce(region, 'OTHER') AS ba_code, count(*) AS dc_count, sum(capacity_mw) AS mw
+      FROM facility LEFT JOIN nation_dim USING (state) LEFT JOIN home USING (abbrev) GROUP BY 1),
+    sold AS (SELECT ba_code, sum(total_sales_mwh) AS mwh, count(DISTINCT utility_id) AS utilities,
+        array_to_string(list_sort(list(DISTINCT state))[1:3], ', ') AS states FROM sales GROUP BY 1)""") + """
+    SELECT coalesce(s.ba_code, o.ba_code) AS ba_code, coalesce(mwh, 0) AS total_sales_mwh,
+        coalesce(utilities, 0) AS utility_count, coalesce(states, '') AS states,
+        coalesce(dc_count, 0) AS dc_count, coalesce(mw, 0) AS dc_capacity_mw,
+        coalesce(mw, 0) * 1e6 / nullif(mwh, 0) AS mw_per_twh
+    FROM sold s FULL JOIN own o ON s.ba_code = o.ba_code""",
+       {"total_sales_mwh": 2, "dc_capacity_mw": 5, "mw_per_twh": 4})
+def d08_primary(spark, sf):
+    return marts.primary_region_table(base.sales(spark, sf), base.facilities(spark, sf).select("state", "capacity_mw"),
+                                      base.nation_dim(spark, sf), _SERVED)
+
+
+GROWTH = """growth AS (
+      SELECT e.state, e.year, coalesce(n, 0) AS new_dc_count, coalesce(mw, 0) AS new_dc_capacity_mw,
+        coalesce(mwh, 0) AS new_dc_energy_mwh, sum(coalesce(mw, 0)) OVER w AS cumulative_dc_capacity,
+        sum(coalesce(mwh, 0)) OVER w AS cumulative_dc_energy, e.total_consumption_mwh,
+        e.total_consumption_mwh - b.total_consumption_mwh AS yoy_change_mwh
+      FROM electricity e LEFT JOIN (
+        SELECT state, year_operational AS year, count(*) AS n, sum(capacity_mw_est) AS mw,
+          sum(estimated_energy_mwh) AS mwh FROM categorized WHERE dc_category = 'big_ai' GROUP BY 1, 2) o
+        ON o.state = e.state AND o.year = e.year
+      LEFT JOIN electricity b ON b.state = e.state AND b.year = e.year - 1
+      WINDOW w AS (PARTITION BY e.state ORDER BY e.year)),
+    growth_rows AS (SELECT * FROM growth WHERE yoy_change_mwh IS NOT NULL)"""
+
+
+@query("m05_category_growth_table", sql("categorized", "electricity", more=GROWTH) + "SELECT * FROM growth_rows",
+       {"new_dc_capacity_mw": 5, "new_dc_energy_mwh": 2, "cumulative_dc_capacity": 5, "cumulative_dc_energy": 2,
+        "total_consumption_mwh": 2, "yoy_change_mwh": 2})
+def m05_growth(spark, sf):
+    return marts.category_growth_table(base.categorized(spark, sf), base.electricity(spark, sf))
+
+
 @query("d09_state_share", sql("categorized", "electricity", more=_SHARES) + """
     SELECT *, total_energy_mwh / total_consumption_mwh * 100 AS dc_pct_of_state FROM shares""",
        {"total_consumption_mwh": 2, "total_capacity_mw": 6, "total_energy_mwh": 1,

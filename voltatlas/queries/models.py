@@ -8,7 +8,7 @@ from voltatlas.plans import marts
 from voltatlas.queries import base, tree_sql
 from voltatlas.queries.base import sql, table
 from voltatlas.queries.aggregates import _REGION_CELLS
-from voltatlas.queries.marts import _SALES_GRID, REGION_PANEL
+from voltatlas.queries.marts import _SALES_GRID, GROWTH, REGION_PANEL
 from voltatlas.queries.panel import _PROJECTED, state_panel, written_panel
 from voltatlas.queries.registry import query
 from voltatlas.session import stored
@@ -204,6 +204,47 @@ def l07_rows(spark, sf):
     return trees.score(_region_model(rows, last, FOREST), rows).select("ba_code", "year", "prediction")
 
 
+# The growth of one category: 100 trees of depth 4 without a least leaf, a fifth of the rows held out.
+GROWN = trees.Params("boost", 100, 4, 0.1)
+_GROWTH_KEYS = ["state", "year"]
+
+
+def _growth_sql(select):
+    return sql("categorized", "electricity", more=f"""{GROWTH},
+    rows AS (SELECT row_number() OVER (ORDER BY state, year) AS id, state, year, held::INTEGER AS g, NOT held AS train,
+      floor(yoy_change_mwh / 1000 + 0.501::DOUBLE) AS y, {", ".join(
+          f"floor({f} + 0.501::DOUBLE) AS {f}" for f in marts.GROWTH_FEATURES)}
+      FROM (SELECT *, CAST('0x' || substr(md5('42|' || state || '|' || CAST(year AS VARCHAR)), 1, 8) AS BIGINT)
+        % 10000 < 2000 AS held FROM growth_rows)),
+    {tree_sql.points(marts.GROWTH_FEATURES)}, {tree_sql.boosted(GROWN)}""").replace(
+        "WITH ", "WITH RECURSIVE ", 1) + select
+
+
+def _growth(spark, sf):
+    """Rows of the growth table in whole units, written once, and the model of those not held out."""
+    table = marts.category_growth_table(base.categorized(spark, sf), base.electricity(spark, sf))
+    rows = stored(table.withColumns({
+        **{f: F.floor(F.col(f) + 0.501).cast("double") for f in marts.GROWTH_FEATURES},
+        "yoy_change_mwh": F.floor(F.col("yoy_change_mwh") / 1000.0 + 0.501).cast("double")}), "growth-rows")
+    held = (models.key_bucket(_GROWTH_KEYS, 10_000) < 2_000).cast("int")
+    cells = trees.summarise(rows, marts.GROWTH_FEATURES, "yoy_change_mwh", held)
+    return rows, trees.fit(cells, cells.group == 0, GROWN)[0]
+
+
+@query("l06_category_growth_rows", _growth_sql("SELECT state, year, units AS prediction FROM rows JOIN fitted USING (id)"),
+       {"prediction": 3})
+def l06_growth_rows(spark, sf):
+    rows, model = _growth(spark, sf)
+    return trees.score(model, rows).select("state", "year", "prediction")
+
+
+@query("l06_category_growth", _growth_sql(_METRICS), _METRIC_DIGITS)
+def l06_growth(spark, sf):
+    rows, model = _growth(spark, sf)
+    _, held = models.holdout_split(rows, _GROWTH_KEYS)
+    return models.regression_metrics(trees.score(model, held), "yoy_change_mwh")
+
+
 # A tree of one split on a feature with few values: the split with the least squared error.
 _STUMP = """
     WITH v AS (SELECT l_linenumber AS v, count(*) AS n, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1),
