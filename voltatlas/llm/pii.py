@@ -6,7 +6,8 @@ brackets, without the plus, addresses without digits), so that it learns the for
 windows of ``WINDOW`` characters every ``STRIDE``; each is decoded by Viterbi. Spans of all windows
 of a text are then reconciled at once: pieces cut by a window's edge are joined with what the next
 window has of them, and of the spans that overlap the set with the highest total score stays
-(weighted interval scheduling). An address of which the best path misses characters is taken whole. A span counts only if it passes its kind's check and lies outside
+(weighted interval scheduling). Addresses and numbers of which the best path misses a part, or takes in
+what is beside them, are taken whole. A span counts only if it passes its kind's check and lies outside
 the base spans, which always stay.
 
 Every check asks for a digit, an ``@`` or a bracketed ``at``. Windows that overlap none of these nor a
@@ -40,6 +41,8 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WINDOW, STRIDE = 128, 64
 SAMPLE_DOCS = 20_000  # documents of the sample, at most about
 MAX_WINDOWS = 3_000  # labelled windows of a fit
+COPIES = 2  # rewritten copies of a labelled window; two more if it holds a card or phone
+STEPS = 420  # batches of a fit
 _DECODED = 512  # windows decoded together
 
 # The same languages as above, without repeated scans of long runs.
@@ -50,7 +53,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(PHONE)
 _HINT = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]")  # what the checks below ask for
 _DIGIT = re.compile(r"[0-9]")
+_GROUP = re.compile(r"[0-9]+")
 _AT = re.compile(r"\s*(?:@|[(\[]at[)\]])\s*")
+_LAST_DOT = re.compile(r"\s*[(\[]dot[)\]]\s*$")
 _NAMES = re.compile(r"[A-Za-z0-9-]*(?:(?:\.|\s*[(\[]dot[)\]]\s*)[A-Za-z0-9-]+)*")
 
 Span = tuple[str, int, int]  # kind, start, end
@@ -134,7 +139,45 @@ def _whole_email(text: str, a: int, b: int) -> tuple[int, int]:
     b = max(at.end(), b)
     while b > at.end() and text[b - 1] in ".,;:":
         b -= 1
-    return a, _NAMES.match(text, b, b + WINDOW).end()
+    b -= len(m.group()) if (m := _LAST_DOT.search(text[at.end():b])) else 0
+    whole = _NAMES.match(text, b, b + WINDOW).end()
+    if not plausible("email", text[a:whole]):  # the best path may also run into the next word
+        whole = _NAMES.match(text, at.end(), at.end() + WINDOW).end()
+    return a, whole
+
+
+_RUNS = {
+    "card": re.compile(r"[0-9]+(?:[\x20./_-]{1,2}[0-9]+)*"),
+    "ip": re.compile(r"[0-9]+(?:(?:\[?\.\]?| \. )[0-9]+)*"),
+}
+
+
+def _whole_number(kind: str, text: str, a: int, b: int) -> tuple[str, int, int]:
+    """The card or address of whole digit groups that overlaps the span most, if the span itself is none.
+
+    The best path may miss groups of a number or take in the number beside it. Candidates are neighbouring groups
+    with the kind's separators that pass its check; a phone of too many digits is tried as a card. Of equal
+    overlaps the one closest in length and then the first is taken. Without one the span stays as it is.
+    """
+    if kind == "email" or plausible(kind, text[a:b]):
+        return kind, a, b
+    low, high = max(0, a - WINDOW // 2), min(len(text), b + WINDOW // 2)
+    best = None
+    for name in ("ip",) if kind == "ip" else ("card",):
+        for run in _RUNS[name].finditer(text, low, high):
+            if run.start() >= b or run.end() <= a:
+                continue
+            groups = [m.span() for m in _GROUP.finditer(text, *run.span())]
+            # A group that goes on beyond the reach is none.
+            groups = [(x, y) for x, y in groups if not (
+                (x == low and x > 0 and text[x - 1] in "0123456789")
+                or (y == high and y < len(text) and text[y] in "0123456789"))]
+            for i, (x, _) in enumerate(groups):
+                for _, y in groups[i:i + 19]:
+                    shared = min(y, b) - max(x, a)
+                    if shared > 0 and y - x <= WINDOW // 2 and plausible(name, text[x:y]):
+                        best = min(best or (1, 0, 0, 0, ""), (-shared, abs((y - x) - (b - a)), x, y, name))
+    return (best[4], best[2], best[3]) if best else (kind, a, b)
 
 
 def window_starts(text: str) -> list[int]:
@@ -240,6 +283,7 @@ def all_spans(model: Tagger | None, texts: Sequence[str]) -> tuple[list[list[Spa
             a, b = a + len(inner) - len(inner.lstrip()), b - (len(inner) - len(inner.rstrip()))
             if kind == "email":
                 a, b = _whole_email(text, a, b)
+            kind, a, b = _whole_number(kind, text, a, b)
             k = bisect.bisect_left(starts, b)
             free = not any(y > a for _, y in taken[max(0, k - len(KINDS)):k]) and not (kept and kept[-1][2] > a)
             if a < b and free and plausible(kind, text[a:b]):
@@ -292,7 +336,8 @@ def training_set(
     items = []
     for text, spans in windows:
         items.append((text, spans))
-        for _ in range(2 if spans else 0):
+        hard = any(k in ("card", "phone") for k, *_ in spans)
+        for _ in range((COPIES + 2 * hard) if spans else 0):
             new, moved, at = "", [], 0
             for kind, a, b in sorted(spans, key=lambda s: s[1]):
                 if a < at:
@@ -349,7 +394,7 @@ def train(
     plain = marked.filter("not kinds").orderBy("order", "window").limit(max_windows - len(good)).collect()
     x, y, lengths = training_set(
         [(r["window"], [(s["kind"], s["a"], s["b"]) for s in r["spans"]]) for r in good + plain])
-    return tagger.fit(x, y, lengths, KINDS)
+    return tagger.fit(x, y, lengths, KINDS, steps=STEPS)
 
 
 def joined(spans: Sequence[Span]) -> str:
