@@ -111,59 +111,75 @@ def _lstm(x: np.ndarray, w: np.ndarray, u: np.ndarray, keep: bool = False):
 
 def _lstm_back(x, w, u, tape, d_out):
     """Gradients of the gate inputs and the recurrent matrix, from those of the hidden states."""
+    n, steps = x.shape
     size = u.shape[0]
-    dw, du = np.zeros_like(w), np.zeros_like(u)
-    dh_next = np.zeros((len(x), size), dtype=w.dtype)
+    before, c, i, f, o, g, s = (np.stack(part) for part in zip(*tape, strict=True))
+    to_cell = o * (1 - s * s)
+    by_cell = np.stack((g * i * (1 - i), c * f * (1 - f), i * (1 - g * g)), axis=1)
+    by_out = s * o * (1 - o)
+    dz = np.empty((steps, n, 4, size), dtype=w.dtype)
+    gates = dz.reshape(steps, n, 4 * size)
+    dh_next = np.zeros((n, size), dtype=w.dtype)
     dc = np.zeros_like(dh_next)
-    for t in range(x.shape[1] - 1, -1, -1):
-        h, c, i, f, o, g, s = tape[t]
+    for t in range(steps - 1, -1, -1):
         dh = d_out[:, t] + dh_next
-        dc = dc + dh * o * (1 - s * s)
-        dz = np.concatenate((
-            dc * g * i * (1 - i), dc * c * f * (1 - f), dh * s * o * (1 - o), dc * i * (1 - g * g)), axis=1)
-        np.add.at(dw, x[:, t], dz)
-        du += h.T @ dz
-        dh_next = dz @ u.T
-        dc = dc * f
-    return dw, du
-
-
-def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
-    top = a.max(axis=axis, keepdims=True)
-    return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
+        dc = dc + dh * to_cell[t]
+        dz[t, :, 0], dz[t, :, 1], dz[t, :, 3] = by_cell[t] * dc
+        dz[t, :, 2] = dh * by_out[t]
+        dh_next = gates[t] @ u.T
+        dc = dc * f[t]
+    # Rows of one code lie together, to be added up at once.
+    codes = x.T.reshape(-1)
+    order = np.argsort(codes, kind="stable")
+    found, first = np.unique(codes[order], return_index=True)
+    dw = np.zeros_like(w)
+    dw[found] = np.add.reduceat(gates.reshape(-1, 4 * size)[order], first, axis=0)
+    # A product for each character, added up: one large product would start threads that spin.
+    return dw, (before.transpose(0, 2, 1) @ gates).sum(axis=0)
 
 
 def crf_gradients(scores, start, move, labels, lengths):
-    """Mean negative log-likelihood of the label paths, and its gradients by forward-backward."""
+    """Mean negative log-likelihood of the label paths, and its gradients by forward-backward.
+
+    Forward and backward sums are kept as probabilities scaled to 1 at each character, so that a
+    step is one matrix product; the logarithms of the scales add up to the total.
+    """
     n, steps, k = scores.shape
-    alpha = np.empty((steps, n, k))
-    alpha[0] = scores[:, 0] + start
-    for t in range(1, steps):
-        new = _log_sum(alpha[t - 1][:, :, None] + move[None], 1) + scores[:, t]
-        alpha[t] = np.where((t < lengths)[:, None], new, alpha[t - 1])
-    total = _log_sum(alpha[-1], 1)
-    beta = np.zeros((n, k))
-    d_scores = np.zeros_like(scores)
-    d_move = np.zeros_like(move)
     rows = np.arange(n)
-    gold = np.zeros(n)
+    inside = np.arange(steps) < lengths[:, None]
+    top = scores.max(axis=2)
+    weight = np.exp(scores - top[:, :, None])
+    step_weight = np.exp(move)
+    high = start.max()
+    alpha = np.empty((steps, n, k))
+    scale = np.ones((steps, n))
+    now = np.exp(start - high) * weight[:, 0]
+    for t in range(steps):
+        if t:
+            now = (alpha[t - 1] @ step_weight) * weight[:, t]
+        total = np.maximum(now.sum(axis=1), 1e-300)
+        scale[t] = np.where(inside[:, t], total, 1.0)
+        alpha[t] = np.where(inside[:, t, None], now / total[:, None], alpha[t - 1] if t else now)
+    loss = (np.log(scale) + np.where(inside, top, 0.0).T).sum(axis=0) + high
+    beta = np.ones((n, k))
+    d_scores = np.empty_like(scores)
+    after = np.zeros((steps, n, k))  # what a move into each label is worth, per scale
     for t in range(steps - 1, -1, -1):
-        inside = t < lengths
-        share = np.exp(alpha[t] + beta - total[:, None]) * inside[:, None]
-        d_scores[:, t] = share
-        d_scores[rows, t, labels[:, t]] -= inside
-        gold += np.where(inside, scores[rows, t, labels[:, t]], 0.0)
-        if not t:
-            break
-        pair = alpha[t - 1][:, :, None] + move[None] + (scores[:, t] + beta)[:, None, :]
-        d_move += (np.exp(pair - total[:, None, None]) * inside[:, None, None]).sum(axis=0)
-        np.subtract.at(d_move, (labels[inside, t - 1], labels[inside, t]), 1.0)
-        gold += np.where(inside, move[labels[:, t - 1], labels[:, t]], 0.0)
-        beta = np.where(inside[:, None], _log_sum(move[None] + (scores[:, t] + beta)[:, None, :], 2), beta)
-    first = np.exp(alpha[0] + beta - total[:, None])
-    np.subtract.at(first, (rows, labels[:, 0]), 1.0)
-    gold += start[labels[:, 0]]
-    return (total - gold).mean(), d_scores / n, first.sum(axis=0) / n, d_move / n
+        d_scores[:, t] = alpha[t] * beta * inside[:, t, None]
+        if t:
+            after[t] = weight[:, t] * beta * (inside[:, t] / scale[t])[:, None]
+            beta = np.where(inside[:, t, None], after[t] @ step_weight.T, beta)
+    first = d_scores[:, 0].sum(axis=0)
+    d_move = step_weight * (alpha[:-1].transpose(0, 2, 1) @ after[1:]).sum(axis=0)
+    at, t = np.nonzero(inside)
+    d_scores[at, t, labels[at, t]] -= 1.0
+    np.subtract.at(first, labels[:, 0], 1.0)
+    at, t = np.nonzero(inside[:, 1:])
+    pairs = labels[at, t], labels[at, t + 1]
+    np.subtract.at(d_move, pairs, 1.0)
+    gold = np.where(inside, scores[rows[:, None], np.arange(steps), labels], 0.0).sum() + start[
+        labels[:, 0]].sum() + move[pairs].sum()
+    return (loss.sum() - gold) / n, d_scores / n, first / n, d_move / n
 
 
 def fit(
