@@ -29,10 +29,12 @@ def expected(urls):
     return [(h, p, r.text if r else None, r.verdict if r else "block" if h in blocked else "allow") for h, p, r in parts]
 
 
-@pytest.mark.parametrize("limit", [uc.MAX_FILTER_BYTES, 0])
-def test_every_url(spark, monkeypatch, limit):
-    """By the cascade, and by the join that takes over beyond its size."""
-    monkeypatch.setattr(uc, "MAX_FILTER_BYTES", limit)
+@pytest.mark.parametrize(("limit", "keys", "rows"), [
+    (uc.MAX_FILTER_BYTES, uc.PART_KEYS, uc.UNIT_ROWS), (0, uc.PART_KEYS, uc.UNIT_ROWS), (0, 3, 1)])
+def test_every_url(spark, monkeypatch, limit, keys, rows):
+    """By a broadcast cascade, and by one cut into parts to which the rows travel."""
+    for name, value in (("MAX_FILTER_BYTES", limit), ("PART_KEYS", keys), ("UNIT_ROWS", rows)):
+        monkeypatch.setattr(uc, name, value)
     pages = spark.createDataFrame([(i, u, 1, "x") for i, u in enumerate(URLS)], "page_id long, url string, host int, rule string")
     got = {r.row.page_id: (r.host, r.path, r.rule, r.verdict) for r in uc.judge_urls(pages).collect()}
     assert got == dict(enumerate(expected(URLS)))
@@ -51,3 +53,28 @@ def test_cascade_is_exact_over_its_universe(spark):
     assert np.array_equal(cascade.listed(h["a"].to_numpy(), h["b"].to_numpy()), h["listed"].to_numpy())
     first = cascade.passes(0, h["a"].to_numpy(), h["b"].to_numpy())
     assert first[h["listed"]].all() and 0 < first[~h["listed"]].mean() < 0.05
+
+
+def test_parts_are_exact_and_no_larger_than_their_keys(spark):
+    universe = spark.range(40_000).select(
+        F.concat(F.lit("host"), "id").alias("k"), (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("listed"))
+    h1, h2 = uc._key_hashes(F.col("k"))
+    keys = universe.select(uc._part(F.col("k"), 5).alias("part"), h1.alias("a"), h2.alias("b"), "listed").toPandas()
+    parts = {r["part"]: r["levels"] for r in uc.build_parts(universe, "k", "listed", 5).collect()}
+    assert set(parts) == set(range(5))
+    for part, own in keys.groupby("part"):
+        cascade = uc.Cascade(tuple(np.frombuffer(x, np.uint8) for x in parts[part]))
+        assert len(cascade.levels) > 1
+        assert np.array_equal(cascade.listed(own["a"].to_numpy(), own["b"].to_numpy()), own["listed"].to_numpy())
+        assert cascade.size_bytes < 9 / 8 * (own["listed"].sum() + len(own) / 32) + 100
+
+
+def test_a_hot_host_is_dealt_out(spark, monkeypatch):
+    """Rows of one url go to several units of its part, each with the cascade."""
+    monkeypatch.setattr(uc, "MAX_FILTER_BYTES", 0)
+    monkeypatch.setattr(uc, "UNIT_ROWS", 50)
+    urls = ["http://hot.net/x"] * 900 + ["http://hot.net/es/", "http://cold.net/x", None] * 3
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.row.page_id: r.verdict for r in uc.judge_urls(pages).collect()}
+    assert got == {i: v for i, (*_, v) in enumerate(expected(urls))}
+    assert sum(v == "block" for v in got.values()) == 903

@@ -21,14 +21,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltatlas.llm.shingles import mix
-from voltatlas.llm.tables import row_struct, stored
+from voltatlas.llm.tables import row_struct, stored, with_row
 
 HASHES = 6  # bits of a key in a level; at 9 bits a key, one key in 64 passes by mistake
 BITS_PER_KEY = 9
 BLOCK_BITS = 32_768  # of one bitmap of bitmap_construct_agg
 MAX_FILTER_BYTES = 64 << 20
+PART_KEYS = 1 << 17  # keys of a part of a longer cascade: at most about 150 KB of levels
+UNIT_ROWS = 1 << 20  # rows that a copy of a part's cascade judges, about
 
 
 @dataclass(frozen=True)
@@ -168,6 +171,89 @@ def build_cascade(universe: DataFrame, key: str, listed: str) -> Cascade | None:
         encoded, other = passed, encoded
 
 
+def local_cascade(h1: np.ndarray, h2: np.ndarray, listed: np.ndarray) -> Cascade:
+    """The cascade over the given keys (distinct hashes), built in memory."""
+    levels: tuple[np.ndarray, ...] = ()
+    encoded, other = np.flatnonzero(listed), np.flatnonzero(~listed)
+    while True:
+        bits = np.zeros(max(8, -(-len(encoded) * BITS_PER_KEY // 8)), dtype=np.uint8)
+        at = positions(h1[encoded], h2[encoded], len(levels), len(bits) * 8).reshape(-1)
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        levels = (*levels, bits)
+        passed = other[Cascade(levels).passes(len(levels) - 1, h1[other], h2[other])]
+        if not len(passed):
+            return Cascade(levels)
+        encoded, other = passed, encoded
+
+
+def _part(key: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(parts))
+
+
+def build_parts(universe: DataFrame, key: str, listed: str, parts: int) -> DataFrame:
+    """``part long, levels array<binary>``: a cascade over the keys of each part of ``universe``.
+
+    Keys are distinct, so a part holds about keys / ``parts`` of them, whatever the rows of a key.
+    """
+    h1, h2 = _key_hashes(F.col(key))
+    hashed = universe.select(
+        _part(F.col(key), parts).alias("part"), h1.alias("h1"), h2.alias("h2"), F.col(listed).alias("listed"))
+
+    def run(keys: pa.Table) -> pa.Table:
+        made = local_cascade(
+            keys["h1"].to_numpy(), keys["h2"].to_numpy(), keys["listed"].to_numpy(zero_copy_only=False))
+        return pa.table({
+            "part": pa.array([keys["part"][0].as_py()], pa.int64()),
+            "levels": pa.array([[x.tobytes() for x in made.levels]], pa.list_(pa.binary()))})
+
+    return hashed.groupBy("part").applyInArrow(run, "part long, levels array<binary>")
+
+
+def _judged_by_parts(rows: DataFrame, hosts: DataFrame, parts: int, pages: DataFrame, carry: Sequence[str]) -> DataFrame:
+    """``row, host, path, rule, listed`` of rows whose hosts are in ``hosts`` (``host, listed, open_rows``)."""
+    # One row for PART_KEYS hosts.
+    units = stored(
+        hosts.groupBy(_part(F.col("host"), parts).alias("part"))
+        .agg(F.greatest(F.ceil(F.sum("open_rows") / F.lit(UNIT_ROWS)), F.lit(1)).cast("long").alias("units")),
+        "cascade-units")
+    cascades = stored(build_parts(hosts, "host", "listed", parts), "cascade-parts").join(units, "part").select(
+        "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("units") - 1)).alias("unit"), "levels")
+    # A counter deals the rows of a part out evenly, however few hosts or urls they have.
+    routed = rows.withColumns(
+        {"part": _part(F.col("host"), parts), "at": F.monotonically_increasing_id()}).join(
+        F.broadcast(units), "part").select(
+        "part", F.pmod("at", "units").alias("unit"), "row", "host", "path", "rule")
+    together = cascades.unionByName(routed, allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, cascade = -1, Cascade(())
+        for batch in batches:
+            levels, of = batch.column("levels"), batch.column("part").to_numpy()
+            heads = np.flatnonzero(levels.is_valid().to_numpy(zero_copy_only=False))
+            cuts = [0, *heads, batch.num_rows]
+            for begin, end in zip(cuts, cuts[1:], strict=False):
+                if begin < end and levels[begin].is_valid:
+                    part = of[begin]
+                    cascade = Cascade(tuple(np.frombuffer(x, np.uint8) for x in levels[begin].as_py()))
+                    begin += 1
+                if begin == end:
+                    continue
+                if (of[begin:end] != part).any():
+                    raise RuntimeError("rows of a part without its cascade")
+                some = batch.slice(begin, end - begin)
+                yield pa.RecordBatch.from_arrays(
+                    [*(some.column(c) for c in ("row", "host", "path", "rule")),
+                     pa.array(cascade.listed(some.column("h1").to_numpy(), some.column("h2").to_numpy()))],
+                    names=["row", "host", "path", "rule", "listed"])
+
+    h1, h2 = (F.coalesce(h, F.lit(0).cast("long")) for h in _key_hashes(F.col("host")))
+    return (
+        together.withColumns({"h1": h1, "h2": h2}).repartition("part", "unit")
+        .sortWithinPartitions("part", "unit", F.col("levels").isNull())
+        .mapInArrow(run, with_row(
+            pages, carry, host=T.StringType(), path=T.StringType(), rule=T.StringType(), listed=T.BooleanType())))
+
+
 def judge_urls(
     pages: DataFrame, url_col: str = "url", rules: Sequence[Rule] = RULES, carry: Sequence[str] = ("page_id",),
 ) -> DataFrame:
@@ -176,7 +262,8 @@ def judge_urls(
     The longest fitting rule gives the verdict. An url without a rule gets ``block`` if its host is
     listed, else ``allow``; listed are the hosts of which a rule blocks some url of the table. The
     universe are all hosts of the table, found by one aggregate; a hot host is combined before the
-    shuffle. NULL urls and urls without ``://`` have an empty host and path, which no rule fits
+    shuffle. Rows stay where they are unless the cascade is too large to broadcast; then those without
+    a rule travel to the part of the cascade that has their host. NULL urls and urls without ``://`` have an empty host and path, which no rule fits
     and no list holds: they are allowed. Ties, repeated rows and long urls need no special case.
     """
     def judged(df: DataFrame, url: str) -> DataFrame:
@@ -186,22 +273,26 @@ def judge_urls(
 
     named = pages.select(row_struct(pages, carry), pages[url_col].alias("url"))
     hosts = stored(
-        judged(named.select("url"), "url").filter("host <> ''").groupBy("host")
-        .agg(F.max(F.coalesce(F.col("verdict") == "block", F.lit(False))).alias("listed")), "cascade-hosts")
+        judged(named.select("url"), "url").filter("host <> ''").groupBy("host").agg(
+            F.max(F.coalesce(F.col("verdict") == "block", F.lit(False))).alias("listed"),
+            F.count(F.when(F.col("verdict").isNull(), 1)).alias("open_rows")), "cascade-hosts")
     cascade = build_cascade(hosts, "host", "listed")
     rows = judged(named, "url")
+    by_list = F.when(F.col("listed"), "block").otherwise("allow").alias("verdict")
     if cascade is None:
-        block = hosts.filter("listed").select(F.col("host").alias("listed_host"))
-        rows = rows.join(block, F.col("host") == F.col("listed_host"), "left")
-        listed = F.col("listed_host").isNotNull()
-    else:
-        shared = pages.sparkSession.sparkContext.broadcast(cascade)
-
-        @F.pandas_udf("boolean")
-        def is_listed(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.listed(a.to_numpy(), b.to_numpy()))
-
-        listed = (F.col("host") != "") & is_listed(*_key_hashes(F.col("host")))
+        is_open = F.col("verdict").isNull() & (F.col("host") != "")
+        parts = max(1, -(-hosts.count() // PART_KEYS))
+        found = _judged_by_parts(rows.filter(is_open), hosts, parts, pages, carry)
+        return rows.filter(~is_open).select(
+            "row", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict")).unionByName(
+            found.select("row", "host", "path", "rule", by_list))
+    shared = pages.sparkSession.sparkContext.broadcast(cascade)
+
+    @F.pandas_udf("boolean")
+    def is_listed(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.listed(a.to_numpy(), b.to_numpy()))
+
+    listed = (F.col("host") != "") & is_listed(*_key_hashes(F.col("host")))
     verdict = F.coalesce("verdict", F.when(listed, "block").otherwise("allow"))
     return rows.select("row", "host", "path", "rule", verdict.alias("verdict"))
 
