@@ -30,6 +30,16 @@ def test_latest_period_reads_its_input_once(spark, sf):
         assert scans(QUERIES[name](spark, sf), "lineitem") <= 1, name
 
 
+def test_yearly_sheets_read_their_own_files(spark, sf):
+    """The sales are joined once, before; a sheet reads the files of its year alone."""
+    out = QUERIES["s13_sales_sheets"](spark, sf)
+    assert scans(out, "lineitem") == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    for year in range(1995, 2002):
+        assert f"= {year})" in plan, year
+    assert plan.count("PartitionFilters: [isnotnull(year") == 7
+
+
 def test_latest_period_with_missing_years(spark):
     df = spark.createDataFrame(
         [("a", 2000, 1.0), ("a", 2001, None), ("b", 2000, 3.0), ("c", None, 4.0), (None, 2001, 5.0)],

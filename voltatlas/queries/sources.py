@@ -300,8 +300,14 @@ _SHEETS = """
     c: 2 for c in ("residential_sales_mwh", "commercial_sales_mwh", "industrial_sales_mwh",
                    "total_sales_mwh", "total_customers")})
 def s13_sheets(spark, sf):
-    """Yearly sheets whose headers differ, one with a line that is no data."""
-    rows = base.sales(spark, sf)
+    """Yearly sheets whose headers differ, one with a line that is no data.
+
+    The sales are computed once and written by year; each sheet reads its own year's files.
+    """
+    sold = base.sales(spark, sf)
+    path = shared_folder(spark, "sheets")
+    sold.write.partitionBy("year").parquet(path)
+    rows = spark.read.schema(sold.schema).parquet(path)
     known = {0: "year", 1: "utility_id", 6: "state", 8: "ba_code", 10: "residential_sales_mwh",
              13: "commercial_sales_mwh", 16: "industrial_sales_mwh", 22: "total_sales_mwh",
              23: "total_customers"}
