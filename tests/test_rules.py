@@ -152,6 +152,13 @@ def test_impute_group_median(spark):
     assert values(energy.impute_group_median(none, "capacity_mw"), "capacity_mw_est") == [10.0]
 
 
+def test_fill_target_median(spark):
+    df = rows(spark, "x double", [(1.0,), (None,), (8.0,), (8.0,), (None,), (2.0,)])
+    assert values(energy.fill_target_median(df, "x"), "x") == [1.0, 5.0, 8.0, 8.0, 5.0, 2.0]
+    assert values(energy.fill_target_median(df.where("x IS NULL"), "x"), "x") == [None, None]
+    assert energy.fill_target_median(df.limit(0), "x").count() == 0
+
+
 def test_impute_cascade(spark):
     data = [("A", 2001, 10.0), ("A", 2002, None), ("B", 2001, None), ("B", 1990, None)]
     out = energy.impute_cascade(
