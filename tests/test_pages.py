@@ -1,8 +1,10 @@
 """Pages in the shapes a crawl stores, written by hand."""
 
 import json
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from voltatlas.operators import extraction, page_elements
 from voltatlas.plans import marts
@@ -239,3 +241,16 @@ def test_long_tables_take_linear_time():
     seconds(100)
     assert seconds(1_600) < 0.5
     assert seconds(16_000) < 5
+
+
+def test_pages_of_one_scan_task_are_read_in_many(spark):
+    """A small file is one task; equal pages, repeated and missing keys must not meet in one either."""
+    html = "<table><tr><td><a href='/x'>X</a></td></tr></table><div class='card'><h3>H</h3></div><ul><li>An item</li></ul>"
+    rows = [(k, html) for k in [None] * 30 + [1] * 30 + list(range(2, 42))] + [(50, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string").coalesce(1)
+    for read in (page_elements.page_links, page_elements.page_list_items, page_elements.page_table_rows,
+                 page_elements.page_cards):
+        found = read(df).select("page_id", F.spark_partition_id().alias("task")).collect()
+        assert Counter(r.page_id for r in found) == Counter(k for k, h in rows if h)
+        tasks = Counter(r.task for r in found)
+        assert len(tasks) > 1 and max(tasks.values()) < 50

@@ -2,7 +2,7 @@
 
 Titles and text are JVM-side expressions. Links, list items, table rows and cards need a reader
 that knows nesting, quoted attributes and missing end tags, so they run in Arrow batches with the
-standard library's HTML parser, in one pass over each page.
+standard library's HTML parser, in one pass over each page, whatever files the pages lie in.
 """
 
 from __future__ import annotations
@@ -231,7 +231,9 @@ def _per_page(df: DataFrame, key: str, html: str, read: Callable, columns: list[
             out = [(k, *row) for k, h in zip(pdf[key], pdf[html]) for row in read(h)]
             yield pd.DataFrame(out, columns=[key, *columns])
 
-    return df.select(key, html).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {ddl}")
+    # A page takes far longer to read than to move, and a small file is a single scan task.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(key, html).repartition(parts).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, {ddl}")
 
 
 def page_links(df: DataFrame, html: str = "html", key: str = "page_id") -> DataFrame:
