@@ -5,7 +5,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from voltatlas.operators import cleaning, energy
+from voltatlas.operators import cleaning, energy, models
 from voltatlas.operators.quantiles import medians_by
 from voltatlas.queries import base, load
 from voltatlas.session import remove, shared_folder, stored, written
@@ -40,6 +40,28 @@ def test_yearly_sheets_read_their_own_files(spark, sf):
     assert plan.count("PartitionFilters: [isnotnull(year") == 7
 
 
+def test_models_are_compared_without_reading_the_tables_again(spark, sf):
+    assert scans(QUERIES["l14_compare_models"](spark, sf), "lineitem") == 0
+
+
+def test_compared_models_score_the_held_rows_in_one_read(spark):
+    line = spark.range(60).select(
+        F.col("id").cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), "id",
+        (3.0 * F.col("id") + F.col("id") % 7).alias("y"))
+    path = f"{shared_folder(spark, 'held')}/held.parquet"
+    line.where("id % 5 = 0").write.parquet(path)
+    train, held = line.where("id % 5 > 0"), spark.read.parquet(path)
+    estimators = {"line": models.linear(), "forest": models.random_forest(5, 3), "boosted": models.gradient_boosting(3, 2)}
+    out = models.compare_models(train, held, ["a", "b"], "y", estimators)
+    assert scans(out, "held") == 1
+    got = {r.model: r for r in out.collect()}
+    assert set(got) == set(estimators)
+    for name, est in estimators.items():
+        alone = models.regression_metrics(
+            models.score(models.fit(train, ["a", "b"], "y", est), held), "y").first()
+        assert tuple(got[name])[1:] == pytest.approx(tuple(alone)), name
+
+
 def test_latest_period_with_missing_years(spark):
     df = spark.createDataFrame(
         [("a", 2000, 1.0), ("a", 2001, None), ("b", 2000, 3.0), ("c", None, 4.0), (None, 2001, 5.0)],
